@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, decontaminate, langid, media, pii, token_counts, url_rules
+from evidentia.llm import byte_bpe, decontaminate, langid, media, pii, substring_dedup, token_counts, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(_read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media": op7_media,
     "op8_url_rules": op8_url_rules,

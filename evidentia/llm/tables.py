@@ -23,3 +23,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/evidentia-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/evidentia-" not in file:
+            raise ValueError(f"not written here: {file}")
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
