@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, decontaminate, langid, media, pii, substring_dedup, token_counts, url_rules
+from evidentia.llm import byte_bpe, decontaminate, langid, media, near_dedup, pii, substring_dedup, token_counts, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_media": op7_media,
     "op8_url_rules": op8_url_rules,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
