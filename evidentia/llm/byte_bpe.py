@@ -121,22 +121,25 @@ def encode_text(text: str, path: str = DEFAULT_RANKS, pattern: str = public_toke
 
 
 def encode_documents(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, ranks: str = DEFAULT_RANKS, pattern: str = public_tokenizers.PATTERN
 ) -> DataFrame:
-    """Per row: ``id_col``, token_ids array<int> and decoded binary (made from the ids)."""
+    """Per row: ``id_col``, the columns of ``carry``, token_ids array<int> and decoded binary (made from the ids)."""
+    columns = [id_col, *(carry or [])]
+    k = len(columns)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cut = _words(ranks), _cutter(pattern)
-        for batch in slices(batches, 1, 2 << 20):
+        for batch in slices(batches, k, 2 << 20):
             ids, texts = [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(k)):
                 found = [known[w] for w in cut(text)]
                 ids.append([int(i) for x in found for i in x[0].split(" ")])
                 texts.append(b"".join([x[2] for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=[id_col, "token_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=[*columns, "token_ids", "decoded"])
 
-    kept = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return kept.mapInArrow(encoded, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, token_ids array<int>, decoded binary")
+    kept = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
+    return kept.mapInArrow(encoded, f"{schema}, token_ids array<int>, decoded binary")
 
 
 def encoding_digests(
