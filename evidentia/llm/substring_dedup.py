@@ -135,6 +135,8 @@ FOUND = "block bigint, bucket int, keys binary, places binary, extra binary"
 
 def _by_bucket(block: int, buckets: np.ndarray, keys: np.ndarray, places: np.ndarray, extra: np.ndarray) -> Iterator[dict]:
     """One row for each bucket that gets any; places rise within it."""
+    if not len(keys):
+        return
     order = np.lexsort((places, buckets))
     cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
