@@ -17,23 +17,25 @@ that sorts first; repeated rows are scored row by row; other columns are never r
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.batches import slices, texts_of
 from evidentia.llm.byte_bpe import load_ranks
+from evidentia.llm.tables import stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONGEST = 16
 WORDS = re.compile(r"[^\W\d_]+")
-MOST_WORDS = 200_000
+MOST_WORDS = 800_000
 
 
 def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -96,11 +98,12 @@ class Model:
 
     def __init__(self, languages: list[str], priors: np.ndarray, probabilities: np.ndarray, vocabulary: str):
         self.languages, self.priors, self.probabilities, self.vocabulary = languages, priors, probabilities, vocabulary
+        self.name = uuid.uuid4().hex
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabulary: str = VOCABULARY, smoothing: float = 0.1, max_languages: int = 500) -> Model:
     """Learns from all rows of ``df``; only the sums by language and piece come to the driver."""
-    rows = piece_counts(df, lang_col, text_col, vocabulary)
+    rows = stored(piece_counts(df, lang_col, text_col, vocabulary))
     n_languages = rows.where("piece = -1").limit(max_languages + 1).count()
     if n_languages > max_languages:
         raise ValueError(f"more than {max_languages} languages")
@@ -165,12 +168,22 @@ class _Scores:
         return counts @ self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
+_LATEST: list[_Scores] = []
+
+
+def _scores_of(model: Model) -> _Scores:
+    """The worker's scores of this model, which tasks of one worker share."""
+    if not _LATEST or _LATEST[0].model.name != model.name:
+        _LATEST[:] = [_Scores(model, MOST_WORDS)]
+    return _LATEST[0]
+
+
 def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Per row: ``id_cols``, lang_pred and score (the posterior of that language; 0 for und)."""
     languages, k = model.languages, len(id_cols)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Scores(model, MOST_WORDS)
+        known = _scores_of(model)
         for batch in slices(batches, k, 4 << 20):
             names, scores = [], []
             texts = texts_of(batch.column(k))
