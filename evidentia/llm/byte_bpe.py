@@ -183,7 +183,7 @@ def encode_words(df: DataFrame, word_col: str, ranks: dict[bytes, int]) -> DataF
         return F.get(F.transform(F.filter(F.get(table, F.pmod(F.crc32(F.unhex(piece)), F.lit(size)).cast("int")), lambda x: x["p"] == piece), lambda x: x["r"]), F.lit(0))
 
     code = F.hex(F.encode(F.col(word_col), "UTF-8"))
-    singles = F.transform(F.sequence(F.lit(0), F.length(code).cast("int") / 2 - 1, F.lit(1)), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
+    singles = F.transform(F.sequence(F.lit(0), F.greatest((F.length(code) / 2).cast("int") - 1, F.lit(0))), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
 
     def merge(parts, _):
         pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.struct(F.coalesce(rank(F.concat(F.get(parts, i), F.coalesce(F.get(parts, i + 1), F.lit("")))), F.lit(2**31 - 1)).alias("r"), i.alias("i")))
@@ -191,5 +191,5 @@ def encode_words(df: DataFrame, word_col: str, ranks: dict[bytes, int]) -> DataF
         joined = F.concat(F.slice(parts, F.lit(1), low["i"]), F.array(F.concat(F.get(parts, low["i"]), F.get(parts, low["i"] + 1))), F.slice(parts, low["i"] + 3, F.size(parts)))
         return F.when((F.size(parts) > 1) & (low["r"] < 2**31 - 1), joined).otherwise(parts)
 
-    parts = F.when(rank(code).isNotNull(), F.array(code)).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(code).cast("int") / 2, F.lit(2)).cast("int")), singles, merge))
+    parts = F.when(rank(code).isNotNull(), F.array(code)).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest((F.length(code) / 2).cast("int"), F.lit(2))), singles, merge))
     return df.withColumn("token_ids", F.when(F.length(code) == 0, F.array().cast("array<int>")).otherwise(F.transform(parts, rank)))
