@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (as pa.compute)
+from pyspark.sql import DataFrame
+
+BATCH_BYTES = "4m"
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
@@ -31,3 +34,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
         lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
         for a, b in by_bytes(lengths, limit):
             yield batch.slice(a, b - a)
+
+
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches of up to BATCH_BYTES instead of 10,000 rows, however long these are, so
+    that neither side of the pipe holds many long texts at once. The setting stays in the session, as
+    the plan reads it when it runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import slices, texts_of
+from evidentia.llm.batches import in_arrow, slices, texts_of
 
 DEFAULT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHORT = 48
@@ -139,7 +139,7 @@ def encode_documents(
 
     kept = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
-    return kept.mapInArrow(encoded, f"{schema}, token_ids array<int>, decoded binary")
+    return in_arrow(kept, encoded, f"{schema}, token_ids array<int>, decoded binary")
 
 
 def encoding_digests(
@@ -160,7 +160,7 @@ def encoding_digests(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=names)
 
     kept = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return kept.mapInArrow(digested, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(kept, digested, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_words(df: DataFrame, word_col: str, ranks: dict[bytes, int]) -> DataFrame:

@@ -32,6 +32,20 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = " "  # a term that no word equals: its posting holds the number of words
 
 
+#: The same breaks in a text that is not yet lower-cased.
+RAW_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def raw_words_of(text: Column) -> Column:
+    """The words before lower-casing, which leaves their places as they are."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), RAW_BREAKS), "")
+
+
+def lowered(word: Column) -> Column:
+    """A-Z in lower case. ``lower`` does that to an ASCII word, and faster."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), BREAKS), "")
 
@@ -58,7 +72,8 @@ def item_windows(items: DataFrame, width: int, item_col: str, text_col: str) ->
 
 def corpus_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """(term, n): occurrences in the corpus of each of ``terms``."""
-    return docs.select(F.explode(words_of(F.col(text_col))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(raw_words_of(F.col(text_col))).alias("word"))
+    return words.select(lowered(F.col("word")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def with_pivots(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -74,8 +89,9 @@ def with_pivots(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, term, at) for the given terms and, with term END, each document's number of words."""
-    own = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text"), F.concat(words_of(F.col(text_col)), F.array(F.lit(END))).alias("words"))
-    return own.select("id", "text", F.posexplode("words").alias("at", "term")).join(terms, "term").select("id", "text", "term", "at")
+    own = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text"), F.concat(raw_words_of(F.col(text_col)), F.array(F.lit(END))).alias("words"))
+    placed = own.select("id", "text", F.posexplode("words").alias("at", "word"))
+    return placed.select("id", "text", lowered(F.col("word")).alias("term"), "at").join(terms, "term").select("id", "text", "term", "at")
 
 
 def phrase_matches(index: DataFrame, docs: DataFrame, windows: DataFrame, text_col: str, broadcast_rows: int) -> DataFrame:

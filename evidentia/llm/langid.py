@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import slices, texts_of
+from evidentia.llm.batches import in_arrow, slices, texts_of
 from evidentia.llm.byte_bpe import load_ranks
 from evidentia.llm.tables import stored
 
@@ -90,7 +90,7 @@ def piece_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["lang", "piece", "n"])
 
     kept = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("__text"))
-    return kept.mapInArrow(counted, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return in_arrow(kept, counted, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -203,7 +203,7 @@ def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "t
 
     kept = df.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in id_cols)
-    return kept.mapInArrow(scored, f"{schema}, lang_pred string, score double")
+    return in_arrow(kept, scored, f"{schema}, lang_pred string, score double")
 
 
 def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import slices
+from evidentia.llm.batches import in_arrow, slices
 
 RATE = 8000
 #: Magic bytes, with the offset inside the file where they stand.
@@ -207,7 +207,7 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", un
             )
 
     kept = df.select(id_col, F.encode(F.col(text_col).cast("string"), "UTF-8").alias("__raw"))
-    return kept.mapInArrow(stored, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {STORED}")
+    return in_arrow(kept, stored, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, {STORED}")
 
 
 def describe_media(df: DataFrame, keep: list[str], media_col: str = "media", declared_col: str | None = None) -> DataFrame:
@@ -242,7 +242,7 @@ def describe_media(df: DataFrame, keep: list[str], media_col: str = "media", dec
     chosen = df.select(*keep, F.col(media_col).alias("__media"), (F.col(declared_col) if declared_col else F.lit(None)).cast("string").alias("__declared"))
     schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
     made = "media_bytes bigint, media_sha256 string, media_type string, retyped boolean, embedded array<string>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string"
-    return chosen.mapInArrow(described, f"{schema}, {made}")
+    return in_arrow(chosen, described, f"{schema}, {made}")
 
 
 def _levels(payload: bytes) -> list[int]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import slices, texts_of
+from evidentia.llm.batches import in_arrow, slices, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "account")
@@ -174,7 +174,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kept = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
-    return kept.mapInArrow(found, schema)
+    return in_arrow(kept, found, schema)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -186,4 +186,4 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [t if t is None else masked(t, find_spans(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=names)
 
-    return df.mapInArrow(cleaned, df.schema)
+    return in_arrow(df, cleaned, df.schema)

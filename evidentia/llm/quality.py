@@ -27,8 +27,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import slices
-from evidentia.llm.substring_dedup import WordHashes
+from evidentia.llm.batches import in_arrow, slices
 from evidentia.llm.tables import stored
 
 SLOTS = 1 << 18
@@ -52,7 +51,7 @@ def measures(text: str, words: list[str]) -> dict[str, float]:
     """Shares: odd symbols among characters, words equal to the one before, bars and runs of ! among
     words, capitals among letters, distinct words."""
     n = max(1, len(words))
-    odd = sum(text.count(c) for c in set(text) if not (c.isalnum() or c in PLAIN))
+    odd = sum(text.count(c) for c in set(text) - PLAIN if not c.isalnum())
     return {
         "symbols": odd / max(1, len(text)),
         "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
@@ -70,19 +69,36 @@ def votes(found: dict[str, float], words: set[str]) -> list[int]:
     return [*map(int, faults), -int(ordinary), int(not INSULTS.isdisjoint(words))]
 
 
-def features(found: dict[str, float], words: set[str], known: WordHashes) -> np.ndarray:
+class WordSlots(dict):
+    """By word: the slots of the word and of its first 4 and 5 letters, in one number; emptied when it
+    holds ``most`` words."""
+
+    def __init__(self, most: int = 150_000):
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        first, second, third = (xxhash.xxh3_64_intdigest(n) % SLOTS for n in (word, f"^{word[:4]}", f"^{word[:5]}"))
+        found = self[word] = first | second << 20 | third << 40
+        return found
+
+
+def features(found: dict[str, float], words: set[str], known: WordSlots) -> np.ndarray:
     """Distinct slots of the document's features: hashed words and their first 4 and 5 letters, then from
     SLOTS on the levels that each measure reaches, and whether there is a word of insult."""
-    names = [w.encode() for w in words]
-    names += {b"^" + w[:n].encode() for w in words for n in (4, 5)}
+    packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    hashed = np.unique(np.concatenate([packed & 0xFFFFF, packed >> 20 & 0xFFFFF, packed >> 40]))
     reached = [SLOTS + LEVELS * k + i for k, v in enumerate(found.values()) for i in range(min(LEVELS, int(v * LEVELS) + 1))]
     insult = [] if INSULTS.isdisjoint(words) else [SIZE - 1]
-    return np.concatenate([np.unique(known.of(names) % np.uint64(SLOTS)).astype(np.int32), np.array(reached + insult, np.int32)])
+    return np.concatenate([hashed.astype(np.int32), np.array(reached + insult, np.int32)])
 
 
 def _votes_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in slices(batches, 1, 4 << 20):
+    known = WordSlots()
+    for batch in slices(batches, 1, 2 << 20):
         cast, slots = [], []
         for text, chosen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = WORD.findall((text or "").lower())
@@ -149,7 +165,7 @@ def train(
     total = docs.count()
     chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, total)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), chosen.alias("chosen"))
-    own = stored(texts.mapInArrow(_votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots array<int>"))
+    own = stored(in_arrow(texts, _votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots array<int>"))
     joined = _annotated(own, labels, id_col, low_if, toxic_if)
     pattern = {"low": F.array(*[F.col("votes")[i] for i in range(HEURISTICS - 1)], "a_low"), "toxic": F.array(F.col("votes")[HEURISTICS - 1], "a_toxic")}
     held = stored(joined.select("slots", *[p.alias(k) for k, p in pattern.items()]))
@@ -181,8 +197,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [id_col, "p_low", "p_toxic"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, 1, 4 << 20):
+        known = WordSlots()
+        for batch in slices(batches, 1, 2 << 20):
             out = np.zeros((batch.num_rows, 2))
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = WORD.findall((text or "").lower())
@@ -194,7 +210,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=names)
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    made = own.mapInArrow(scored, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, p_low double, p_toxic double")
+    made = in_arrow(own, scored, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, p_low double, p_toxic double")
     return made.withColumn("keep", (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5))
 
 
@@ -203,12 +219,12 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, at, 4 << 20):
+        known = WordSlots()
+        for batch in slices(batches, at, 2 << 20):
             good = []
             for text in batch.column(at).to_pylist():
                 words = WORD.findall((text or "").lower())
                 good.append(bool(words) and bool((model.intercepts + model.weights[features(measures(text, words), set(words), known)].sum(axis=0) < 0).all()))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return in_arrow(docs, kept, docs.schema)

@@ -44,7 +44,7 @@ LAST = np.iinfo(np.int64).max
 class WordHashes(dict):
     """64-bit hash by word; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import by_bytes, texts_of
+from evidentia.llm.batches import by_bytes, in_arrow, texts_of
 
 DEFAULT_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -98,4 +98,4 @@ def token_counts(
 
     kept = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
-    return kept.mapInArrow(lengths, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_arrow(kept, lengths, schema).withColumn("over_limit", F.col("n_tokens") > limit)
