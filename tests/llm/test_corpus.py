@@ -1,5 +1,6 @@
 """Operators over the corpus: decontamination, substring and near dedup, URL filters, quality, language."""
 
+import functools
 import hashlib
 import re
 
@@ -267,6 +268,7 @@ def test_forward_sums_all_segmentations():
     vocabulary = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
     p = np.array([[0.3], [0.2], [0.2], [0.1], [0.2]])
 
+    @functools.cache
     def total(word):
         return 1.0 if not word else sum(p[vocabulary[word[:k]], 0] * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in vocabulary)
 
