@@ -12,7 +12,7 @@ copies, whose shared shingles are frequent by that alone, they keep their weight
 3. Nodes that share a band are candidates. A bucket of up to ``PAIRS`` nodes gives all its pairs. A
    larger one gives pairs with its ``leaders`` most central nodes alone; step 5 finds what these
    miss. Buckets over ``salt_above`` nodes are split, and the most central nodes of the parts meet in
-   the whole bucket.
+   the whole bucket; step 5 takes all parts as one bucket, however few they are.
 4. Pairs are verified: their weighted, or else their plain, Jaccard similarity is at least the
    threshold. Connected components of the verified links, by alternating large and small stars, are
    classes.
@@ -202,12 +202,13 @@ PAIR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("a", "b", "head")])
 
 
 def _pairs(leaders: int):
-    """From (key, central, id), sorted so that a bucket's most central nodes come first, to candidate
-    pairs (a, b) and, with null b, the members of large buckets with the most central of each."""
+    """From (key, id, split), sorted so that a bucket's most central nodes come first, to candidate
+    pairs (a, b) and, with null b, the members of large buckets, and of those that belong to a split
+    key at any size, with the most central of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        key, held, large = None, [], False
+        key, held, large, parted = None, [], False, False
 
         def meet(new: int, others: list[int]) -> None:
             out.extend((min(x, new), max(x, new), None) for x in others)
@@ -216,12 +217,14 @@ def _pairs(leaders: int):
             if not large:
                 for n, x in enumerate(held):
                     meet(x, held[:n])
+                    if parted:
+                        out.append((x, None, held[0]))
 
         for batch in batches:
-            for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, i, split in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != key:
                     close()
-                    key, held, large = k, [], False
+                    key, held, large, parted = k, [], False, split
                 if large:
                     meet(i, held)
                     out.append((i, None, held[0]))
@@ -325,13 +328,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _salted(keys: DataFrame, salt_above: int) -> DataFrame:
-    """(key, central, id) with very large keys split; the most central node of each part stays under the whole key."""
+    """(key, central, id, split) with very large keys split; the most central node of each part stays under the whole key."""
     large = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > salt_above))
     if large.isEmpty():
-        return keys
+        return keys.select("key", "central", "id", F.lit(False).alias("split"))
     split = keys.join(large, "key").select("key", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / salt_above))).alias("part"), "central", "id")
     heads = split.groupBy("key", "part").agg(F.max(F.struct("central", "id")).alias("h")).select("key", "h.central", "h.id")
-    return keys.join(large, "key", "left_anti").select("key", "central", "id").union(split.select("part", "central", "id")).union(heads)
+    return keys.join(large, "key", "left_anti").select("key", "central", "id", F.lit(False).alias("split")).union(split.select("part", "central", "id", F.lit(True)).union(heads.select("*", F.lit(True))))
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
@@ -352,7 +355,7 @@ def near_duplicates(
     nodes = stored(own.where("same is not null").groupBy("same").agg(F.min("id").alias("node")))
     bands = own.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select(F.explode("bands").alias("key"), "id").distinct()
     keys = _salted(stored(_buckets(bands)), salt_above)
-    dealt = keys.select("key", "id", "central").repartition("key").sortWithinPartitions("key", F.desc("central"), "id").select("key", "id")
+    dealt = keys.select("key", "id", "central", "split").repartition("key").sortWithinPartitions("key", F.desc("central"), "id").select("key", "id", "split")
     found = stored(dealt.mapInArrow(_pairs(leaders), "a bigint, b bigint, head bigint"))
     pairs = stored(found.where("b is not null").select("a", "b").distinct())
 

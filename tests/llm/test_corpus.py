@@ -148,6 +148,15 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert sorted_rows(N.near_duplicates(documents(spark, rows), leaders=1, salt_above=6, tile_rows=3)) == classes(rows)
 
 
+def test_near_duplicates_in_few_parts_of_a_split_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "bands_of", lambda shingled: [[1] if len(s[0]) else [] for s in shingled])
+    rows = [(i, prose(i, 40), "en") for i in range(1, 61)] + [(100 + i, prose(i, 40) + " more", "en") for i in range(40, 61)]
+    want = classes(rows)
+    assert sum(i != c for i, c in want) == 21
+    for salt_above in (50, 20, 8):  # 2, 5 and 11 parts
+        assert sorted_rows(N.near_duplicates(documents(spark, rows), salt_above=salt_above)) == want
+
+
 def test_near_duplicates_without_links(spark):
     assert N.near_duplicates(documents(spark).limit(0)).collect() == []
     assert sorted_rows(N.near_duplicates(documents(spark, [(1, "a b", "x"), (2, None, "x"), (3, "", "x")]))) == [(1, 1), (2, 2), (3, 3)]
