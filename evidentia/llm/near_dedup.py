@@ -6,9 +6,12 @@ all documents in a fixed number of hashed slots, and scaled to 1..2, so that in
 copies, whose shared shingles are frequent by that alone, they keep their weight.
 
 1. Texts with the same words are one node, whose number is their smallest document id.
-2. Each node gets 64 consistent weighted samples, in 16 bands of 4. A text of many shingles draws
-   them from 64 bins of its shingles, a shorter one from 16, 4 or 1 bins with 4, 16 or 64 draws from
-   each; near a limit between these schemes, texts get the samples of both sides.
+2. Each node gets 64 consistent weighted samples, in 16 bands of 4. Each occurrence of a shingle is
+   an element of its own, which weighs its idf: the weighted similarity of these sets is the same,
+   and no few elements carry most of a set. A text of much weight draws its samples from 64 bins of
+   its elements, a lighter one from 16, 4 or 1 bins with 4, 16 or 64 draws from each; near a limit
+   between these schemes, texts get the samples of both sides. A text with repeated shingles gets
+   the bands of its distinct shingles too, for pairs that are similar by these alone.
 3. Nodes that share a band are candidates. A bucket of up to ``PAIRS`` nodes gives all its pairs. A
    larger one gives pairs with its ``leaders`` most central nodes alone; step 5 finds what these
    miss. Buckets over ``salt_above`` nodes are split, and the most central nodes of the parts meet in
@@ -45,8 +48,8 @@ SIZE = 5
 SLOTS = 1 << 18
 SAMPLES, ROWS = 64, 4
 PAIRS = 16
-#: (fewest shingles, bins); samples a bin: SAMPLES // bins.
-SCHEMES = ((1, 1), (24, 4), (96, 16), (384, 64))
+#: (least weight of all elements, each of which weighs 1 to 2; bins); samples a bin: SAMPLES // bins.
+SCHEMES = ((1, 1), (48, 4), (192, 16), (768, 64))
 OVERLAP = 0.75
 BASE = 0x9E3779B97F4A7C15
 _BREAKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -121,17 +124,34 @@ def samples(keys: np.ndarray, weights: np.ndarray, doc: np.ndarray, bins: int) -
     return np.concatenate(places), np.concatenate(found)
 
 
+def occurrences(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each occurrence of each shingle, the first one's being the shingle's, and its place in ``keys``."""
+    at = np.repeat(np.arange(len(keys)), counts)
+    nth = (np.arange(len(at)) - (np.cumsum(counts) - counts)[at]).astype(np.uint64)
+    return np.where(nth == 0, keys[at], mixed(keys[at] + mixed(nth))), at
+
+
 def bands_of(shingled: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[list[int]]:
     """Band hashes of each document; a band of empty bins alone is left out."""
-    out: list[list[int]] = [[] for _ in shingled]
-    sizes = np.array([len(s[0]) for s in shingled])
-    for i, (fewest, bins) in enumerate(SCHEMES):
+    sets, owners = [], []
+    for d, (keys, counts, q) in enumerate(shingled):
+        weights = 1 + q / 255
+        sets.append((keys, weights))
+        owners.append(d)
+        if len(keys) and counts.max() > 1:
+            own, at = occurrences(keys, counts)
+            sets.append((own, weights[at]))
+            owners.append(d)
+    out: list[dict[int, None]] = [{} for _ in shingled]
+    sizes = np.array([len(s[0]) for s in sets])
+    totals = np.array([s[1].sum() for s in sets])
+    for i, (least, bins) in enumerate(SCHEMES):
         most = SCHEMES[i + 1][0] / OVERLAP if i + 1 < len(SCHEMES) else np.inf
-        chosen = np.flatnonzero((sizes >= fewest * (OVERLAP if i else 1)) & (sizes < most))
+        chosen = np.flatnonzero((totals >= least * (OVERLAP if i else 1)) & (totals < most))
         for a in range(0, len(chosen), 300):
             part = chosen[a : a + 300]
-            keys = np.concatenate([shingled[d][0] for d in part])
-            weights = np.concatenate([shingled[d][1] * (1 + shingled[d][2] / 255) for d in part])
+            keys = np.concatenate([sets[d][0] for d in part])
+            weights = np.concatenate([sets[d][1] for d in part])
             doc = np.repeat(np.arange(len(part)), sizes[part])
             places, found = samples(keys, weights, doc, bins)
             table = np.zeros(len(part) * SAMPLES, np.uint64)
@@ -143,8 +163,8 @@ def bands_of(shingled: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[
             band = mixed(band + np.arange(SAMPLES // ROWS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(bins)).view(np.int64)
             held = table.any(axis=2)
             for d, own, use in zip(part.tolist(), band, held, strict=True):
-                out[d] += own[use].tolist()
-    return out
+                out[owners[d]].update(dict.fromkeys(own[use].tolist()))
+    return [list(found) for found in out]
 
 
 def _signatures(idf: np.ndarray):

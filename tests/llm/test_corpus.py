@@ -176,6 +176,26 @@ def test_sampling_estimates_weighted_similarity():
         assert abs(np.mean(same) - want) < 0.07, bins
 
 
+def test_bands_find_texts_with_heavily_repeated_lines():
+    known, idf = WordHashes(), np.full(N.SLOTS, 1.4, np.float32)
+
+    def text(lines, own, seed):
+        return N.words_of(f"{prose(seed % 1000, lines)} " * (2000 if seed < 5000 else 200) + prose(seed, own))
+
+    # weighted similarity 0.8 to 0.95 with other words beside the line; plain similarity 1 with a tenth of the repetitions
+    for own, lines, seeds in ((1000, 20, (1000, 2000)), (1000, 10, (1000, 2000)), (2000, 10, (1000, 2000)), (10, 10, (1000, 2000)), (1000, 20, (1000, 6000))):
+        met = 0
+        for n in range(12):
+            words = [text(lines, own, seeds[0] + n), text(lines, own, seeds[1] + n)]
+            if seeds[1] > 5000:
+                words[1] = words[1][: 200 * lines] + words[0][-own:]
+            a, b = (N.shingles_of(known.of(w), idf) for w in words)
+            x, y = N.bands_of([a, b])
+            met += bool(set(x) & set(y))
+            assert len(set(x)) == len(x)
+        assert met == 12, (own, lines, seeds, met)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (2, 1), (7, 7)], "a bigint, b bigint")
     assert {r.id: r.component for r in N.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
