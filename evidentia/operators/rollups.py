@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import occurrences
@@ -87,6 +90,21 @@ def natural_order(column: str) -> list[Column]:
     return [natural_key(F.col(column)).asc_nulls_last(), F.col(column).asc_nulls_last()]
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds each row's place in ``order``, from 1, which must leave no ties: rows are dealt out by ranges
+    of the order, numbered within their range, and moved up by the rows of the ranges before it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
+    # ranges are drawn from a sample: they are kept, so that all that follows sees the same ones
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    # one row for each range
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("bigint")
+    return dealt.withColumn(name, place).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
 def counts_by(df: DataFrame, name: Column, alias: str, count: str) -> DataFrame:
     """Rows by value, most first, ties by value."""
     return df.groupBy(name.alias(alias)).agg(F.count("*").alias(count)).orderBy(F.col(count).desc(), F.col(alias))

@@ -228,11 +228,19 @@ def exists_probe(spark, sf_dir):
 SELECT p_partkey, name, row_number() OVER (ORDER BY try_cast(regexp_extract(name, '^[0-9]+') AS INTEGER) NULLS LAST, name NULLS LAST, p_partkey) AS position
 FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_size || substr(p_brand, 1, 3) END AS name FROM part WHERE p_size < 10)""")
 def natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
+    return _sorted_parts(table(spark, sf_dir, "part").where("p_size < 10"))
+
+
+@registered("""
+SELECT p_partkey, name, row_number() OVER (ORDER BY try_cast(regexp_extract(name, '^[0-9]+') AS INTEGER) NULLS LAST, name NULLS LAST, p_partkey) AS position
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_size || substr(p_brand, 1, 3) END AS name FROM part)""")
+def natural_sort_whole(spark, sf_dir):
+    return _sorted_parts(table(spark, sf_dir, "part"))
+
 
+def _sorted_parts(part: DataFrame) -> DataFrame:
     name = F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.concat(F.col("p_size").cast("string"), F.substring("p_brand", 1, 3)))
-    own = table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", name.alias("name"))
-    return own.withColumn("position", F.row_number().over(Window.orderBy(*rollups.natural_order("name"), "p_partkey")).cast("bigint"))
+    return rollups.numbered(part.select("p_partkey", name.alias("name")), [*rollups.natural_order("name"), F.col("p_partkey")])
 
 
 @registered("SELECT conv_id, string_agg('--- page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

@@ -15,6 +15,15 @@ def plain(value):
     return "None" if value is None else repr(value)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_natural_sort_of_the_whole_table(spark):
+    found = catalogue.QUERIES["natural_sort_whole"](spark, str(DATA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    n = spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert sorted(r.position for r in found.select("position").collect()) == list(range(1, n + 1))
+    assert all("__range" in line or "windowspecdefinition(" not in line for line in plan.splitlines())
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, name):
