@@ -152,8 +152,17 @@ def cosine_pairs(spark, sf_dir):
 
 @registered("SELECT vec_id, slot, round(value / norm, 6) AS value FROM (SELECT vec_id, unnest(list_transform(embedding[:8], lambda x: x::DOUBLE)) AS value, generate_subscripts(embedding[:8], 1)::INTEGER AS slot, sqrt(list_dot_product(embedding[:8]::DOUBLE[], embedding[:8]::DOUBLE[])) AS norm FROM embeddings)")
 def l2_normalised(spark, sf_dir):
-    short = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    return short.select("vec_id", F.posexplode(vectors.normalised(F.col("v"))).alias("slot", "value")).select("vec_id", (F.col("slot") + 1).alias("slot"), F.round("value", 6).alias("value"))
+    return _normalised_slots(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
+
+
+@registered("SELECT vec_id, slot, round(value / norm, 6) AS value FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS value, generate_subscripts(embedding, 1)::INTEGER AS slot, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)")
+def l2_normalised_whole(spark, sf_dir):
+    return _normalised_slots(table(spark, sf_dir, "embeddings"))
+
+
+def _normalised_slots(vecs: DataFrame) -> DataFrame:
+    doubles = vecs.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return doubles.select("vec_id", F.posexplode(vectors.normalised(F.col("v"))).alias("slot", "value")).select("vec_id", (F.col("slot") + 1).alias("slot"), F.round("value", 6).alias("value"))
 
 
 @registered("SELECT doc_id, n_chars FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 0) USING (doc_id)")

@@ -24,6 +24,14 @@ def test_natural_sort_of_the_whole_table(spark):
     assert all("__range" in line or "windowspecdefinition(" not in line for line in plan.splitlines())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_normalised_vectors_are_whole(spark):
+    vecs = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    found = catalogue.QUERIES["l2_normalised_whole"](spark, str(DATA))
+    assert found.count() == sum(len(r.embedding) for r in vecs.collect())
+    assert all(abs(r.s - 1) < 1e-4 for r in found.selectExpr("vec_id", "value * value as x").groupBy("vec_id").sum("x").withColumnRenamed("sum(x)", "s").collect())
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(spark, name):
