@@ -1,18 +1,23 @@
 """Quality classifier from weak labels.
 
-Two questions are asked of a document: is it of low quality, is it toxic. Overlapping labellers vote
-on each (1 yes, -1 no, 0 no opinion): heuristics over the text and, where a table of annotations is
-given, the annotators as one more labeller. Expectation-maximisation over the counts of vote
-patterns (3^labellers at most) estimates how each labeller votes under either answer, and with it
-the posterior of every pattern. Posterior labels of documents on which somebody has an opinion train
-a logistic scorer over hashed features (distinct words, their first 4 and 5 letters, levels of
-the text's measures), fitted by Spark ML on a sample of about ``train_rows`` documents chosen by the
-hash of the id. The scorer then judges every document, over its whole text.
+Two questions are asked of a document: is it of low quality, is it toxic. Several overlapping
+labellers vote on each (1 yes, -1 no, 0 no opinion): heuristics over the text and, where a table of
+annotations is given, the annotators as one more labeller. Expectation-maximisation over the counts
+of vote patterns (3^labellers at most) estimates how often each labeller, the annotators too, is
+right when it votes, and with it the posterior of every pattern. On the annotators' accuracy there is
+a prior of ``ANNOTATOR``, which weighs as much as the votes that they cast: it says which of two
+labellers that contradict each other is to be believed at first.
+
+The posteriors, as they are, are the labels of a logistic scorer over hashed features (distinct
+words, their first 4 and 5 letters) and a few exact ones (levels of the text's measures, signs of
+insult). It is fitted by L-BFGS, whose gradients Spark sums over a sample of about ``train_rows``
+documents chosen by the hash of the id; a gradient comes to the driver as one number for each
+feature and question. The scorer then judges every document, over its whole text.
 
 Edge cases: null texts and texts without words are of low quality (p_low 1, p_toxic 0); repeated
-rows are scored alike; contradicting annotations of one id count as no opinion; without any vote, or
-with votes for one answer alone, that answer's share is every document's score; an empty table gives
-an empty one; only the named columns are read.
+rows are scored alike; contradicting annotations of one id count as no opinion, and so do null ones;
+a document of null id has no annotation; without any vote on a question its score is 0 everywhere; an
+empty table gives an empty one; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,28 +27,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.batches import in_arrow, slices
-from evidentia.llm.tables import stored
+from evidentia.llm.tables import discard, stored
 
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 LEVELS = 20
-SIZE = SLOTS + 5 * LEVELS + 1
+#: Signs of insult that are features of their own, after SLOTS and the levels of five measures.
+SIGNS = 4
+SIZE = SLOTS + 5 * LEVELS + SIGNS
 #: Value of the few features from SLOTS on, those of words having 1: the penalty bears on them less.
 STRONG = 4.0
 WORD = re.compile(r"\w+")
 CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
-#: Words of insult.
-INSULTS = frozenset("idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb jerk filth vermin".split())
+#: Words that belittle someone's mind, words that deny someone's worth, and beginnings of words derived from either.
+MIND = frozenset("idiot moron stupid clown imbecile dumb jerk fool dumm trottel blödmann crétin abruti stupide estúpido imbécil tonto".split())
+WORTH = frozenset("loser scum trash pathetic worthless disgusting filth vermin abschaum ekelhaft widerlich versager minable ordure répugnant basura asqueroso escoria".split())
+STEMS = ("idiot", "moron", "stupid", "imbecil", "disgust", "patheti", "worthles")
 TASKS = ("low", "toxic")
-HEURISTICS = 6
-LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "ordinary", "annotator"), "toxic": ("insults", "annotator")}
-#: How often an annotator with an opinion is taken to be right; the others' accuracies are estimated.
-ANNOTATOR = 0.999
+LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "ordinary", "annotator"), "toxic": ("mind", "worth", "derived", "several", "annotator")}
+#: Votes of the heuristics come in one array, those on quality first.
+HEURISTICS = {"low": (0, 5), "toxic": (5, 9)}
+#: Prior accuracies of an annotator and of a heuristic, and how many votes the latter's weighs.
+ANNOTATOR, HEURISTIC, TRUST = 0.98, 0.8, 5.0
 PLAIN = frozenset(".,;:!?'\"()-|/\n\r\t «»“”‘’…–—¿¡")
 
 
@@ -61,12 +69,19 @@ def measures(text: str, words: list[str]) -> dict[str, float]:
     }
 
 
-def votes(found: dict[str, float], words: set[str]) -> list[int]:
+def insults(words: set[str]) -> tuple[int, int, int, int]:
+    """Whether there is a word of MIND, of WORTH, one derived from a stem, and more than one of them all."""
+    mind, worth = len(words & MIND), len(words & WORTH)
+    derived = sum(w.startswith(STEMS) for w in words) - sum(w.startswith(STEMS) for w in words & (MIND | WORTH))
+    return int(mind > 0), int(worth > 0), int(derived > 0), int(mind + worth + derived > 1)
+
+
+def votes(found: dict[str, float], signs: tuple[int, ...]) -> list[int]:
     """Of the heuristic labellers, in the order of LABELLERS. A sign of one fault says nothing of the
     others, so its absence is no opinion; ``ordinary`` votes no where there is no sign of any."""
     faults = [found["symbols"] >= 0.08, found["repeats"] >= 0.3, found["bars"] >= 0.4, found["shouts"] >= 0.5]
     ordinary = found["symbols"] <= 0.02 and max(found["repeats"], found["bars"], found["shouts"]) <= 0.15
-    return [*map(int, faults), -int(ordinary), int(not INSULTS.isdisjoint(words))]
+    return [*map(int, faults), -int(ordinary), *signs]
 
 
 class WordSlots(dict):
@@ -86,14 +101,14 @@ class WordSlots(dict):
         return found
 
 
-def features(found: dict[str, float], words: set[str], known: WordSlots) -> np.ndarray:
+def features(found: dict[str, float], words: set[str], signs: tuple[int, ...], known: WordSlots) -> np.ndarray:
     """Distinct slots of the document's features: hashed words and their first 4 and 5 letters, then from
-    SLOTS on the levels that each measure reaches, and whether there is a word of insult."""
+    SLOTS on the levels that each measure reaches, and the signs of insult."""
     packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     hashed = np.unique(np.concatenate([packed & 0xFFFFF, packed >> 20 & 0xFFFFF, packed >> 40]))
     reached = [SLOTS + LEVELS * k + i for k, v in enumerate(found.values()) for i in range(min(LEVELS, int(v * LEVELS) + 1))]
-    insult = [] if INSULTS.isdisjoint(words) else [SIZE - 1]
-    return np.concatenate([hashed.astype(np.int32), np.array(reached + insult, np.int32)])
+    marked = [SIZE - SIGNS + k for k, sign in enumerate(signs) if sign]
+    return np.concatenate([hashed.astype(np.int32), np.array(reached + marked, np.int32)])
 
 
 def _votes_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,37 +118,116 @@ def _votes_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for text, chosen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             words = WORD.findall((text or "").lower())
             found, own = measures(text or "", words), set(words)
-            cast.append(votes(found, own) if words else [0] * HEURISTICS)
-            slots.append(features(found, own, known) if chosen and words else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int32()))], names=["id", "votes", "slots"])
+            signs = insults(own)
+            cast.append(votes(found, signs) if words else [0] * HEURISTICS["toxic"][1])
+            slots.append(features(found, own, signs, known).tobytes() if chosen and words else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array(slots, pa.binary())], names=["id", "votes", "slots"])
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each pattern, and P(vote | answer) by labeller, answer and vote (-1, 0, 1).
+    """Posterior of each pattern of votes (the annotator's last), and the accuracy of each labeller.
 
-    The last labeller is the annotator, whose accuracy is given: two labellers alone would leave it
-    open which of them to believe.
+    A labeller that votes is right with its accuracy, whatever the answer; no opinion says nothing, and
+    without votes both answers are as likely. All accuracies are estimated. Each begins with ``TRUST``
+    votes right in a share of ``HEURISTIC``; the annotator's with as many more as it cast, right in a
+    share of ``ANNOTATOR``.
     """
-    posterior = 1 / (1 + np.exp(-2.0 * (patterns.sum(axis=1) + 2 * patterns[:, -1])))
-    onehot = patterns[:, :, None] == np.array([-1, 0, 1])
+    spoken = counts @ (patterns != 0)
+    given = np.full(patterns.shape[1], TRUST)
+    given[-1] += spoken[-1]
+    right = np.full(patterns.shape[1], HEURISTIC)
+    right[-1] = ANNOTATOR
+    accuracy = right.copy()
     for _ in range(rounds):
-        weight = np.stack([(1 - posterior) * counts, posterior * counts])
-        tables = np.einsum("yp,plv->lyv", weight, onehot) + 0.1
-        tables /= tables.sum(axis=2, keepdims=True)
-        spoken = 1 - tables[-1, :, 1]
-        tables[-1, :, 0] = spoken * np.array([ANNOTATOR, 1 - ANNOTATOR])
-        tables[-1, :, 2] = spoken * np.array([1 - ANNOTATOR, ANNOTATOR])
-        prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        logs = np.log(prior) + np.einsum("plv,lyv->py", onehot, np.log(tables))
-        posterior = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-    return posterior, tables
+        posterior = 1 / (1 + np.exp(-patterns @ np.log(accuracy / (1 - accuracy))))
+        agreed = counts @ np.where(patterns > 0, posterior[:, None], np.where(patterns < 0, 1 - posterior[:, None], 0.0))
+        accuracy = np.clip((agreed + given * right) / (spoken + given), 0.01, 0.999)
+    return posterior, accuracy
 
 
 class Model:
     """Weights by slot and the intercept, for each task; accuracies of the labellers for the record."""
 
-    def __init__(self, weights: np.ndarray, intercepts: np.ndarray, tables: dict[str, np.ndarray]):
-        self.weights, self.intercepts, self.tables = weights, intercepts, tables
+    def __init__(self, weights: np.ndarray, intercepts: np.ndarray, accuracies: dict[str, np.ndarray]):
+        self.weights, self.intercepts, self.accuracies = weights, intercepts, accuracies
+
+
+VALUES = np.concatenate([np.ones(SLOTS), np.full(SIZE - SLOTS, STRONG)])
+BIAS, LOSS, WEIGHT = SIZE, SIZE + 1, SIZE + 2
+
+
+def _gradient(weights: np.ndarray):
+    """From (slots as 32-bit numbers, p_low, p_toxic), a null p standing for no opinion, to (slot, low, toxic): parts of the
+    gradient by slot, with rows for the intercepts, the losses and the numbers of documents."""
+    scaled = weights[:SIZE] * VALUES[:, None]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SIZE + 3, len(TASKS)))
+        for batch in batches:
+            packed = batch.column(0).to_pylist()
+            slots = np.frombuffer(b"".join(packed), np.int32)
+            sizes = np.array([len(x) // 4 for x in packed])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            for k in range(len(TASKS)):
+                wanted = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)
+                there = ~np.isnan(wanted)
+                wanted = np.where(there, wanted, 0.0)
+                logs = np.bincount(owner, scaled[slots, k], len(sizes)) + weights[BIAS, k]
+                error = np.where(there, 1 / (1 + np.exp(-np.clip(logs, -500, 500))) - wanted, 0.0)
+                total[:SIZE, k] += np.bincount(slots, error[owner], SIZE) * VALUES
+                total[BIAS:, k] += error.sum(), np.where(there, np.logaddexp(0, logs) - wanted * logs, 0).sum(), there.sum()
+        at = np.flatnonzero(total.any(axis=1))
+        for a in range(0, len(at), 20_000):
+            part = at[a : a + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(total[part, k]) for k in range(len(TASKS)))], names=["slot", *TASKS])
+
+    return rows
+
+
+def objective(sample: DataFrame, regularisation: float):
+    """weights -> (loss, gradient), both as sums of the tasks' means; one Spark job each time."""
+
+    def at(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = flat.reshape(SIZE + 1, len(TASKS))
+        found = in_arrow(sample, _gradient(weights), "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
+        total = np.zeros((SIZE + 3, len(TASKS)))
+        total[found.column("slot").to_numpy()] = np.stack([found.column(t).to_numpy() for t in TASKS], axis=1)
+        n = np.maximum(total[WEIGHT], 1)
+        gradient = total[: SIZE + 1] / n
+        gradient[:SIZE] += regularisation * weights[:SIZE]
+        return float((total[LOSS] / n).sum() + regularisation / 2 * (weights[:SIZE] ** 2).sum()), gradient.ravel()
+
+    return at
+
+
+def minimised(evaluate, start: np.ndarray, rounds: int, tolerance: float = 1e-5, memory: int = 6) -> np.ndarray:
+    """L-BFGS with steps that are halved until they help."""
+    x, (value, gradient) = start, evaluate(start)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, held = gradient.copy(), []
+        for s, y in reversed(pairs):
+            a = s @ way / (s @ y)
+            held.append(a)
+            way -= a * y
+        way *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.linalg.norm(gradient)))
+        for (s, y), a in zip(pairs, reversed(held), strict=True):
+            way += s * (a - y @ way / (s @ y))
+        slope, step = float(gradient @ way), 1.0
+        while step > 1e-4:
+            after, (new_value, new_gradient) = x - step * way, evaluate(x - step * way)
+            if new_value <= value - 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            return x
+        gain = value - new_value
+        if (after - x) @ (new_gradient - gradient) > 1e-12:
+            pairs = [*pairs[1 - memory :], (after - x, new_gradient - gradient)]
+        x, value, gradient = after, new_value, new_gradient
+        if gain < tolerance * max(1.0, abs(value)):
+            break
+    return x
 
 
 def _annotated(own: DataFrame, labels: DataFrame | None, id_col: str, low_if: Column | None, toxic_if: Column | None) -> DataFrame:
@@ -158,6 +252,7 @@ def train(
     toxic_if: Column | None = None,
     train_rows: int = 30_000,
     regularisation: float = 1e-4,
+    rounds: int = 30,
 ) -> Model:
     """Label models over all documents; scorers over the sample. Small tables alone come to the driver."""
     low_if = F.col("quality") == 0 if low_if is None else low_if
@@ -165,31 +260,36 @@ def train(
     total = docs.count()
     chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, total)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), chosen.alias("chosen"))
-    own = stored(in_arrow(texts, _votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots array<int>"))
+    own = stored(in_arrow(texts, _votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots binary"))
     joined = _annotated(own, labels, id_col, low_if, toxic_if)
-    pattern = {"low": F.array(*[F.col("votes")[i] for i in range(HEURISTICS - 1)], "a_low"), "toxic": F.array(F.col("votes")[HEURISTICS - 1], "a_toxic")}
-    held = stored(joined.select("slots", *[p.alias(k) for k, p in pattern.items()]))
-    weights, intercepts, tables = np.zeros((SIZE, len(TASKS))), np.zeros(len(TASKS)), {}
-    to_vector = F.udf(lambda s: Vectors.sparse(SIZE, s, [1.0 if i < SLOTS else STRONG for i in s]), VectorUDT())
-    for k, task in enumerate(TASKS):
-        opinion = F.exists(F.col(task), lambda v: v != 0)
-        rows = held.where(opinion).groupBy(task).count().collect()
+    held = stored(joined.select("slots", *[F.array(*[F.col("votes")[i] for i in range(*HEURISTICS[t])], f"a_{t}").alias(t) for t in TASKS]))
+    sample, accuracies = held.where("slots is not null"), {}
+    for task in TASKS:
+        rows = held.where(F.exists(F.col(task), lambda v: v != 0)).groupBy(task).count().collect()
         if not rows:
-            intercepts[k] = -50.0
-            continue
-        patterns = np.array([r[0] for r in rows])
-        posterior, tables[task] = expectation_maximisation(patterns, np.array([r[1] for r in rows], float))
-        answers = docs.sparkSession.createDataFrame([(r[0], float(p)) for r, p in zip(rows, posterior, strict=True)], f"{task} array<int>, p double")
-        labelled = held.where(opinion & F.col("slots").isNotNull()).join(F.broadcast(answers), task)
-        sample = stored(labelled.select("slots", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0).alias("label"), F.abs(2 * F.col("p") - 1).alias("weight")).where("weight > 0"))
-        shares = sample.agg(F.avg("label")).first()[0]
-        if shares in (None, 0.0, 1.0):
-            intercepts[k] = {None: -50.0, 0.0: -50.0, 1.0: 50.0}[shares]
+            sample = sample.withColumn(f"p_{task}", F.lit(None).cast("double"))
             continue
-        fitted = LogisticRegression(maxIter=40, regParam=regularisation, standardization=False, weightCol="weight").fit(sample.select(to_vector("slots").alias("features"), "label", "weight"))
-        weights[:, k], intercepts[k] = fitted.coefficients.toArray(), fitted.intercept
-    weights[SLOTS:] *= STRONG
-    return Model(weights, intercepts, tables)
+        posterior, accuracies[task] = expectation_maximisation(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
+        answers = docs.sparkSession.createDataFrame([(r[0], float(p)) for r, p in zip(rows, posterior, strict=True)], f"{task} array<int>, p_{task} double")
+        # at most one row for each pattern of six votes
+        sample = sample.join(F.broadcast(answers), task, "left")
+    # the sample is bounded by train_rows, so a fixed number of partitions holds it
+    sample = stored(sample.select("slots", *[f"p_{t}" for t in TASKS]).repartition(6))
+    discard(own, held)
+    flat = minimised(objective(sample, regularisation), np.zeros((SIZE + 1) * len(TASKS)), rounds)
+    discard(sample)
+    weights = flat.reshape(SIZE + 1, len(TASKS))
+    intercepts = np.array([weights[BIAS, k] if t in accuracies else -50.0 for k, t in enumerate(TASKS)])
+    return Model(weights[:SIZE] * VALUES[:, None], intercepts, accuracies)
+
+
+def _judged(text: str | None, model: Model, known: WordSlots) -> np.ndarray | None:
+    """Log odds of the tasks; None for a text without words."""
+    words = WORD.findall((text or "").lower())
+    if not words:
+        return None
+    own = set(words)
+    return model.intercepts + model.weights[features(measures(text, words), own, insults(own), known)].sum(axis=0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,12 +301,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, 1, 2 << 20):
             out = np.zeros((batch.num_rows, 2))
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = WORD.findall((text or "").lower())
-                if words:
-                    logs = model.intercepts + model.weights[features(measures(text, words), set(words), known)].sum(axis=0)
-                    out[i] = 1 / (1 + np.exp(-np.clip(logs, -50, 50)))
-                else:
-                    out[i] = 1.0, 0.0
+                logs = _judged(text, model, known)
+                out[i] = (1.0, 0.0) if logs is None else 1 / (1 + np.exp(-np.clip(logs, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=names)
 
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
@@ -223,8 +319,8 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for batch in slices(batches, at, 2 << 20):
             good = []
             for text in batch.column(at).to_pylist():
-                words = WORD.findall((text or "").lower())
-                good.append(bool(words) and bool((model.intercepts + model.weights[features(measures(text, words), set(words), known)].sum(axis=0) < 0).all()))
+                logs = _judged(text, model, known)
+                good.append(logs is not None and bool((logs < 0).all()))
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return in_arrow(docs, kept, docs.schema)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (a local session), a new temporary folder."""
+    """spark.checkpoint.dir. Where it is unset, a new temporary folder, which only a local session may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -25,11 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that ``stored`` wrote, once nothing reads it any more."""
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/evidentia-" not in file:
-            raise ValueError(f"not written here: {file}")
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/evidentia-" not in file:
+                raise ValueError(f"not written here: {file}")
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
