@@ -5,7 +5,8 @@ lower-cased). A shingle weighs its frequency times the mean idf of its words; id
 all documents in a fixed number of hashed slots, and scaled to 1..2, so that in a large group of
 copies, whose shared shingles are frequent by that alone, they keep their weight.
 
-1. Texts with the same words are one node, whose number is their smallest document id.
+1. Texts with the same words are one node, told apart by a digest of the words and numbered as the
+   table of nodes is written; ids may repeat or be null. A class is named by its smallest id.
 2. Each node gets 64 consistent weighted samples, in 16 bands of 4. Each occurrence of a shingle is
    an element of its own, which weighs its idf: the weighted similarity of these sets is the same,
    and no few elements carry most of a set. A text of much weight draws its samples from 64 bins of
@@ -23,9 +24,11 @@ copies, whose shared shingles are frequent by that alone, they keep their weight
    exactly with all its nodes, over inverted lists in tiles of ``tile_rows`` times ``tile_rows``; only
    links between classes leave a tile, and join classes as in step 4.
 
-Edge cases: texts without words (null and empty too) are alone in their class; a text of fewer than
-``SIZE`` words is one shingle; repeated rows fall into one class; a null id counts as larger than
-all others and is returned as null; an empty table gives an empty one; other columns are not read.
+Edge cases: ids are integers. Texts without words (null and empty too) are alone in their class; a
+text of fewer than ``SIZE`` words is one shingle; equal rows fall into one class; different texts of
+one id are different nodes, and may fall into different classes; a null id counts as larger than all
+others, and a class of null ids alone has a null name; an empty table gives an empty one; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.batches import in_arrow, slices
-from evidentia.llm.packed import pack, unpack
-from evidentia.llm.substring_dedup import LAST, WordHashes, mixed, rolled
-from evidentia.llm.tables import stored
+from evidentia.llm.substring_dedup import WordHashes, mixed, rolled
+from evidentia.llm.tables import discard, stored
 
 SIZE = 5
 SLOTS = 1 << 18
@@ -167,14 +168,24 @@ def bands_of(shingled: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[
     return [list(found) for found in out]
 
 
+def digest_of(words: list[bytes]) -> bytes | None:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
+def packed_vector(keys: np.ndarray, counts: np.ndarray, q: np.ndarray) -> bytes:
+    """Number of shingles, bytes of a count (2 or 4), then hashes, counts and idf."""
+    wide = 4 if len(counts) and counts.max() > 65535 else 2
+    return len(keys).to_bytes(4, "little") + bytes([wide]) + (keys >> np.uint64(32)).astype("<u4").tobytes() + counts.astype(f"<u{wide}").tobytes() + q.tobytes()
+
+
 def _signatures(idf: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in slices(batches, 1, 2 << 20):
-            words = [words_of(t or "") for t in batch.column(1).to_pylist()]
-            digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+        for batch in slices(batches, 2, 2 << 20):
+            words = [words_of(t or "") for t in batch.column(2).to_pylist()]
             bands = bands_of([shingles_of(known.of(w), idf) for w in words])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "same", "bands"])
+            digests = pa.array(map(digest_of, words), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(bands, pa.list_(pa.int64()))], names=["id", "text_key", "same", "bands"])
 
     return rows
 
@@ -182,20 +193,18 @@ def _signatures(idf: np.ndarray):
 def _vectors(idf: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in slices(batches, 1, 2 << 20):
-            made = []
-            for text in batch.column(1).to_pylist():
-                keys, counts, q = shingles_of(known.of(words_of(text or "")), idf)
-                made.append(len(keys).to_bytes(4, "little") + (keys >> np.uint64(32)).astype("<u4").tobytes() + np.minimum(counts, 65535).astype("<u2").tobytes() + q.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "vector"])
+        for batch in slices(batches, 0, 2 << 20):
+            words = [words_of(t or "") for t in batch.column(0).to_pylist()]
+            made = [packed_vector(*shingles_of(known.of(w), idf)) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, words), pa.binary()), pa.array(made, pa.binary())], names=["same", "vector"])
 
     return rows
 
 
 def _read_vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:4], "little")
-    keys = np.frombuffer(data, "<u4", n, 4)
-    return keys, np.frombuffer(data, "<u2", n, 4 + 4 * n) * (1 + np.frombuffer(data, np.uint8, n, 4 + 6 * n) / 255)
+    n, wide = int.from_bytes(data[:4], "little"), data[4]
+    keys = np.frombuffer(data, "<u4", n, 5)
+    return keys, np.frombuffer(data, f"<u{wide}", n, 5 + 4 * n) * (1 + np.frombuffer(data, np.uint8, n, 5 + (4 + wide) * n) / 255)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -328,23 +337,34 @@ def _rest(members: DataFrame, classes: DataFrame, vectors: DataFrame, threshold:
         return spread.select(F.xxhash64("group", *[F.col(c).cast("bigint") for c in pair]).alias("tile"), F.lit(side).alias("side"), "component", "id")
 
     tiles = dealt(own.where("odd"), 0, "left", "right").union(dealt(own, 1, "right", "left")).join(vectors, "id")
-    return tiles.select("tile", "side", "component", "vector").repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles(threshold), "a bigint, b bigint")
+    dealt_out = tiles.select("tile", "side", "component", "vector").repartition("tile").sortWithinPartitions("tile", "side")
+    return in_arrow(dealt_out, _tiles(threshold), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that links (a, b) lead to, for every id that has a link."""
+    """(id, component), stored: the smallest id that links (a, b) lead to, for every id that has a link.
+
+    Alternating large and small stars; it ends when a round leaves as many links as it found, with the
+    same fingerprint. A hub's links meet in joins alone, which adaptive execution splits.
+    """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    mark = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
+    seen = now.agg(*mark).first()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        after = stored(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
-        if after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty():
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(now, large)
+        now, found = after, after.agg(*mark).first()
+        if found == seen:
             break
-        now = after
-    return after.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").union(after.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component")))
+        seen = found
+    made = stored(now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id").union(now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))))
+    discard(now)
+    return made
 
 
 def _salted(keys: DataFrame, salt_above: int) -> DataFrame:
@@ -364,31 +384,77 @@ def _buckets(bands: DataFrame) -> DataFrame:
     return bands.join(sizes, "key").select("key", F.sum("n").over(Window.partitionBy("id")).alias("central"), "id")
 
 
-def near_duplicates(
+def _vectors_of(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(id, vector) of the nodes ``wanted`` (id, same, first)."""
+    # a shuffle at any size: the texts that are wanted grow with the corpus
+    texts = docs.join(wanted.select(F.col("first").alias("id")).distinct().hint("merge"), "id", "left_semi").select("text")
+    if not wanted.where("first is null").isEmpty():
+        texts = texts.union(docs.where("id is null").select("text"))
+    made = in_arrow(texts, _vectors(idf), "same binary, vector binary").dropDuplicates(["same"])
+    return made.join(wanted.select("id", "same").hint("merge"), "same").select("id", "vector")
+
+
+def near_duplicate_rows(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, leaders: int = 4, salt_above: int = 20_000, tile_rows: int = 1000
 ) -> DataFrame:
-    """Per row: ``id_col`` and class_id, the smallest id of its class."""
+    """Per row: ``id_col``, text_key (of the text, by ``text_key``), class_id (the smallest id of its class) and
+    keep: true for one text of each class, at its smallest id (in all rows that are equal)."""
     id_type = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_key(text).alias("text_key"), text.alias("text"))
     idf = slot_idf(docs.select("text"))
-    own = stored(in_arrow(docs, _signatures(idf), "id bigint, same binary, bands array<bigint>"))
-    nodes = stored(own.where("same is not null").groupBy("same").agg(F.min("id").alias("node")))
-    bands = own.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select(F.explode("bands").alias("key"), "id").distinct()
-    keys = _salted(stored(_buckets(bands)), salt_above)
+    own = stored(in_arrow(docs, _signatures(idf), "id bigint, text_key binary, same binary, bands array<bigint>"))
+    grouped = own.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.first("bands").alias("bands"))
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "same", "first", "bands"))
+    buckets = stored(_buckets(nodes.select(F.explode("bands").alias("key"), "id")))
+    keys = _salted(buckets, salt_above)
     dealt = keys.select("key", "id", "central", "split").repartition("key").sortWithinPartitions("key", F.desc("central"), "id").select("key", "id", "split")
-    found = stored(dealt.mapInArrow(_pairs(leaders), "a bigint, b bigint, head bigint"))
+    found = stored(in_arrow(dealt, _pairs(leaders), "a bigint, b bigint, head bigint"))
     pairs = stored(found.where("b is not null").select("a", "b").distinct())
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # a shuffle at any size: the texts that are wanted grow with the corpus
-    vectors = stored(in_arrow(docs.join(wanted.hint("merge"), "id", "left_semi"), _vectors(idf), "id bigint, vector binary").dropDuplicates(["id"]))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = stored(_vectors_of(docs.select("id", "text"), nodes.select("id", "same", "first").join(met, "id"), idf))
     left = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
-    links = stored(left.join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb").mapInArrow(_similar(threshold), "a bigint, b bigint"))
-    classes = stored(components(links))
+    both = left.join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
+    links = stored(in_arrow(both, _similar(threshold), "a bigint, b bigint"))
+    classes = components(links)
     members = found.where("b is null").select("a", "head").distinct()
     if not members.isEmpty():
         rest = stored(_rest(members, classes, vectors, threshold, tile_rows).distinct())
-        classes = stored(components(rest.union(classes.select("id", "component"))))
-    named = nodes.join(classes.withColumnRenamed("id", "node"), "node", "left").select("same", F.coalesce("component", "node").alias("class"))
-    joined = own.select("id", "same").join(named, "same", "left").select("id", F.coalesce("class", "id").alias("class"))
-    return joined.select(F.nullif("id", F.lit(LAST)).cast(id_type).alias(id_col), F.nullif("class", F.lit(LAST)).cast(id_type).alias("class_id"))
+        first_classes, classes = classes, components(rest.union(classes.select("id", "component")))
+        discard(rest, first_classes)
+    discard(buckets, found, pairs, vectors, links)
+
+    least = F.struct(F.col("first").isNull().alias("none"), "first", "id")
+    heads = classes.join(nodes.select("id", "first"), "id").groupBy("component").agg(F.min(least).alias("head"))
+    linked = classes.join(heads, "component").select("id", "head")
+    named = nodes.select("id", "same", "first").join(linked, "id", "left")
+    named = named.select("same", "first", F.when(F.col("head").isNull(), F.col("first")).otherwise(F.col("head.first")).alias("class"), F.coalesce(F.col("head.id") == F.col("id"), F.lit(True)).alias("heads"))
+    known = own.where("same is not null").select("id", "text_key", "same").join(named, "same").select("id", "text_key", "class", (F.col("heads") & F.col("id").eqNullSafe(F.col("first"))).alias("keep"))
+    every = known.union(own.where("same is null").select("id", "text_key", F.col("id").alias("class"), F.lit(True)))
+    return every.select(F.col("id").cast(id_type).alias(id_col), "text_key", F.col("class").cast(id_type).alias("class_id"), "keep")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """Per row: ``id_col`` and class_id, the smallest id of its class. ``how``: as in ``near_duplicate_rows``."""
+    return near_duplicate_rows(df, id_col, text_col, **how).select(id_col, "class_id")
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``df`` that stand for their class, with all their columns. A row goes if another text,
+    or the same one at a smaller id, stands for its class; of equal (id, text) one row stays."""
+    found = stored(near_duplicate_rows(df, id_col, text_col, **how))
+    row = found.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), "keep")
+    marked = df.withColumn("__own", text_key(F.col(text_col).cast("string")))
+    same_row = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    kept = marked.join(row.where("not keep").select("__id", "__key").distinct(), same_row, "left_anti")
+    twice = stored(row.where("keep and __key is not null").groupBy("__id", "__key").count().where("count > 1").select("__id", "__key"))
+    if not twice.isEmpty():
+        again = kept.join(twice, same_row, "left_semi").dropDuplicates([id_col, "__own"])
+        kept = kept.join(twice, same_row, "left_anti").union(again)
+    return kept.select(*df.columns)
+
+
+def text_key(text: Column) -> Column:
+    """Digest of a text; null for null."""
+    return F.unhex(F.md5(text))
