@@ -4,7 +4,9 @@ Every distinct (host, path) is expanded into (host suffix, path prefix) expressi
 label borders, times the prefixes of the lengths that occur among the rules' paths. An expression
 joins the rules on the first 4 bytes of its SHA-256; the full digest then confirms the match, and
 the longest rule wins (a tie goes to the longer host). Only DataFrame functions are used. Rules are
-broadcast when there are at most ``broadcast_rules``; beyond that the join shuffles.
+broadcast when there are at most ``broadcast_rules`` of BROADCAST_BYTES; beyond that the join
+shuffles. A url that many rows share meets its verdict in a join of shuffled rows alone, which
+adaptive execution splits.
 
 Edge cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the
 default verdict; repeated rows are judged once and joined back; contradicting equal rules: block
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 4
+BROADCAST_BYTES = 64 << 20
 
 
 def url_host(url: Column) -> Column:
@@ -46,7 +49,8 @@ def judge_urls(
 ) -> DataFrame:
     """Per row: ``id_col``, host, path, rule (null if none fits) and verdict."""
     known = prepared_rules(rules)
-    facts = known.agg(F.count("*").alias("n"), F.collect_set(F.length("r_path")).alias("lengths")).first()
+    size = F.coalesce(F.sum(F.octet_length("r_rule")) * 2, F.lit(0))
+    facts = known.agg(F.count("*").alias("n"), size.alias("size"), F.collect_set(F.length("r_path")).alias("lengths")).first()
     own = pages.select(F.col(id_col), url_host(F.col(url_col).cast("string")).alias("host"), url_path(F.col(url_col).cast("string")).alias("path"))
 
     labels = F.split("host", r"\.")
@@ -59,13 +63,21 @@ def judge_urls(
         .select("host", "path", _digest(F.col("s"), F.substring(F.col("path"), F.lit(1), F.col("n"))).alias("digest"))
         .withColumn("short", F.substring("digest", 1, SHORT))
     )
-    side = F.broadcast(known) if facts["n"] <= broadcast_rules else known
+    side = F.broadcast(known) if facts["n"] <= broadcast_rules and facts["size"] <= BROADCAST_BYTES else known
+    # a range of one value, which the optimiser does not take for a join key: the key is the short prefix alone
+    confirmed = F.col("digest").between(F.col("r_digest"), F.col("r_digest"))
     best = (
-        expressions.join(side, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+        expressions.join(side, F.col("short") == F.col("r_short"))
+        .where(confirmed)
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("r_rule").alias("n"), F.length("r_host").alias("h"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
     )
-    return own.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # rows without a host match nothing; a number by id keeps them from meeting in one task
+    spread = own.withColumn("__spread", F.when(F.col("host") == "", F.xxhash64(id_col)).otherwise(F.lit(0)))
+    return (
+        spread.join(best.withColumn("__spread", F.lit(0).cast("bigint")), ["host", "path", "__spread"], "left")
+        .select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    )
 
 
 #: The rules of the registered query.
