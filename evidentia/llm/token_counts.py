@@ -72,7 +72,7 @@ def _counts(texts: list[str], path: str, batch_bytes: int, split_bytes: int) ->
         parts += own
         owner += [i] * len(own)
     counts = np.zeros(len(texts), dtype=np.int64)
-    for a, b in by_bytes([len(p) for p in parts], batch_bytes):
+    for a, b in by_bytes([len(p) if p.isascii() else len(p.encode()) for p in parts], batch_bytes):
         np.add.at(counts, owner[a:b], encode(parts[a:b]))
     return counts
 
