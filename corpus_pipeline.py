@@ -14,39 +14,32 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of low quality and toxic ones."""
+    """Drops documents of low quality and toxic ones; texts without words (null, empty) count as of low
+    quality. Rows are judged one by one, so repeated rows stay or go together."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``ids``; rows with a null id stay."""
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each class of near duplicates, once."""
-    classes = stored(near_dedup.near_duplicates(docs))
-    kept = _without(docs, classes.where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct())
-    twice = stored(classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    return _without(kept, twice).union(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Keeps one document of each class of near duplicates: of the text that has the smallest id in it, at
+    that id. Documents are told apart by id and text, so texts of one id are judged by their own classes.
+    Null texts and texts without words are no duplicates; of rows with equal id and text one stays."""
+    return near_dedup.one_of_each_class(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold any ten-word window, or a whole shorter item, of the benchmark."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id").distinct())
+    """Drops documents that hold any ten-word window, or a whole shorter item, of the benchmark, by their
+    text whatever their id. A null or empty text holds none; repeated rows stay or go together."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; n_chars follows the text."""
+    """Masks personal data; n_chars follows the text. Null texts stay null, with a null n_chars."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and the digest of what they decode to. A null text counts as empty."""
     made = byte_bpe.encode_documents(docs, carry=["source", "lang"])
     return made.select("doc_id", "source", "lang", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("text_sha256"))
 

@@ -2,7 +2,9 @@
 
 import functools
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,10 +61,43 @@ def test_contamination_of_empty_tables(spark):
     assert not D.find_contamination(documents(spark), items.limit(0)).where("contaminated").count()
 
 
-def test_near_passages(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id int, text string")
-    docs = documents(spark, [(1, "gamma x beta y alpha", "en"), (2, "alpha beta " + "x " * 50 + "gamma", "en")])
-    assert {r.doc_id for r in D.near_passages(docs, items, reach=5).collect()} == {1}
+def near_items(rows, items, reach, width=10):
+    """Number of distinct item texts whose two rarest terms of a window stand near each other, by loops."""
+    corpus = Counter(w for _, t, *_ in rows for w in plain_words(t))
+    pairs = {}
+    for _, t in items:
+        words = plain_words(t)
+        for a, w in enumerate(windows(words, width)):
+            ranked = sorted((corpus[x], a + n, x) for n, x in enumerate(w))
+            if ranked[0][0] > 0 and len(ranked) > 1:
+                pairs.setdefault(tuple(words), set()).add((ranked[0][2], ranked[1][2]))
+    out = []
+    for i, t, *_ in rows:
+        places = {}
+        for n, w in enumerate(plain_words(t)):
+            places.setdefault(w, []).append(n)
+        near = sum(any(x != y and abs(x - y) <= reach for p, q in own for x in places.get(p, []) for y in places.get(q, [])) for own in pairs.values())
+        out.append((i, near))
+    return sorted(out, key=repr)
+
+
+def test_proximity_matches_brute_force(spark):
+    items = [(1, "alpha beta gamma"), (2, "two two"), (3, " ".join(LONG.split()[5:25])), (4, "alpha beta gamma")]
+    rows = [*ROWS, (31, "gamma x beta y alpha", "en"), (32, "alpha beta " + "x " * 50 + "gamma", "en"), (33, "two " + "x " * 30 + "two", "en"), (34, "two x two", "en"), (35, "gamma x beta y alpha", "en")]
+    given_items = spark.createDataFrame(items, "item_id int, text string")
+    for reach, broadcast in ((5, 200_000), (20, 1)):
+        found = D.find_contamination(documents(spark, rows), given_items, reach=reach, broadcast_rows=broadcast)
+        assert sorted_rows(found.select("doc_id", "n_near")) == near_items(rows, items, reach)
+
+
+def test_rows_without_contaminated_texts(spark):
+    rows = [*ROWS, (None, "Before " + LONG, "en"), (40, "clean text of its own", "en"), (40, "Before " + LONG, "en")]
+    docs = documents(spark, rows)
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+    kept = D.without_contaminated(docs, items)
+    dirty = {t for t in {t for _, t, *_ in rows} if contamination([(0, t)], ITEMS)[0][5]}
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((i, t) for i, t, *_ in rows if t not in dirty), key=repr)
 
 
 def repeats(rows, width=13):
@@ -96,33 +131,46 @@ def test_difference_covers():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
+def plain_shingles(text):
+    """Shingles of five words with their counts, by plain Python."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    size = min(5, len(words))
+    return Counter(tuple(words[a : a + size]) for a in range(len(words) - size + 1)) if words else Counter()
+
+
 def classes(rows, threshold=0.8):
-    """Components of all pairs whose weighted or plain similarity reaches the threshold."""
-    known, words = WordHashes(), {}
-    for i, t, *_ in rows:
-        words.setdefault(i, N.words_of(t or ""))
-    counts = np.zeros(N.SLOTS)
+    """(id, class) of each row: components of the pairs of texts whose plain Jaccard similarity, or that
+    weighted by frequency and idf, reaches the threshold. Nothing here is the operator's."""
+    n_words = Counter()
+    for _, t, *_ in rows:
+        n_words.update({w for s in plain_shingles(t) for w in s})
+    idf = {w: 1 + math.log((len(rows) + 1) / (n + 1)) / math.log(len(rows) + 2) for w, n in n_words.items()}
+    texts = {}
     for i, t, *_ in rows:
-        counts[np.unique(known.of(N.words_of(t or "")) % np.uint64(N.SLOTS)).astype(int)] += 1
-    idf = (1 + np.log((len(rows) + 1) / (counts + 1)) / np.log(len(rows) + 2)).astype(np.float32)
-    vectors = {}
-    for i, w in words.items():
-        keys, n, q = N.shingles_of(known.of(w), idf)
-        vectors[i] = (len(keys).to_bytes(4, "little") + (keys >> np.uint64(32)).astype("<u4").tobytes() + n.astype("<u2").tobytes() + q.tobytes()) if w else None
-    ids = sorted(words, key=lambda i: float("inf") if i is None else i)
-    parent = {i: i for i in ids}
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for n, b in enumerate(ids):
-        for a in ids[:n]:
-            if vectors[a] and vectors[b] and N.similarity(vectors[a], vectors[b]) >= threshold:
-                x, y = top(a), top(b)
-                parent[max(x, y, key=ids.index)] = min(x, y, key=ids.index)
-    return sorted(((i, top(i)) for i, *_ in rows), key=repr)
+        found = plain_shingles(t)
+        texts.setdefault(frozenset(found.items()) if found else (i, t), []).append(i)
+    keys = list(texts)
+    weights = [{s: n * sum(idf[w] for w in s) / len(s) for s, n in k} if isinstance(k, frozenset) else {} for k in keys]
+    parent = list(range(len(keys)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b, y in enumerate(weights):
+        for a, x in enumerate(weights[:b]):
+            both = x.keys() & y.keys()
+            if not both:
+                continue
+            least = sum(min(x[s], y[s]) for s in both)
+            if max(len(both) / len(x.keys() | y.keys()), least / (sum(x.values()) + sum(y.values()) - least)) >= threshold:
+                parent[top(b)] = top(a)
+    members = {}
+    for n, key in enumerate(keys):
+        members.setdefault(top(n), []).extend(texts[key])
+    name = {t: min((i for i in ids if i is not None), default=None) for t, ids in members.items()}
+    return sorted(((i, name[top(n)]) for n, key in enumerate(keys) for i in texts[key]), key=repr)
 
 
 def copies():
@@ -157,6 +205,34 @@ def test_near_duplicates_in_few_parts_of_a_split_bucket(spark, monkeypatch):
         assert sorted_rows(N.near_duplicates(documents(spark, rows), salt_above=salt_above)) == want
 
 
+def edited(text, *at):
+    return " ".join("changed" if n in at else w for n, w in enumerate(text.split()))
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, prose(1, 80)), (2, prose(2, 80)), (3, prose(3, 80)), (1, prose(2, 80))],
+    [(1, prose(1, 80)), (2, prose(2, 80)), (5, edited(prose(1, 80), 40)), (5, edited(prose(2, 80), 40)), (5, prose(4, 80))],
+    [(7, prose(1, 80)), (None, prose(1, 80)), (None, edited(prose(1, 80), 7)), (None, prose(2, 80)), (None, edited(prose(2, 80), 9)), (None, prose(3, 80)), (None, None), (None, "")],
+])
+def test_repeated_and_null_ids(spark, rows):
+    docs = documents(spark, [(i, t, "en") for i, t in rows])
+    assert sorted_rows(N.near_duplicates(docs)) == classes(rows)
+    kept = [(r.doc_id, r.text) for r in N.one_of_each_class(docs).collect()]
+    assert all(sum((i, t) == k for k in kept) == 1 for i, t in {(i, t) for i, t in rows if not plain_shingles(t)})
+    alone = [t for i, t in rows if plain_shingles(t) and all(o == t or not (plain_shingles(o).keys() & plain_shingles(t).keys()) for _, o in rows)]
+    assert set(alone) <= {t for _, t in kept}
+    # of the texts that are alike exactly one stays
+    of = {frozenset(plain_shingles(t)) for _, t in rows if plain_shingles(t)}
+    alike = [{k for k in of if k == x or len(k & x) / len(k | x) >= 0.8} for x in of]
+    assert all(sum(frozenset(plain_shingles(t)) in k for _, t in kept) == 1 for k in alike)
+
+
+def test_frequencies_over_65535():
+    keys = np.arange(3, dtype=np.uint64) << np.uint64(32)
+    read, weights = N._read_vector(N.packed_vector(keys, np.array([1, 70_000, 5]), np.array([0, 255, 0], np.uint8)))
+    assert read.tolist() == [0, 1, 2] and weights.tolist() == [1, 140_000, 5]
+
+
 def test_near_duplicates_without_links(spark):
     assert N.near_duplicates(documents(spark).limit(0)).collect() == []
     assert sorted_rows(N.near_duplicates(documents(spark, [(1, "a b", "x"), (2, None, "x"), (3, "", "x")]))) == [(1, 1), (2, 2), (3, 3)]
@@ -258,16 +334,63 @@ def test_quality_without_labels_or_rows(spark):
     assert Q.score(docs.limit(0), Q.train(docs.limit(0))).collect() == []
 
 
-def test_expectation_maximisation_finds_the_bad_labeller():
+def plain_expectation_maximisation(rows, rounds=100):
+    """Row by row, by loops: accuracies by labeller, and P(yes) of each row."""
+    n = len(rows[0])
+    cast = [sum(r[k] != 0 for r in rows) for k in range(n)]
+    before = [(5.0, 0.8)] * (n - 1) + [(5.0 + cast[-1], 0.98)]
+    accuracy = [right for _, right in before]
+    for _ in range(rounds):
+        yes = []
+        for r in rows:
+            odds = 1.0
+            for vote, a in zip(r, accuracy, strict=True):
+                odds *= {1: a / (1 - a), -1: (1 - a) / a, 0: 1.0}[vote]
+            yes.append(odds / (1 + odds))
+        accuracy = []
+        for k, (weight, right) in enumerate(before):
+            agreed = sum(p if r[k] > 0 else 1 - p for r, p in zip(rows, yes, strict=True) if r[k])
+            accuracy.append(min(0.999, max(0.01, (agreed + weight * right) / (cast[k] + weight))))
+    return accuracy, yes
+
+
+def test_expectation_maximisation_matches_brute_force():
     pick = np.random.default_rng(1)
-    truth = pick.random(4000) < 0.4
-    accuracies = (0.9, 0.85, 0.55, 0.999)
-    votes = np.stack([np.where(pick.random(4000) < a, truth, ~truth) * 2 - 1 for a in accuracies], axis=1)
-    votes[pick.random((4000, 4)) < 0.3] = 0
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    posterior, tables = Q.expectation_maximisation(patterns, counts.astype(float))
-    right = [tables[k, 1, 2] / (tables[k, 1, 0] + tables[k, 1, 2]) for k in range(4)]
-    assert right[0] > right[1] > right[2] + 0.1 and posterior.min() >= 0 and posterior.max() <= 1
+    truth = pick.random(600) < 0.4
+    right = (0.9, 0.85, 0.55, 0.97)
+    votes = np.stack([np.where(pick.random(600) < a, truth, ~truth) * 2 - 1 for a in right], axis=1)
+    votes[pick.random((600, 4)) < 0.3] = 0
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, accuracy = Q.expectation_maximisation(patterns, counts.astype(float))
+    want, yes = plain_expectation_maximisation([tuple(v) for v in votes.tolist()])
+    assert np.allclose(accuracy, want) and np.allclose(posterior[where.ravel()], yes)
+    assert accuracy[0] > accuracy[2] + 0.1 and accuracy[1] > accuracy[2] + 0.1 and accuracy[3] > 0.9
+
+
+def test_gradient_of_the_scorer_matches_brute_force(spark):
+    pick = np.random.default_rng(2)
+    rows = [(np.sort(pick.choice(Q.SIZE, 40, replace=False)).astype(np.int32), *(None if pick.random() < 0.3 else float(pick.random()) for _ in range(2))) for _ in range(25)]
+    sample = spark.createDataFrame([(bytearray(s.tobytes()), p, q) for s, p, q in rows], "slots binary, p_low double, p_toxic double").repartition(3)
+    weights = pick.normal(size=(Q.SIZE + 1, 2)) / 10
+    value, gradient = Q.objective(sample, 0.01)(weights.ravel())
+    want, slopes = 0.0, np.zeros_like(weights)
+    for k in range(2):
+        held = [(s, r[k]) for s, *r in rows if r[k] is not None]
+        for s, p in held:
+            x = np.where(s < Q.SLOTS, 1.0, Q.STRONG)
+            z = float(weights[s, k] @ x + weights[-1, k])
+            want += (math.log1p(math.exp(z)) - p * z) / len(held)
+            slopes[s, k] += (1 / (1 + math.exp(-z)) - p) * x / len(held)
+            slopes[-1, k] += (1 / (1 + math.exp(-z)) - p) / len(held)
+    slopes[:-1] += 0.01 * weights[:-1]
+    want += 0.005 * (weights[:-1] ** 2).sum()
+    assert abs(value - want) < 1e-9 and np.allclose(gradient.reshape(slopes.shape), slopes)
+
+
+def test_descent_finds_the_minimum():
+    scale = np.linspace(1, 50, 30)
+    found = Q.minimised(lambda x: (float((scale * (x - 3) ** 2).sum()), 2 * scale * (x - 3)), np.zeros(30), 60, 1e-14)
+    assert np.allclose(found, 3, atol=1e-4)
 
 
 LANGUAGES = {"en": "the house and the garden of this with that", "fr": "le jardin dans une maison avec les fleurs été", "de": "das haus und der garten mit einer straße über"}
