@@ -232,22 +232,20 @@ PAIR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("a", "b", "head")])
 
 def _pairs(leaders: int):
     """From (key, id, split), sorted so that a bucket's most central nodes come first, to candidate
-    pairs (a, b) and, with null b, the members of large buckets, and of those that belong to a split
-    key at any size, with the most central of each."""
+    pairs (a, b). In large buckets, and in those of any size that belong to a split key, the pair of each
+    node with the most central one names the latter as ``head``: it says that the node is a member."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         key, held, large, parted = None, [], False, False
 
-        def meet(new: int, others: list[int]) -> None:
-            out.extend((min(x, new), max(x, new), None) for x in others)
+        def meet(new: int, others: list[int], member: bool) -> None:
+            out.extend((min(x, new), max(x, new), x if member and n == 0 else None) for n, x in enumerate(others))
 
         def close() -> None:
             if not large:
                 for n, x in enumerate(held):
-                    meet(x, held[:n])
-                    if parted:
-                        out.append((x, None, held[0]))
+                    meet(x, held[:n], parted)
 
         for batch in batches:
             for k, i, split in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -255,15 +253,13 @@ def _pairs(leaders: int):
                     close()
                     key, held, large, parted = k, [], False, split
                 if large:
-                    meet(i, held)
-                    out.append((i, None, held[0]))
+                    meet(i, held, True)
                     continue
                 held.append(i)
                 if len(held) > PAIRS:
                     large = True
                     for n, x in enumerate(held):
-                        meet(x, held[: min(n, leaders)])
-                        out.append((x, None, held[0]))
+                        meet(x, held[: min(n, leaders)], True)
                     del held[leaders:]
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PAIR_SCHEMA)
@@ -410,7 +406,7 @@ def near_duplicate_rows(
     keys = _salted(buckets, salt_above)
     dealt = keys.select("key", "id", "central", "split").repartition("key").sortWithinPartitions("key", F.desc("central"), "id").select("key", "id", "split")
     found = stored(in_arrow(dealt, _pairs(leaders), "a bigint, b bigint, head bigint"))
-    pairs = stored(found.where("b is not null").select("a", "b").distinct())
+    pairs = stored(found.select("a", "b").distinct())
 
     met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     vectors = stored(_vectors_of(docs.select("id", "text"), nodes.select("id", "same", "first").join(met, "id"), idf))
@@ -418,7 +414,7 @@ def near_duplicate_rows(
     both = left.join(vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
     links = stored(in_arrow(both, _similar(threshold), "a bigint, b bigint"))
     classes = components(links)
-    members = found.where("b is null").select("a", "head").distinct()
+    members = found.where("head is not null").select(F.when(F.col("a") == F.col("head"), F.col("b")).otherwise(F.col("a")).alias("a"), "head").distinct()
     if not members.isEmpty():
         rest = stored(_rest(members, classes, vectors, threshold, tile_rows).distinct())
         first_classes, classes = classes, components(rest.union(classes.select("id", "component")))
