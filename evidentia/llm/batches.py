@@ -38,7 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with batches of up to BATCH_BYTES instead of 10,000 rows, however long these are, so
-    that neither side of the pipe holds many long texts at once. The setting stays in the session, as
-    the plan reads it when it runs."""
+    that neither side of the pipe holds many long texts at once. All Arrow functions of this package go
+    through here; the setting stays in the session, as a plan reads it when it runs."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)

@@ -1,7 +1,8 @@
 """Media columns: signature sniffing over binary payloads.
 
-An Aho-Corasick automaton locates the magic bytes of known formats in one pass; a validator of each
-format then confirms structure and lengths at every hit. The valid item at offset 0 gives the true
+An Aho-Corasick automaton locates the magic bytes of known formats, and the marks that end some of
+them, in one pass; a validator of each format then confirms structure and lengths at every hit. The
+ends are looked up among the marks found, so no hit searches the bytes again. The valid item at offset 0 gives the true
 type (a wrong declared type is corrected), and valid items elsewhere that are not inside an
 accepted one are carved as embedded media. Text is stored losslessly as the samples of a mono 8-bit
 WAV file by ``store_text``.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +41,11 @@ MAGIC = {
 }
 
 
+#: Marks inside or at the end of a file.
+MARKS = (b"%%EOF", b"startxref", b"PK\x05\x06", b"\xff\xd9")
+Places = dict[bytes, list[int]]
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -46,11 +53,20 @@ def _automaton():
     found = ahocorasick.Automaton()
     for kind, (magic, at) in MAGIC.items():
         found.add_word(magic.decode("latin-1"), (kind, len(magic) + at))
+    for mark in MARKS:
+        found.add_word(mark.decode("latin-1"), (mark, len(mark)))
     found.make_automaton()
     return found
 
 
-def _wav(data: bytes, at: int) -> int:
+def _next(places: Places, mark: bytes, at: int) -> int:
+    """Where the mark stands first from ``at`` on, or -1."""
+    own = places[mark]
+    i = bisect_left(own, at)
+    return own[i] if i < len(own) else -1
+
+
+def _wav(data: bytes, at: int, places: Places) -> int:
     if data[at + 8 : at + 12] != b"WAVE" or len(data) < at + 44:
         return 0
     size = struct.unpack_from("<I", data, at + 4)[0] + 8
@@ -64,7 +80,7 @@ def _wav(data: bytes, at: int) -> int:
     return size if pos == end and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(data: bytes, at: int) -> int:
+def _png(data: bytes, at: int, places: Places) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         length, kind = struct.unpack_from(">I4s", data, pos)
@@ -79,7 +95,7 @@ def _png(data: bytes, at: int) -> int:
     return 0
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(data: bytes, at: int, places: Places) -> int:
     if data[at : at + 6] not in (b"GIF87a", b"GIF89a") or len(data) < at + 14:
         return 0
     flags = data[at + 10]
@@ -101,7 +117,7 @@ def _gif(data: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(data: bytes, at: int) -> int:
+def _jpeg(data: bytes, at: int, places: Places) -> int:
     pos = at + 2
     while pos + 4 <= len(data) and data[pos] == 0xFF:
         marker = data[pos + 1]
@@ -112,12 +128,12 @@ def _jpeg(data: bytes, at: int) -> int:
             return 0
         pos += 2 + length
         if marker == 0xDA:
-            stop = data.find(b"\xff\xd9", pos)
+            stop = _next(places, b"\xff\xd9", pos)
             return stop + 2 - at if stop >= 0 else 0
     return 0
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(data: bytes, at: int, places: Places) -> int:
     if len(data) < at + 26:
         return 0
     size, reserved, start, header = struct.unpack_from("<IIII", data, at + 2)
@@ -125,17 +141,18 @@ def _bmp(data: bytes, at: int) -> int:
     return size if right else 0
 
 
-def _pdf(data: bytes, at: int) -> int:
-    stop = data.find(b"%%EOF", at)
-    return stop + 5 - at if stop >= 0 and data.find(b"startxref", at, stop) >= 0 and data[at + 5 : at + 6].isdigit() else 0
+def _pdf(data: bytes, at: int, places: Places) -> int:
+    stop = _next(places, b"%%EOF", at)
+    start = _next(places, b"startxref", at)
+    return stop + 5 - at if 0 <= start <= stop - 9 and data[at + 5 : at + 6].isdigit() else 0
 
 
-def _flac(data: bytes, at: int) -> int:
+def _flac(data: bytes, at: int, places: Places) -> int:
     right = len(data) >= at + 42 and data[at + 4] & 0x7F == 0 and int.from_bytes(data[at + 5 : at + 8], "big") == 34
     return len(data) - at if right else 0
 
 
-def _gzip(data: bytes, at: int) -> int:
+def _gzip(data: bytes, at: int, places: Places) -> int:
     unpack = zlib.decompressobj(31)
     rest = memoryview(data)[at:]
     try:
@@ -147,8 +164,8 @@ def _gzip(data: bytes, at: int) -> int:
     return len(data) - at - len(unpack.unused_data) if unpack.eof else 0
 
 
-def _zip(data: bytes, at: int) -> int:
-    stop = data.find(b"PK\x05\x06", at)
+def _zip(data: bytes, at: int, places: Places) -> int:
+    stop = _next(places, b"PK\x05\x06", at)
     if stop < 0 or stop + 22 > len(data):
         return 0
     size, offset = struct.unpack_from("<II", data, stop + 12)
@@ -164,10 +181,17 @@ VALID = {
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of each valid item by start; only the item at offset 0 may hold others."""
-    found, upto = [], 0
-    for last, (kind, back) in _automaton().iter(data.decode("latin-1")):
+    hits: list[tuple[str, int]] = []
+    places: Places = {mark: [] for mark in MARKS}
+    for last, (what, back) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - back
-        if at >= upto and (size := VALID[kind](data, at)):
+        if what in places:
+            places[what].append(at)
+        else:
+            hits.append((what, at))
+    found, upto = [], 0
+    for kind, at in hits:
+        if at >= upto and (size := VALID[kind](data, at, places)):
             found.append((kind, at, size))
             upto = at + size if at else 0  # what stands at the start carries the others
     return found

@@ -40,8 +40,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_text(_read(spark, sf_dir, "documents"))
-    return media.describe_media(stored, ["doc_id", "n_bytes"])
+    stored = media.store_text(_read(spark, sf_dir, "documents")).withColumn("declared", F.lit("text/plain"))
+    return media.describe_media(stored, ["doc_id", "n_bytes"], declared_col="declared")
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
