@@ -1,14 +1,19 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Pieces are those of a fixed public vocabulary. Training counts pieces for each language over all
-labelled documents: the distinct words of a batch are segmented greedily (longest piece first), and
-only (language, piece, count) rows are shuffled. Each language's piece probabilities are smoothed
-over the whole vocabulary. To score a word, a forward pass over its bytes sums the probabilities of
-all its segmentations under each language; a text's score is the sum over its words of the log of
-that, and the languages' posterior follows from it.
+Pieces are those of a fixed public vocabulary, all of them. Training counts pieces for each language
+over all labelled documents: the distinct words of a batch are segmented greedily (longest piece
+first), and only (language, piece, count) rows are shuffled. Each language's piece probabilities are
+smoothed over the whole vocabulary. To score a word, a forward pass over its bytes sums the
+probabilities of all its segmentations under each language; a text's score is the sum over its words
+of the log of that, and the languages' posterior follows from it.
+
+A word is a run of letters, lower-cased, with a space before it. A run of more than ``RUN`` letters,
+as in scripts that do not part words, is cut after every ``RUN`` letters, and the parts count as words
+that no space begins. Many words pass through the trie of the vocabulary and the recurrence at once.
 
 The model has (languages x vocabulary) numbers: it grows with neither the documents nor their
-length. ``train`` refuses more than ``max_languages`` languages.
+length. Of ``at_once`` languages at a time a matrix is held in a task; more of them make as many passes,
+whose results are joined row by row.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; documents with a null
 language or text teach nothing; with no training rows every text is ``und``; ties go to the language
@@ -21,6 +26,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,14 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.batches import in_arrow, slices, texts_of
+from evidentia.llm.batches import by_bytes, in_arrow, slices, texts_of
 from evidentia.llm.byte_bpe import load_ranks
-from evidentia.llm.tables import stored
+from evidentia.llm.pieces import Pieces, forward, greedy
+from evidentia.llm.tables import discard, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LONGEST = 16
+RUN = 64
 WORDS = re.compile(r"[^\W\d_]+")
-MOST_WORDS = 800_000
+#: Of the words that a worker remembers: how many, and their letters.
+MOST_WORDS, MOST_LETTERS = 800_000, 24_000_000
+INSIDE = "\0"
 
 
 def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -43,124 +52,113 @@ def fold_of(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+@lru_cache(maxsize=2)
+def _pieces(vocabulary: str) -> Pieces:
+    return Pieces(load_ranks(vocabulary))
+
+
 def _prepared(text: str) -> Counter:
-    """Counts of the text's words, lower-cased with the space that stands before a word."""
-    return Counter(WORDS.findall(text.lower()))
+    """Counts of the text's words, lower-cased. The parts of a long run after its first begin with INSIDE."""
+    found = Counter(WORDS.findall(text.lower()))
+    for run in [w for w in found if len(w) > RUN]:
+        n = found.pop(run)
+        found[run[:RUN]] += n
+        for a in range(RUN, len(run), RUN):
+            found[INSIDE + run[a : a + RUN]] += n
+    return found
 
 
-def greedy(word: bytes, vocabulary: dict[bytes, int]) -> list[int]:
-    """Piece ids of the longest-first segmentation (every single byte is a piece)."""
-    ids, i = [], 0
-    while i < len(word):
-        for j in range(min(len(word), i + LONGEST), i, -1):
-            if (piece := vocabulary.get(word[i:j])) is not None:
-                ids.append(piece)
-                i = j
-                break
-        else:
-            i += 1
-    return ids
+def _code(word: str) -> bytes:
+    return word[1:].encode() if word[0] == INSIDE else b" " + word.encode()
 
 
 def piece_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(lang, piece, n) over all rows of which neither language nor text is null; piece -1: documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = load_ranks(vocabulary)
+        known = _pieces(vocabulary)
         words: dict[str, Counter] = {}
-        pieces: Counter = Counter()
+        sums: dict[str, np.ndarray] = {}
+        documents: Counter = Counter()
+        letters = 0
 
         def settle() -> None:
             for lang, own in words.items():
-                for word, n in own.items():
-                    for piece in greedy(b" " + word.encode(), known):
-                        pieces[lang, piece] += n
+                total = sums.setdefault(lang, np.zeros(int(known.id_of.max()) + 1, np.int64))
+                keys, times = [_code(w) for w in own], np.fromiter(own.values(), np.int64, len(own))
+                for a, b in by_bytes([len(w) for w in keys], 1 << 20):
+                    owner, ids = greedy(keys[a:b], known)
+                    total += np.bincount(ids, times[a:b][owner], len(total)).astype(np.int64)
             words.clear()
 
         for batch in slices(batches, 1, 4 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 words.setdefault(lang, Counter()).update(_prepared(text))
-                pieces[lang, -1] += 1
-            if sum(map(len, words.values())) > MOST_WORDS:
+                documents[lang] += 1
+                letters += len(text)
+            if letters > 2 * MOST_LETTERS or sum(map(len, words.values())) > MOST_WORDS:
                 settle()
+                letters = 0
         settle()
-        rows = list(pieces.items())
-        for a in range(0, len(rows), 10_000):
-            part = rows[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["lang", "piece", "n"])
+        for lang, n in documents.items():
+            ids = np.flatnonzero(sums[lang]) if lang in sums else np.zeros(0, np.int64)
+            counts = [n, *sums[lang][ids].tolist()] if lang in sums else [n]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([-1, *ids.tolist()], pa.int32()), pa.array(counts, pa.int64())], names=["lang", "piece", "n"])
 
     kept = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("__text"))
     return in_arrow(kept, counted, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Log priors and piece probabilities by language."""
+    """Languages, log priors and piece probabilities, in parts of so many languages as are held at once."""
 
-    def __init__(self, languages: list[str], priors: np.ndarray, probabilities: np.ndarray, vocabulary: str):
-        self.languages, self.priors, self.probabilities, self.vocabulary = languages, priors, probabilities, vocabulary
-        self.name = uuid.uuid4().hex
+    def __init__(self, parts: list[tuple[list[str], np.ndarray, np.ndarray]], vocabulary: str):
+        self.parts, self.vocabulary = parts, vocabulary
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabulary: str = VOCABULARY, smoothing: float = 0.1, max_languages: int = 500) -> Model:
-    """Learns from all rows of ``df``; only the sums by language and piece come to the driver."""
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabulary: str = VOCABULARY, smoothing: float = 0.1, at_once: int = 200) -> Model:
+    """Learns from all rows of ``df``; only the sums by language and piece come to the driver, ``at_once`` languages at a time."""
     rows = stored(piece_counts(df, lang_col, text_col, vocabulary))
-    n_languages = rows.where("piece = -1").limit(max_languages + 1).count()
-    if n_languages > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    found = rows.toArrow()
-    lang, piece, n = found.column("lang").to_pylist(), found.column("piece").to_numpy(), found.column("n").to_numpy()
-    languages = sorted(set(lang))
-    at = np.array([languages.index(x) for x in lang], dtype=np.int64)
-    counts = np.zeros((max(load_ranks(vocabulary).values()) + 1, len(languages)))
-    counts[piece[piece >= 0], at[piece >= 0]] = n[piece >= 0]
-    documents = np.ones(len(languages))
-    documents[at[piece < 0]] += n[piece < 0]
-    smooth = counts + smoothing
-    return Model(languages, np.log(documents / documents.sum()), smooth / smooth.sum(axis=0), vocabulary)
-
-
-def forward(words: list[bytes], vocabulary: dict[bytes, int], probabilities: np.ndarray) -> np.ndarray:
-    """(words x languages): log of the sum over all segmentations of the product of piece probabilities.
-
-    Words of one length go through the recurrence together. Sums are rescaled at each byte, so long
-    words stay inside the range of floats.
-    """
-    table = np.vstack([probabilities, np.zeros(probabilities.shape[1])])
-    none, out = len(probabilities), np.zeros((len(words), probabilities.shape[1]))
-    lengths: dict[int, list[int]] = {}
-    for at, word in enumerate(words):
-        lengths.setdefault(len(word), []).append(at)
-    for n, places in lengths.items():
-        own = [words[at] for at in places]
-        window, logs = [np.ones((len(own), table.shape[1]))], 0.0
-        for j in range(1, n + 1):
-            here = 0.0
-            for back in range(1, min(len(window), LONGEST) + 1):
-                ids = [vocabulary.get(w[j - back : j], none) for w in own]
-                here = here + window[-back] * table[ids]
-            here = np.maximum(here, 1e-300)
-            logs = logs + np.log(here)
-            window = [x / here for x in window[1 - LONGEST :]] + [np.ones_like(here)]
-        out[places] = logs
-    return out
+    documents = {r.lang: r.n for r in rows.where("piece = -1").select("lang", "n").collect()}
+    languages, total, parts = sorted(documents), sum(documents.values()) + len(documents), []
+    for a in range(0, len(languages), at_once):
+        own = languages[a : a + at_once]
+        chosen = rows.where("piece >= 0")
+        found = (chosen if len(own) == len(languages) else chosen.where(F.col("lang").isin(own))).toArrow()
+        lang = found.column("lang").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+        place = {name: k for k, name in enumerate(own)}
+        at = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()] if found.num_rows else np.zeros(0, np.int64)
+        smooth = np.full((int(_pieces(vocabulary).id_of.max()) + 1, len(own)), smoothing)
+        smooth[found.column("piece").to_numpy(), at] += found.column("n").to_numpy()
+        parts.append((own, np.log([(documents[x] + 1) / total for x in own]), smooth / smooth.sum(axis=0)))
+    discard(rows)
+    return Model(parts, vocabulary)
 
 
 class _Scores:
-    """Scores of the words met so far; begins anew when it holds more than ``most``."""
+    """Scores of the words met so far under some languages; begins anew when it holds too much."""
 
-    def __init__(self, model: Model, most: int):
-        self.model, self.most, self.vocabulary = model, most, load_ranks(model.vocabulary)
+    def __init__(self, name: str, probabilities: np.ndarray, vocabulary: str):
+        self.name, self.probabilities, self.pieces = name, probabilities, _pieces(vocabulary)
+        self.most = min(MOST_WORDS, 6_400_000 // probabilities.shape[1])
+        self.clear()
+
+    def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(model.languages)))
+        self.letters = 0
+        self.rows = np.zeros((0, self.probabilities.shape[1]))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > self.most:
-            self.at, self.rows = {}, self.rows[:0]
         fresh = [w for w in words if w not in self.at]
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
-            self.at.update({w: len(self.rows) + i for i, w in enumerate(part)})
-            self.rows = np.vstack([self.rows, forward([b" " + w.encode() for w in part], self.vocabulary, self.model.probabilities)])
+        letters = sum(map(len, fresh))
+        if self.at and (len(self.at) + len(fresh) > self.most or self.letters + letters > MOST_LETTERS):
+            self.clear()
+            fresh, letters = list(words), sum(map(len, words))
+        self.letters += letters
+        codes = [_code(w) for w in fresh]
+        made = [forward(codes[a:b], self.pieces, self.probabilities) for a, b in by_bytes([len(c) for c in codes], 2_000_000 // self.probabilities.shape[1])]
+        self.at.update({w: len(self.rows) + i for i, w in enumerate(fresh)})
+        self.rows = np.vstack([self.rows, *made])
 
     def total(self, words: Counter) -> np.ndarray:
         """Sum over the words, each as often as it stands."""
@@ -171,39 +169,49 @@ class _Scores:
 _LATEST: list[_Scores] = []
 
 
-def _scores_of(model: Model) -> _Scores:
-    """The worker's scores of this model, which tasks of one worker share."""
-    if not _LATEST or _LATEST[0].model.name != model.name:
-        _LATEST[:] = [_Scores(model, MOST_WORDS)]
+def _scores_of(name: str, probabilities: np.ndarray, vocabulary: str) -> _Scores:
+    """The worker's scores under these languages, which tasks of one worker share."""
+    if not _LATEST or _LATEST[0].name != name:
+        _LATEST[:] = [_Scores(name, probabilities, vocabulary)]
     return _LATEST[0]
 
 
-def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Per row: ``id_cols``, lang_pred and score (the posterior of that language; 0 for und)."""
-    languages, k = model.languages, len(id_cols)
+def _pass(part: tuple[list[str], np.ndarray, np.ndarray], vocabulary: str, text: int):
+    """From rows with the text and, behind it, (best language, its log score, log of the sum of all scores)
+    so far to the same rows after the languages of ``part``."""
+    languages, priors, probabilities = part
+    name = uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _scores_of(model)
-        for batch in slices(batches, k, 4 << 20):
-            names, scores = [], []
-            texts = texts_of(batch.column(k))
+        known = _scores_of(name, probabilities, vocabulary)
+        for batch in slices(batches, text, 4 << 20):
+            texts = texts_of(batch.column(text))
             counts = [_prepared(t) for t in texts]
-            if languages:
-                known.learn(set().union(*counts))
-            for text, words in zip(texts, counts, strict=True):
-                if not languages or not any(map(str.isalpha, text)):
-                    names.append("und")
-                    scores.append(0.0)
+            known.learn(set().union(*counts))
+            best, log, total = (batch.column(text + 1 + i).to_pylist() for i in range(3))
+            for i, words in enumerate(counts):
+                if not any(map(str.isalpha, texts[i])):
                     continue
-                logs = model.priors + known.total(words)
-                best = int(np.argmax(logs))
-                names.append(languages[best])
-                scores.append(1.0 / float(np.exp(logs - logs[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*id_cols, "lang_pred", "score"])
-
-    kept = df.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in id_cols)
-    return in_arrow(kept, scored, f"{schema}, lang_pred string, score double")
+                logs = priors + known.total(words)
+                k = int(np.argmax(logs))
+                if log[i] is None or logs[k] > log[i]:
+                    best[i], log[i] = languages[k], float(logs[k])
+                own = float(np.logaddexp.reduce(logs))
+                total[i] = own if total[i] is None else float(np.logaddexp(total[i], own))
+            made = [pa.array(best, pa.string()), pa.array(log, pa.float64()), pa.array(total, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: text + 1], *made], names=batch.schema.names)
+
+    return scored
+
+
+def identify(df: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Per row: ``id_cols``, lang_pred and score (the posterior of that language; 0 for und)."""
+    none = F.lit(None)
+    now = df.select(*id_cols, F.col(text_col).cast("string").alias("__text"), none.cast("string").alias("__best"), none.cast("double").alias("__log"), none.cast("double").alias("__sum"))
+    for part in model.parts:
+        now = in_arrow(now, _pass(part, model.vocabulary, len(id_cols)), now.schema)
+    score = F.coalesce(F.least(F.lit(1.0), F.exp(F.col("__log") - F.col("__sum"))), F.lit(0.0))
+    return now.select(*id_cols, F.coalesce("__best", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
 def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate as D, langid as L, near_dedup as N, quality as Q, substring_dedup as S, url_rules as U
+from evidentia.llm.pieces import Pieces, forward, greedy
 from evidentia.llm.substring_dedup import WordHashes
 
 from .fixtures import LONG, ROWS, documents, prose, sorted_rows
@@ -425,4 +426,60 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not word else sum(p[vocabulary[word[:k]], 0] * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in vocabulary)
 
     words = [b"a", b"aba", b"abab", b"bbaab", b"ab" * 20]
-    assert np.allclose(L.forward(words, vocabulary, p)[:, 0], [np.log(total(w)) for w in words])
+    assert np.allclose(forward(words, Pieces(vocabulary), p)[:, 0], [np.log(total(w)) for w in words])
+
+
+def test_greedy_takes_the_longest_piece():
+    known = L.load_ranks(L.VOCABULARY)
+    longest = max(map(len, known))
+
+    def plain(word):
+        out = []
+        while word:
+            k = next((k for k in range(min(longest, len(word)), 0, -1) if word[:k] in known), 1)
+            out += [known[word[:k]]] if word[:k] in known else []
+            word = word[k:]
+        return out
+
+    words = [w.encode() for w in ("house", " straße", "ภาษาไทย", " 中华人民共和国", "", " и российской", "zzzqqq" * 20)]
+    owner, ids = greedy(words, Pieces(known))
+    order = np.argsort(owner, kind="stable")
+    assert [ids[order][owner[order] == n].tolist() for n in range(len(words))] == [plain(w) for w in words]
+
+
+def test_long_runs_are_cut():
+    run = "".join(chr(0x4E00 + k) for k in range(150))
+    found = L._prepared(f"a {run} a")
+    assert found == {"a": 2, run[:64]: 1, L.INSIDE + run[64:128]: 1, L.INSIDE + run[128:]: 1}
+
+
+def test_languages_in_several_passes(spark):
+    import random
+
+    rows = [(i, " ".join(random.Random(i).choices(LANGUAGES[lang].split(), k=8)), lang) for i in range(60) for lang in [list(LANGUAGES)[i % 3]]] + [(90, "1", "en"), (91, None, "de")]
+    docs = documents(spark, rows)
+    one, two = ({r.doc_id: r for r in L.identify(docs, L.train(docs, at_once=n), ["doc_id"]).collect()} for n in (200, 2))
+    assert all(one[i].lang_pred == two[i].lang_pred and abs(one[i].score - two[i].score) < 1e-9 for i in one) and two[90].lang_pred == "und"
+    # the whole model, by plain loops: piece counts, priors and the posterior of each text
+    known = L.load_ranks(L.VOCABULARY)
+    counts = {lang: Counter() for lang in LANGUAGES}
+    for _, t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            rest = b" " + w.encode()
+            while rest:
+                k = next(k for k in range(len(rest), 0, -1) if rest[:k] in known)
+                counts[lang][rest[:k]] += 1
+                rest = rest[k:]
+    n_docs = Counter(lang for _, t, lang in rows if t is not None)
+    p = {lang: {x: (c[x] + 0.1) / (sum(c.values()) + 0.1 * len(known)) for x in known} for lang, c in counts.items()}
+
+    def total(word, q):
+        sums = [1.0]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[i] * q[word[i:j]] for i in range(max(0, j - 40), j) if word[i:j] in q))
+        return math.log(sums[-1])
+
+    for i, t, _ in rows[:9]:
+        logs = {lang: math.log((n_docs[lang] + 1) / (sum(n_docs.values()) + 3)) + sum(total(b" " + w.encode(), q) for w in t.split()) for lang, q in p.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert one[i].lang_pred == best and abs(one[i].score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-6

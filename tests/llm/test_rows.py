@@ -168,3 +168,35 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert found[2].embedded == [f"image/png:5:{len(image)}", f"application/gzip:{5 + len(image) + 12}:{len(packed)}", f"image/gif:{5 + len(image) + 12 + len(packed)}:{len(gif)}"]
     assert found[3].media_type == "application/octet-stream" and found[4].embedded == [f"image/png:44:{len(image)}"]
     assert found[5].media_bytes == found[6].media_bytes == 0 and found[7].media_type == "image/jpeg"
+
+
+def test_sniffing_takes_time_in_proportion():
+    import time
+
+    for unit in (b"%PDF-", b"PK\x03\x04", b"%PDF-1 startxref ", b"\xff\xd8\xff\xda\x00\x02"):
+        data = unit * ((2 << 20) // len(unit))
+        began = time.perf_counter()
+        M.sniff(data)
+        assert time.perf_counter() - began < 10, unit
+
+
+def test_stored_form_and_feature(spark):
+    found = M.describe_media(M.store_text(documents(spark)).withColumn("declared", F.lit("text/plain")), ["doc_id"], declared_col="declared").collect()
+    texts = {i: t for i, t, _ in ROWS}
+    for r in found:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        out = BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(M.RATE), w.writeframes(payload)
+        media = out.getvalue()
+        mean, power = sum(payload) / len(payload), sum((x - 128) ** 2 for x in payload) / len(payload)
+        assert (r.media_bytes, r.media_sha256, r.retyped) == (len(media), sha(media), True)
+        assert r.feature == f"audio/wav;n={len(payload)};mean={mean:.4f};power={power:.4f};embedded={len(r.embedded)}"
+
+
+def test_words_by_higher_order_functions_with_all_ranks(spark):
+    ranks = B.load_ranks(B.DEFAULT_RANKS)
+    words = sorted({w for _, t, _ in ROWS for w in re.findall(r" ?\w+", t or "") if len(w) < 20})[:40] + [" straße", "🙂é", "internationalisation"]
+    found = B.encode_words(spark.createDataFrame([(w,) for w in words], "word string").coalesce(1), "word", ranks).collect()
+    assert {r.word: r.token_ids for r in found} == {w: B.fold(w.encode(), ranks) for w in words}
