@@ -13,10 +13,13 @@ hash the anchors of width - v + 1 words that start at cover positions.
 3. Each block drops the covered words.
 
 What is shuffled is packed arrays, at most one entry for each block and distinct hash: a passage
-held by a third of all documents sends as many entries as there are blocks. No pairs are made.
+held by a third of all documents sends as many entries as there are blocks. No pairs are made. Rows
+sent are at most the entries, and the product of blocks and buckets; a bucket's entries are settled
+by one sort.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Edge cases: a null text has no words;
-documents of fewer than ``width`` words lose nothing; rows of equal id never remove each other's
+documents of fewer than ``width`` words lose nothing; a document is never divided, so one text longer
+than a block makes a block of its own, which its task must hold; rows of equal id never remove each other's
 words; a null id counts as larger than all others; an empty table gives an empty one; only the named
 columns are read.
 """
@@ -31,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.batches import in_arrow
 from evidentia.llm.packed import pack, steps, unpack, unsteps
 from evidentia.llm.tables import discard, stored
 
 #: Difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 BLOCK_BYTES = 12 << 20
+#: Text for which a bucket stands; in a corpus of more than 4,096 such buckets it grows, to 16 times as much at most.
 BUCKET_BYTES = 4 << 20
+#: Answered entries that a task gathers before it sends them, one row for each block.
+GATHERED = 1_000_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -183,30 +190,43 @@ def _anchor_rows(width: int, n_buckets: int, block_bytes: int):
 
 
 def _answers(decide):
-    """From rows of entries, sorted by bucket, to (block, places): ``decide`` picks a bucket's entries."""
+    """From rows of entries, sorted by bucket, to (block, places): ``decide`` picks a bucket's entries. The
+    picked entries of many buckets are gathered, so that a block gets few rows from a task."""
     schema = pa.schema([("block", pa.int64()), ("places", pa.binary())])
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def settle(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         keys, places, extra = zip(*(decide.read(*r[1:]) for r in rows), strict=True)
-        owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-        chosen = decide.choose(np.concatenate(keys), np.concatenate(extra))
-        place = np.concatenate(places)
-        out = [{"block": rows[i][0], "places": steps(place[chosen & (owner == i)])} for i in np.unique(owner[chosen]).tolist()]
-        if out:
-            yield _batch(out, schema)
+        chosen = np.flatnonzero(decide.choose(np.concatenate(keys), np.concatenate(extra)))
+        owner = np.repeat(np.array([r[0] for r in rows], np.int64), [len(k) for k in keys])
+        return owner[chosen], np.concatenate(places)[chosen]
+
+    def by_block(gathered: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        owner, place = (np.concatenate(x) for x in zip(*gathered, strict=True))
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        out = [{"block": int(o[0]), "places": steps(p)} for o, p in zip(np.split(owner, cuts), np.split(place, cuts), strict=True) if len(o)]
+        for a in range(0, len(out), 500):
+            yield _batch(out[a : a + 500], schema)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
         for batch in batches:
             for bucket, *row in zip(*(batch.column(i).to_pylist() for i in (1, 0, 2, 3, 4)), strict=True):
                 if bucket != now and held:
-                    yield from settle(held)
+                    gathered.append(settle(held))
                     held = []
+                    if sum(len(o) for o, _ in gathered) > GATHERED:
+                        yield from by_block(gathered)
+                        gathered = []
                 now = bucket
                 held.append(tuple(row))
         if held:
-            yield from settle(held)
+            gathered.append(settle(held))
+        if gathered:
+            yield from by_block(gathered)
 
     return answered
 
@@ -319,16 +339,16 @@ def remove_repeats(
     id_type = df.schema[id_col].dataType.simpleString()
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("raw"))
     total = own.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    n_buckets = 16 + total // bucket_bytes
-    blocks = stored(own.mapInArrow(_anchor_rows(width, n_buckets, block_bytes), BLOCKS))
+    n_buckets = 16 + total // min(max(bucket_bytes, total // 4096), 16 * bucket_bytes)
+    blocks = stored(in_arrow(own, _anchor_rows(width, n_buckets, block_bytes), BLOCKS))
     documents = blocks.where("bucket = -1").select("block", "ids", "rows", "sizes", "texts", "length")
 
     def answers(entries: DataFrame, decide) -> DataFrame:
         dealt = entries.where("bucket >= 0").select("block", "bucket", "keys", "places", "extra").repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(_answers(decide), "block bigint, places binary").groupBy("block").agg(F.collect_list("places").alias("answers"))
+        return in_arrow(dealt, _answers(decide), "block bigint, places binary").groupBy("block").agg(F.collect_list("places").alias("answers"))
 
-    found = stored(documents.join(answers(blocks, _Shared), "block", "left").mapInArrow(_window_rows(width, n_buckets), FOUND))
+    found = stored(in_arrow(documents.join(answers(blocks, _Shared), "block", "left"), _window_rows(width, n_buckets), FOUND))
     removed = found.where("bucket = -1").select("block", F.col("places").alias("removed"), "extra")
     last = stored(answers(found, _Larger).join(removed, "block", "right"))
     discard(found)
-    return documents.join(last, "block").mapInArrow(_kept_rows(width, id_col, id_type), f"`{id_col}` {id_type}, n_words bigint, n_removed bigint, text string")
+    return in_arrow(documents.join(last, "block"), _kept_rows(width, id_col, id_type), f"`{id_col}` {id_type}, n_words bigint, n_removed bigint, text string")
