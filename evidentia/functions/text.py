@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Patterns of a term, of the line that opens an agenda item, and of a case number.
 TERM = r"[a-z0-9][a-z0-9-]{1,}"
 ITEM_LINE = r"(?U)^[\s\x1c-\x1f]*\d+[A-Za-z]?\.[\s\x1c-\x1f]+"
 CASE_NUMBER = r"\b20\d{2}-\d{6}[A-Z0-9-]*\b"
@@ -66,9 +67,26 @@ def stem(term: Column) -> Column:
     return F.when(long & term.endswith("ies"), F.concat(term.substr(F.lit(1), F.length(term) - 3), F.lit("y"))).when(long & term.endswith("s"), term.substr(F.lit(1), F.length(term) - 1)).otherwise(term)
 
 
+def words_of(text: Column) -> Column:
+    """Terms before stemming, in order, with repeats."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
 def terms_of(text: Column) -> Column:
     """Stemmed terms in order, with repeats."""
-    return F.filter(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), stem), lambda x: F.length(x) > 1)
+    return F.filter(F.transform(words_of(text), stem), lambda x: F.length(x) > 1)
+
+
+def plain_stem(word: str) -> str:
+    """``stem`` of one word, for a query's few words."""
+    if len(word) <= 4:
+        return word
+    return f"{word[:-3]}y" if word.endswith("ies") else word.removesuffix("s")
+
+
+def forms_of(term: str) -> list[str]:
+    """The words whose stem is ``term``."""
+    return [w for w in dict.fromkeys((term, f"{term}s", f"{term[:-1]}ies")) if plain_stem(w) == term]
 
 
 def expanded(terms: Column, synonyms: dict[str, tuple[str, ...]] | None = None) -> Column:
@@ -84,8 +102,7 @@ def query_terms(query: str, synonyms: dict[str, tuple[str, ...]] | None = None)
 
     known, out = SYNONYMS if synonyms is None else synonyms, []
     for word in re.findall(TERM, query.lower()):
-        if len(word) > 4:
-            word = f"{word[:-3]}y" if word.endswith("ies") else word.removesuffix("s")
+        word = plain_stem(word)
         if len(word) > 1:
             out += [word, *known.get(word, ())]
     return out

@@ -92,19 +92,24 @@ def packed(sizes: Column, chars: Column, sections: Column, target: int, most: in
 
     start = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("out"), F.lit(0).alias("first"), F.lit(0).alias("n"))
 
+    def bound(value, made):
+        """``made`` of a lambda variable that holds ``value``: it is computed once however often it is used."""
+        return F.transform(F.array(value), made)[0]
+
     def add(acc, i):
         held = acc["first"] < i
         before, here = F.get(sections, i - 1), F.get(sections, i)
         changed = held & F.coalesce(before != here, F.lit(False))
         flush = held & ((acc["n"] + F.get(sizes, i) > most) | (changed & (acc["n"] >= max(16, target // 4))))
-        first = F.when(flush, overlap_from(acc["first"], i)).otherwise(acc["first"])
-        out = F.when(flush, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("from"), (i - 1).alias("to"))))).otherwise(acc["out"])
-        n = F.when(flush, total(first, i)).otherwise(acc["n"]) + F.get(sizes, i)
-        return F.struct(
-            F.when(n >= target, F.concat(out, F.array(F.struct(first.alias("from"), i.alias("to"))))).otherwise(out).alias("out"),
-            F.when(n >= target, i + 1).otherwise(first).alias("first"),
-            F.when(n >= target, 0).otherwise(n).alias("n"),
-        )
+        plain = F.struct(acc["out"].alias("out"), acc["first"].alias("first"), (acc["n"] + F.get(sizes, i)).alias("n"))
+        closed = F.concat(acc["out"], F.array(F.struct(acc["first"].alias("from"), (i - 1).alias("to"))))
+        anew = bound(overlap_from(acc["first"], i), lambda first: F.struct(closed.alias("out"), first.alias("first"), (total(first, i) + F.get(sizes, i)).alias("n")))
+
+        def full(now):
+            done = F.concat(now["out"], F.array(F.struct(now["first"].alias("from"), i.alias("to"))))
+            return F.when(now["n"] >= target, F.struct(done.alias("out"), (i + 1).alias("first"), F.lit(0).alias("n"))).otherwise(now)
+
+        return bound(F.when(flush, anew).otherwise(plain), full)
 
     size = F.size(sizes)
     rest = lambda acc: F.when(acc["first"] < size, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("from"), (size - 1).alias("to"))))).otherwise(acc["out"])

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import query_terms, terms_of
+from evidentia.functions.text import forms_of, query_terms, terms_of, words_of
 from evidentia.functions.vectors import vector_score
 
 VECTOR, LEXICAL, METADATA = 0.55, 0.35, 0.10
@@ -29,10 +29,16 @@ def document_frequency(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def query_counts(text: Column, terms: list[str]) -> Column:
-    """How often each of the query's terms stands in the text, in the query's order."""
-    wanted = F.array(*map(F.lit, terms))
-    found = F.filter(terms_of(text), lambda t: F.array_contains(wanted, t))
-    return F.transform(wanted, lambda w: F.size(F.filter(found, lambda t: t == w)))
+    """How often each of the query's terms stands in the text, in the query's order.
+
+    The text's words are compared with the few forms that become one of the terms, and those that do are
+    kept once, bound to a lambda variable, for all terms.
+    """
+    forms = [forms_of(t) for t in terms]
+    every = F.array(*[F.lit(x) for own in forms for x in own]).cast("array<string>")
+    found = F.filter(words_of(text), lambda w: F.array_contains(every, w))
+    count = lambda own, words: F.size(F.filter(words, lambda w: w.isin(*own))) if own else F.lit(0)
+    return F.transform(F.array(found), lambda words: F.array(*[count(own, words) for own in forms]))[0]
 
 
 def lexical_scores(df: DataFrame, query: str, text_col: str = "text") -> DataFrame:

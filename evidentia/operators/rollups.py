@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import occurrences
+from evidentia.session import shared_checkpoints
 
 #: Fixed values, in order: themes and the strings that count for them.
 THEMES = {
@@ -72,6 +71,16 @@ def ordered_list(df: DataFrame, key: str, name: str, *order: Column) -> DataFram
     return df.groupBy(key).agg(F.transform(ranked, lambda x: x["row"]).alias(name))
 
 
+def hearing_items(items: DataFrame, hearing_id: str) -> DataFrame:
+    """A hearing's agenda items as the service lists them, in natural order of their numbers."""
+    return items.where(F.col("hearing_id") == hearing_id).drop("case_suffix", "continued_from", "proposed_continuance_date").orderBy(*natural_order("item_number"), "agenda_item_id")
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One column ``json``: each row as an object with all its fields, null ones too, dates and times by ISO 8601."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
+
+
 def item_detail(items: DataFrame, agenda_item_id: str) -> DataFrame:
     """The item's columns that the service shows."""
     return items.where(F.col("agenda_item_id") == agenda_item_id).drop("case_suffix", "continued_from", "proposed_continuance_date")
@@ -93,9 +102,7 @@ def natural_order(column: str) -> list[Column]:
 def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Adds each row's place in ``order``, from 1, which must leave no ties: rows are dealt out by ranges
     of the order, numbered within their range, and moved up by the rows of the ranges before it."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-"))
+    shared_checkpoints(df.sparkSession)
     # ranges are drawn from a sample: they are kept, so that all that follows sees the same ones
     dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).checkpoint()
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))

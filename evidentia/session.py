@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,18 @@ def session(name: str = "evidentia", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Makes checkpoint() write where spark.checkpoint.dir says. Where that is unset, a new temporary
+    folder serves, which only a local session may use."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    context.setCheckpointDir(found or tempfile.mkdtemp(prefix="evidentia-"))
+
+
 def setting(name: str, default: str, legacy: str | None = None) -> str:
     """An environment variable by its name, else its older name; empty counts as unset."""
     return os.environ.get(name) or (os.environ.get(legacy) if legacy else None) or default
