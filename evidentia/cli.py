@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("embed")
     p.add_argument("--limit", type=positive)
     p.add_argument("--force", action="store_true")
+    p.add_argument("--batch-size", type=positive, default=32)
     p = commands.add_parser("search")
     p.add_argument("query")
     p.add_argument("--limit", type=positive, default=10)
@@ -74,17 +75,17 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.command == "crawl-supporting":
         pipeline.crawl_supporting(store, spark.read.parquet(a.pages), a.limit, a.hearing_id)
     elif a.command == "download-pdfs":
-        pipeline.download_pdfs(store, a.contents, now, a.limit, a.force).show(truncate=False)
+        counts, failures = pipeline.download_pdfs(store, a.contents, now, a.limit, a.force, a.document_id)
+        print(counts)
+        failures.show(truncate=False)
     elif a.command == "parse-pdfs":
-        contents = spark.read.parquet(a.contents).where("content is not null")
-        contents = contents.where(F.col("document_id") == a.document_id) if a.document_id else contents
-        pipeline.parse_pages(store, contents.orderBy("document_id").limit(a.limit) if a.limit else contents).show(truncate=False)
+        pipeline.parse_downloaded(store, a.contents, None, a.limit, a.document_id).show(truncate=False)
     elif a.command == "parse-agendas":
         pipeline.parse_agendas(store, a.hearing_id, a.document_id, a.limit, not a.no_links)
     elif a.command == "chunk":
         pipeline.chunk_documents(store, settings, a.limit, a.document_id)
     elif a.command == "embed":
-        print(pipeline.embed_chunks(store, now, settings, a.limit, a.force))
+        print(pipeline.embed_chunks(store, now, settings, a.limit, a.force, a.batch_size))
     elif a.command == "search":
         provider = None if a.lexical_only else embedding.provider_for(settings.provider, settings.model, settings.dimensions)
         types = [t.strip() for t in (a.types or "").split(",") if t.strip()] or None

@@ -58,12 +58,34 @@ def fetch(url: str, get: Callable = http_get, retries: int = 3, sleep: Callable
     raise ValueError("retries must be at least 1")
 
 
-def pdf_candidates(documents: DataFrame, limit: int | None = None) -> DataFrame:
-    """Documents whose url holds .pdf anywhere, by id."""
-    found = documents.where(F.lower("url").contains(".pdf")).orderBy("document_id")
+def _chosen(documents: DataFrame, limit: int | None, document_id: str | None) -> DataFrame:
+    found = documents if document_id is None else documents.where(F.col("document_id") == document_id)
+    found = found.orderBy("document_id")
     return found if limit is None else found.limit(limit)
 
 
+def pdf_candidates(documents: DataFrame, limit: int | None = None, document_id: str | None = None) -> DataFrame:
+    """Documents whose url holds .pdf anywhere, by id."""
+    return _chosen(documents.where(F.lower("url").contains(".pdf")), limit, document_id)
+
+
+def downloaded_pdfs(documents: DataFrame, limit: int | None = None, document_id: str | None = None) -> DataFrame:
+    """Documents that were downloaded as PDF, by their type or the ending of their path, by id."""
+    pdf = (F.col("mime_type") == "application/pdf") | F.lower("local_path").endswith(".pdf")
+    return _chosen(documents.where(F.col("local_path").isNotNull() & pdf), limit, document_id)
+
+
+def pdf_path(folder: str, document_id: Column) -> Column:
+    """A document's path: its id under the folder. The contents of a folder are rows of one table."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), document_id, F.lit(".pdf"))
+
+
+def latest(contents: DataFrame) -> DataFrame:
+    """The last fetched content of each document."""
+    one = F.max_by(F.struct("content", "mime_type", "sha256", "file_size_bytes"), "fetched_at")
+    return contents.groupBy("document_id").agg(one.alias("x")).select("document_id", "x.*")
+
+
 def download(documents: DataFrame, known: DataFrame | None = None, force: bool = False, get: Callable = http_get, retries: int = 3, sleep: Callable = time.sleep) -> DataFrame:
     """(document_id, status, error, content, ...): status is downloaded, skipped or failed. A document is
     skipped if its content is among ``known`` (document_id, content) and its stored hash agrees or is null."""

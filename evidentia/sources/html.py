@@ -19,6 +19,7 @@ from evidentia.functions.dates import archive_date
 from evidentia.functions.urls import SOURCE_TYPES, document_title, is_document_link, joined_url, source_type_of
 from evidentia.sources.dom import Element, parsed
 
+#: Elements that open a section, and blocks whose text stands around a link.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "th"))
 CONTEXTS = frozenset(("li", "p", "tr", "td", "div", "section"))
 BODY = "Planning Commission"

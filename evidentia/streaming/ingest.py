@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evidentia.sources import store as S
 from evidentia.sources.store import Store
 
 
-def stream_upserts(store: Store, table: str, rows: DataFrame, checkpoint: str, columns: list[str] | None = None) -> StreamingQuery:
-    """Upserts a stream's rows by the table's key until the stream's present input is used up. A batch
-    that is run again after a failure changes nothing, as its rows replace themselves."""
+def stream_upserts(store: Store, table: str, rows: DataFrame, checkpoint: str, columns: list[str] | None = None, order: Column | None = None) -> StreamingQuery:
+    """Upserts a stream's rows by the table's key until the stream's present input is used up. Of a key's
+    rows in a batch the last by ``order`` wins; without one, the last in the order of the batch's files and
+    rows. A batch that is run again after a failure changes nothing, as its rows replace themselves."""
 
     def apply(batch: DataFrame, _: int) -> None:
         keys = S.KEYS[table]
-        once = batch.dropDuplicates(keys)
+        placed = batch.withColumn("__place", F.monotonically_increasing_id() if order is None else order)
+        once = S.last_of(placed, keys, F.col("__place")).drop("__place")
         if not once.isEmpty():
             store.write(table, S.upsert(store.read(table), once, keys, columns))
 
