@@ -83,6 +83,51 @@ def search_filtered(spark, sf_dir):
     return _ranked(ranking.filtered(dated, datetime.date(1995, 1, 1), datetime.date(1997, 12, 31), ["en", "fr"], type_col="lang").drop("hearing_date"), QUERY_VECTOR, 25)
 
 
+class _Given:
+    """An embedding provider of one given query vector."""
+
+    provider_name, model_name = "given", "given-v1"
+
+    @staticmethod
+    def embed_query(query: str) -> list[float]:
+        return QUERY_VECTOR
+
+
+DATED_SQL = (
+    scored_sql("WHERE d.lang IN ('en', 'fr', 'de')", WITH_VECTOR, "day DESC NULLS LAST, doc_id", 40)
+    .replace("FROM documents d LEFT JOIN", "FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id LEFT JOIN")
+    .replace("d.n_chars,", "d.n_chars, o.o_orderdate::DATE AS day,").replace("b.n_chars,", "b.n_chars, b.day,")
+    .replace("SELECT doc_id, round(0.55", "SELECT doc_id, day, round(0.55")
+)
+
+
+@registered(DATED_SQL)
+def search_dated(spark, sf_dir):
+    """The whole search: documents as chunks, orders as hearings, ties by date, document and chunk."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("section_hint"), F.lit(None).cast("string").alias("citation_label"))
+    own = docs.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("hearing_id"), F.col("source").alias("title"), F.col("lang").alias("source_type"), F.lit("").alias("url"))
+    hearings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hearing_id"), F.col("o_orderdate").cast("date").alias("hearing_date"))
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("given").alias("embedding_provider"), F.lit("given-v1").alias("embedding_model"), "embedding")
+    found = ranking.search(chunks, own, hearings, QUERY, vecs, _Given, 40, types=["en", "fr", "de"])
+    return found.select(F.col("chunk_id").alias("doc_id"), F.col("hearing_date").alias("day"), "score", "vector_score", "lexical_score", "metadata_boost")
+
+
+@registered("""
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 4 <> 0 THEN source END AS hearing FROM documents), h AS (SELECT 'src' || n_nationkey AS hearing, n_name FROM nation WHERE n_nationkey < 15)
+SELECT c.doc_id, d.source, h.n_name, len(e.embedding)::INTEGER AS n_dims
+FROM documents c JOIN (SELECT * FROM d WHERE doc_id % 3 <> 0) d USING (doc_id) LEFT JOIN h ON h.hearing = d.hearing LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) e ON e.vec_id = c.doc_id""")
+def searchable_joins(spark, sf_dir):
+    """Chunks of unknown documents go; documents without a hearing and chunks without a vector of the model stay."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"))
+    own = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("hearing_id"), F.lit(None).cast("string").alias("title"), F.col("source").alias("source_type"), F.lit("").alias("url"))
+    hearings = table(spark, sf_dir, "nation").where("n_nationkey < 15").select(F.concat(F.lit("src"), "n_nationkey").alias("hearing_id"), F.col("n_name").alias("hearing_date"))
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("p").alias("embedding_provider"), (F.col("vec_id") % 2).cast("string").alias("embedding_model"), "embedding")
+    found = ranking.searchable(chunks, own, hearings, vecs, "p", "0")
+    return found.select(F.col("chunk_id").alias("doc_id"), F.col("source_type").alias("source"), F.col("hearing_date").alias("n_name"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n_dims"))
+
+
 @registered("SELECT doc_id, source, NULL::INTEGER AS n_dims FROM documents")
 def lexical_null_vector(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
@@ -150,14 +195,17 @@ def cosine_pairs(spark, sf_dir):
     return left.join(vecs.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("r")), "right_id").select("left_id", "right_id", F.round(vectors.dot(F.col("l"), F.col("r")), 6).alias("similarity"))
 
 
-@registered("SELECT vec_id, slot, round(value / norm, 6) AS value FROM (SELECT vec_id, unnest(list_transform(embedding[:8], lambda x: x::DOUBLE)) AS value, generate_subscripts(embedding[:8], 1)::INTEGER AS slot, sqrt(list_dot_product(embedding[:8]::DOUBLE[], embedding[:8]::DOUBLE[])) AS norm FROM embeddings)")
+NORMALISED_SQL = "SELECT vec_id, slot, round(value / norm, 6) AS value FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS value, generate_subscripts(embedding, 1)::INTEGER AS slot, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)"
+
+
+@registered(NORMALISED_SQL)
 def l2_normalised(spark, sf_dir):
-    return _normalised_slots(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding")))
+    return _normalised_slots(table(spark, sf_dir, "embeddings"))
 
 
-@registered("SELECT vec_id, slot, round(value / norm, 6) AS value FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x: x::DOUBLE)) AS value, generate_subscripts(embedding, 1)::INTEGER AS slot, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)")
+@registered(NORMALISED_SQL)
 def l2_normalised_whole(spark, sf_dir):
-    return _normalised_slots(table(spark, sf_dir, "embeddings"))
+    return l2_normalised(spark, sf_dir)
 
 
 def _normalised_slots(vecs: DataFrame) -> DataFrame:
@@ -233,18 +281,19 @@ def exists_probe(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@registered("""
+NATURAL_SQL = """
 SELECT p_partkey, name, row_number() OVER (ORDER BY try_cast(regexp_extract(name, '^[0-9]+') AS INTEGER) NULLS LAST, name NULLS LAST, p_partkey) AS position
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_size || substr(p_brand, 1, 3) END AS name FROM part WHERE p_size < 10)""")
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_size || substr(p_brand, 1, 3) END AS name FROM part)"""
+
+
+@registered(NATURAL_SQL)
 def natural_sort(spark, sf_dir):
-    return _sorted_parts(table(spark, sf_dir, "part").where("p_size < 10"))
+    return _sorted_parts(table(spark, sf_dir, "part"))
 
 
-@registered("""
-SELECT p_partkey, name, row_number() OVER (ORDER BY try_cast(regexp_extract(name, '^[0-9]+') AS INTEGER) NULLS LAST, name NULLS LAST, p_partkey) AS position
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_size || substr(p_brand, 1, 3) END AS name FROM part)""")
+@registered(NATURAL_SQL)
 def natural_sort_whole(spark, sf_dir):
-    return _sorted_parts(table(spark, sf_dir, "part"))
+    return natural_sort(spark, sf_dir)
 
 
 def _sorted_parts(part: DataFrame) -> DataFrame:
@@ -279,8 +328,12 @@ Staff Contact: Bob O'Neil (415) 555-0000
 """
 
 
+#: Items after a form feed, as between the pages of a PDF, and with no-break and ideographic spaces.
+ODD_SPACES = "1.\xa0First item\n\xa0 2. Second item\n\x0c3. Third item\n\u30004.\u2003Fourth item"
+
+
 def agenda_fields(spark: SparkSession) -> DataFrame:
-    texts = spark.createDataFrame([("h1", AGENDA), ("h2", ""), ("h3", "no items")], "hearing_id string, text string")
+    texts = spark.createDataFrame([("h1", AGENDA), ("h2", ""), ("h3", "no items"), ("h4", ODD_SPACES)], "hearing_id string, text string")
     return agenda.with_fields(agenda.items_of(texts))
 
 
@@ -288,7 +341,11 @@ def agenda_fields(spark: SparkSession) -> DataFrame:
 SELECT * FROM (VALUES
  ('h1', '1', 'CONSENT CALENDAR', '2024-001234CUA', 'CUA', '123 MAIN STREET', '3', 'Jane Smith', 'jane.smith@sfgov.org, (628) 555-1212', 'Request for Conditional Use Authorization' || chr(10) || 'to allow a new dwelling.', 'Conditional Use Authorization', 'Exempt', 'Approve with Conditions', 'March 7, 2024', DATE '2024-04-18', 1.0::DOUBLE),
  ('h1', '2', 'CONSENT CALENDAR', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.1),
- ('h1', '3a', 'REGULAR CALENDAR', '2023-004567', NULL, '77 Oak Ave', NULL, 'Bob O''Neil', '(415) 555-0000', NULL, 'Variance; Discretionary Review', NULL, NULL, NULL, NULL, 0.6))
+ ('h1', '3a', 'REGULAR CALENDAR', '2023-004567', NULL, '77 Oak Ave', NULL, 'Bob O''Neil', '(415) 555-0000', NULL, 'Variance; Discretionary Review', NULL, NULL, NULL, NULL, 0.6),
+ ('h4', '1', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.1),
+ ('h4', '2', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.1),
+ ('h4', '3', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.1),
+ ('h4', '4', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0.1))
 AS t(hearing_id, item_number, section, case_number, case_suffix, address, district, planner_name, planner_contact, project_description, entitlement_type, ceqa_status, preliminary_recommendation, continued_from, proposed_continuance_date, parser_confidence)""")
 def case_fields(spark, sf_dir):
     return agenda_fields(spark).drop("agenda_item_id", "raw_text")
@@ -395,12 +452,20 @@ def html_sections(spark, sf_dir):
 
 
 @registered("""
-SELECT page_id, CASE WHEN contains(t, 'agenda') THEN 'agenda' WHEN contains(t, 'minutes') THEN 'minutes' WHEN contains(t, 'notice') THEN 'notice' ELSE 'other' END AS source_type,
-  coalesce(nullif(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1), ''), url) AS title
-FROM (SELECT page_id, url, lower(url) || CASE WHEN page_id % 4 = 0 THEN ' minutes' WHEN page_id % 4 = 1 THEN ' public notice' ELSE '' END AS t FROM pages)""")
+SELECT page_id, CASE WHEN contains(t, 'correspondence') THEN CASE WHEN regexp_matches(t, 'at hearing|at the hearing|during hearing|during the hearing') THEN 'correspondence_at_hearing' ELSE 'correspondence_pre_hearing' END
+  WHEN contains(t, 'staff report') THEN 'staff_report' WHEN contains(t, 'presentation') THEN 'presentation' WHEN contains(t, 'agenda') THEN 'agenda' WHEN contains(t, 'minutes') THEN 'minutes' WHEN contains(t, 'notice') THEN 'notice' ELSE 'other' END AS source_type,
+  CASE WHEN page_id % 10 = 2 THEN 'Case ' || page_id WHEN page_id % 10 = 3 THEN 'Item ' || page_id ELSE
+  coalesce(nullif(regexp_extract(rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), '([^/]*)$', 1), ''), url) END AS title
+FROM (SELECT page_id, url, lower(url) || CASE page_id % 10 WHEN 0 THEN ' minutes' WHEN 1 THEN ' public notice' WHEN 2 THEN ' staff report' WHEN 3 THEN ' presentation and agenda' WHEN 4 THEN ' correspondence received at the hearing'
+  WHEN 5 THEN ' agenda correspondence' WHEN 6 THEN ' agenda and minutes' ELSE '' END AS t FROM pages)""")
 def classify_source(spark, sf_dir):
-    extra = F.when(F.col("page_id") % 4 == 0, " Minutes").when(F.col("page_id") % 4 == 1, " Public  NOTICE").otherwise("")
-    return table(spark, sf_dir, "pages").select("page_id", urls.source_type_of(F.concat("url", extra)).alias("source_type"), urls.document_title(F.lit("View PDF"), F.lit(" "), F.col("url")).alias("title"))
+    last = F.col("page_id") % 10
+    extra = F.lit("")
+    for k, words in enumerate((" Minutes", " Public  NOTICE", " Staff\n REPORT", " Presentation and Agenda", " Correspondence received AT  the hearing", " Agenda correspondence", " agenda and minutes")):
+        extra = F.when(last == k, words).otherwise(extra)
+    link = F.when(last == 2, F.concat(F.lit(" Case  "), "page_id")).otherwise("View PDF")
+    context = F.when(last == 3, F.concat(F.lit("Item "), "page_id")).otherwise(" ")
+    return table(spark, sf_dir, "pages").select("page_id", urls.source_type_of(F.concat("url", extra)).alias("source_type"), urls.document_title(link, context, F.col("url")).alias("title"))
 
 
 ARCHIVE = """<table><tr><th>Hearing Date</th><th>Agenda</th><th>Minutes</th><th>Supporting</th></tr>

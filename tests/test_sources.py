@@ -87,15 +87,19 @@ def test_pages_and_failures(spark):
     assert [r.document_id for r in failures.collect()] == ["b"]
 
 
-def test_store_versions_and_constraints(spark, tmp_path):
+def test_store_versions_and_constraints(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     store.create()
     store.create()
     assert store.versions("hearings") == [1] and store.read("chunks").count() == 0
     link = spark.createDataFrame([("l", "i", "d", "case_number_match", 1.0)], S.schema("document_links"))
     store.write("document_links", link)
+    seen = []
+    checked = S.violations
+    monkeypatch.setattr(S, "violations", lambda df, table: seen.append(store.versions(table)) or checked(df, table))
     with pytest.raises(ValueError):
         store.write("document_links", link.union(link))
+    assert seen == [[1, 2]]  # while it was checked nobody saw the bad version
     assert store.versions("document_links") == [1, 2] and store.read("document_links").count() == 1
     for _ in range(3):
         store.write("document_links", link)
@@ -123,10 +127,20 @@ def test_ingest_from_html_to_search(spark, tmp_path):
         pipeline.crawl_supporting(store, supporting(spark))
     assert store.read("hearings").count() == 3 and store.read("source_documents").count() == 6
     text = AGENDA + "\n" + "More about parking near the station. " * 20
-    failures = pipeline.download_pdfs(store, str(tmp_path / "contents"), NOW, get=lambda u: (b"%PDF", "application/pdf"), sleep=lambda s: None)
-    assert failures.count() == 0 and store.read("source_documents").where("sha256 is not null").count() == 6
-    contents = spark.read.parquet(str(tmp_path / "contents"))
-    assert pipeline.parse_pages(store, contents, lambda c: [text]).count() == 0
+    folder = str(tmp_path / "contents")
+    fetched = lambda **k: pipeline.download_pdfs(store, folder, NOW, get=lambda u: (b"%PDF", "application/pdf"), sleep=lambda s: None, **k)
+    first, failures = fetched(limit=2)
+    assert first == {"total": 2, "downloaded": 2, "skipped": 0, "failed": 0} and failures.count() == 0
+    assert pipeline.parse_downloaded(store, folder, lambda c: [text]).count() == 0 and store.read("pages").select("document_id").distinct().count() == 2
+    assert fetched()[0] == {"total": 6, "downloaded": 4, "skipped": 2, "failed": 0}
+    assert fetched()[0]["skipped"] == 6 and fetched(force=True)[0]["downloaded"] == 6 and fetched(limit=1)[0]["total"] == 1
+    assert pipeline.contents_of(store, folder).count() == 6  # earlier contents stay, the last ones count
+    one = store.read("source_documents").first()
+    assert one.local_path == f"{folder}/{one.document_id}.pdf" and fetched(document_id=one.document_id)[0]["total"] == 1
+    assert store.read("source_documents").where("sha256 is not null").count() == 6
+    broken, failures = pipeline.download_pdfs(store, folder, NOW, force=True, get=lambda u: (b"<html>", "text/html"), sleep=lambda s: None)
+    assert broken["failed"] == 6 and {r.error for r in failures.collect()} == {"ValueError: not a PDF: text/html"}
+    assert pipeline.parse_downloaded(store, folder, lambda c: [text]).count() == 0
     pipeline.parse_agendas(store)
     items = store.read("agenda_items")
     assert items.where("hearing_id = 'cpc-2024-01-11'").count() == 3
@@ -164,6 +178,32 @@ def test_stream_upserts_are_idempotent(spark, tmp_path):
         assert store.read("document_links").count() == 2
 
 
+def test_last_row_of_a_batch_wins(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.create()
+    rows = spark.createDataFrame([("l", "i", "d", "r", x) for x in (0.3, 0.9, 0.5)], S.schema("document_links")).coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    for n, (order, want) in enumerate(((None, 0.5), (F.col("confidence"), 0.9))):
+        stream = spark.readStream.schema(S.schema("document_links")).parquet(str(tmp_path / "in"))
+        stream_upserts(store, "document_links", stream, str(tmp_path / f"state{n}"), order=order).awaitTermination()
+        assert store.read("document_links").first().confidence == want
+
+
+def test_downloaded_documents(spark):
+    rows = [("a", "x/a", "application/pdf"), ("b", "x/b.PDF", None), ("c", "x/c", "text/html"), ("d", None, "application/pdf"), ("e", "x/e", None)]
+    docs = spark.createDataFrame(rows, "document_id string, local_path string, mime_type string")
+    assert [r.document_id for r in files.downloaded_pdfs(docs).collect()] == ["a", "b"]
+    assert [r.document_id for r in files.downloaded_pdfs(docs, 1).collect()] == ["a"] and files.downloaded_pdfs(docs, document_id="c").isEmpty()
+
+
+def test_rows_as_json_and_listed_items(spark):
+    items = spark.createDataFrame([("i1", "h", "10", None), ("i2", "h", "2", "x"), ("i3", "h", None, None), ("i4", "g", "1", None)], "agenda_item_id string, hearing_id string, item_number string, case_suffix string")
+    listed = rollups.hearing_items(items.withColumns({"continued_from": F.lit(None), "proposed_continuance_date": F.lit(None)}), "h")
+    assert [r.agenda_item_id for r in listed.collect()] == ["i2", "i1", "i3"] and "case_suffix" not in listed.columns
+    day = spark.createDataFrame([(1, date(2024, 5, 2), NOW, None)], "n int, d date, t timestamp_ntz, s string")
+    assert rollups.as_json(day).first().json == '{"n":1,"d":"2024-05-02","t":"2024-06-01T00:00:00","s":null}'
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("EVIDENTIA_DIMENSIONS", "")
     monkeypatch.setenv("EVIDENCE_DIMENSIONS", "12")
@@ -179,3 +219,21 @@ def test_cli_rejects_bad_limits():
     with pytest.raises(SystemExit):
         parser().parse_args(["search", "q", "--limit", "0"])
     assert parser().parse_args(["search", "q", "--types", "a,b"]).limit == 10
+    assert parser().parse_args(["embed", "--batch-size", "7"]).batch_size == 7 and parser().parse_args(["download-pdfs", "--contents", "c", "--document-id", "d"]).document_id == "d"
+
+
+def test_embedding_services_by_fake_replies(monkeypatch):
+    from evidentia.operators import embedding
+
+    calls = []
+
+    def openai(url, body, headers):
+        calls.append(body)
+        return {"data": [{"index": 1, "embedding": [0.0, 2.0]}, {"index": 0, "embedding": [3.0, 4.0]}]}
+
+    monkeypatch.setattr(embedding, "_posted", openai)
+    assert embedding.OpenAIService("k", "m").vectors(["a", "b"], "document") == [[0.6, 0.8], [0.0, 1.0]] and "dimensions" not in calls[0]
+    embedding.OpenAIService("k", "m", 2).vectors(["a", "b"], "query")
+    assert calls[1]["dimensions"] == 2
+    monkeypatch.setattr(embedding, "_posted", lambda url, body, headers: calls.append(body) or {"embedding": {"values": [3.0, 4.0, 12.0]}})
+    assert embedding.GoogleService("k", "m", 2).vectors(["a"], "query") == [[0.6, 0.8]] and calls[-1]["taskType"] == "RETRIEVAL_QUERY"
