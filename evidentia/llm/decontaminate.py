@@ -32,7 +32,7 @@ from evidentia.llm.tables import discard, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = " "  # a term that no word equals: its posting holds the number of words
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 #: The same breaks in a text that is not yet lower-cased.
