@@ -11,8 +11,9 @@ labellers that contradict each other is to be believed at first.
 The posteriors, as they are, are the labels of a logistic scorer over hashed features (distinct
 words, their first 4 and 5 letters) and a few exact ones (levels of the text's measures, signs of
 insult). It is fitted by L-BFGS, whose gradients Spark sums over a sample of about ``train_rows``
-documents chosen by the hash of the id; a gradient comes to the driver as one number for each
-feature and question. The scorer then judges every document, over its whole text.
+documents chosen by the hash of the id and the text, in which equal documents are one row that counts
+as many times: an id, or a text, that fills much of the table does not swell it. A gradient comes to
+the driver as one number for each feature and question. The scorer then judges every document, over its whole text.
 
 Edge cases: null texts and texts without words are of low quality (p_low 1, p_toxic 0); repeated
 rows are scored alike; contradicting annotations of one id count as no opinion, and so do null ones;
@@ -157,8 +158,8 @@ BIAS, LOSS, WEIGHT = SIZE, SIZE + 1, SIZE + 2
 
 
 def _gradient(weights: np.ndarray):
-    """From (slots as 32-bit numbers, p_low, p_toxic), a null p standing for no opinion, to (slot, low, toxic): parts of the
-    gradient by slot, with rows for the intercepts, the losses and the numbers of documents."""
+    """From (slots as 32-bit numbers, p_low, p_toxic, number of documents), a null p standing for no opinion, to (slot, low,
+    toxic): parts of the gradient by slot, with rows for the intercepts, the losses and the numbers of documents."""
     scaled = weights[:SIZE] * VALUES[:, None]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +169,15 @@ def _gradient(weights: np.ndarray):
             slots = np.frombuffer(b"".join(packed), np.int32)
             sizes = np.array([len(x) // 4 for x in packed])
             owner = np.repeat(np.arange(len(sizes)), sizes)
+            times = batch.column(len(TASKS) + 1).to_numpy().astype(float)
             for k in range(len(TASKS)):
                 wanted = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)
                 there = ~np.isnan(wanted)
                 wanted = np.where(there, wanted, 0.0)
                 logs = np.bincount(owner, scaled[slots, k], len(sizes)) + weights[BIAS, k]
-                error = np.where(there, 1 / (1 + np.exp(-np.clip(logs, -500, 500))) - wanted, 0.0)
+                error = np.where(there, 1 / (1 + np.exp(-np.clip(logs, -500, 500))) - wanted, 0.0) * times
                 total[:SIZE, k] += np.bincount(slots, error[owner], SIZE) * VALUES
-                total[BIAS:, k] += error.sum(), np.where(there, np.logaddexp(0, logs) - wanted * logs, 0).sum(), there.sum()
+                total[BIAS:, k] += error.sum(), (np.where(there, np.logaddexp(0, logs) - wanted * logs, 0) * times).sum(), times[there].sum()
         at = np.flatnonzero(total.any(axis=1))
         for a in range(0, len(at), 20_000):
             part = at[a : a + 20_000]
@@ -258,7 +260,7 @@ def train(
     low_if = F.col("quality") == 0 if low_if is None else low_if
     toxic_if = F.col("toxic") == 1 if toxic_if is None else toxic_if
     total = docs.count()
-    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, total)))
+    chosen = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(1, total)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), chosen.alias("chosen"))
     own = stored(in_arrow(texts, _votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots binary"))
     joined = _annotated(own, labels, id_col, low_if, toxic_if)
@@ -273,8 +275,9 @@ def train(
         answers = docs.sparkSession.createDataFrame([(r[0], float(p)) for r, p in zip(rows, posterior, strict=True)], f"{task} array<int>, p_{task} double")
         # at most one row for each pattern of six votes
         sample = sample.join(F.broadcast(answers), task, "left")
-    # the sample is bounded by train_rows, so a fixed number of partitions holds it
-    sample = stored(sample.select("slots", *[f"p_{t}" for t in TASKS]).repartition(6))
+    counted = sample.groupBy("slots", *[f"p_{t}" for t in TASKS]).agg(F.count("*").alias("n"))
+    # the sample has about train_rows rows at most, so a fixed number of partitions holds it
+    sample = stored(counted.repartition(6))
     discard(own, held)
     flat = minimised(objective(sample, regularisation), np.zeros((SIZE + 1) * len(TASKS)), rounds)
     discard(sample)

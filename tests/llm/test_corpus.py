@@ -371,7 +371,10 @@ def test_expectation_maximisation_matches_brute_force():
 def test_gradient_of_the_scorer_matches_brute_force(spark):
     pick = np.random.default_rng(2)
     rows = [(np.sort(pick.choice(Q.SIZE, 40, replace=False)).astype(np.int32), *(None if pick.random() < 0.3 else float(pick.random()) for _ in range(2))) for _ in range(25)]
-    sample = spark.createDataFrame([(bytearray(s.tobytes()), p, q) for s, p, q in rows], "slots binary, p_low double, p_toxic double").repartition(3)
+    times = [1 + i % 3 for i in range(len(rows))]
+    counted = [(bytearray(s.tobytes()), p, q, n) for (s, p, q), n in zip(rows, times, strict=True)]
+    sample = spark.createDataFrame(counted, "slots binary, p_low double, p_toxic double, n bigint").repartition(3)
+    rows = [r for r, n in zip(rows, times, strict=True) for _ in range(n)]
     weights = pick.normal(size=(Q.SIZE + 1, 2)) / 10
     value, gradient = Q.objective(sample, 0.01)(weights.ravel())
     want, slopes = 0.0, np.zeros_like(weights)
@@ -388,6 +391,17 @@ def test_gradient_of_the_scorer_matches_brute_force(spark):
     assert abs(value - want) < 1e-9 and np.allclose(gradient.reshape(slopes.shape), slopes)
 
 
+def test_one_id_or_text_does_not_swell_the_sample(spark, monkeypatch):
+    sizes = []
+    objective = Q.objective
+    monkeypatch.setattr(Q, "objective", lambda sample, r: sizes.append((sample.count(), sample.agg({"n": "sum"}).first()[0])) or objective(sample, r))
+    rows = [(None, f"some plain words about number {i} of a list") for i in range(2000)] + [(7, "you stupid idiot, worthless loser")] * 1500
+    Q.train(spark.createDataFrame(rows, "doc_id bigint, text string"), train_rows=350)
+    Q.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    (some, _), (every, documents) = sizes
+    assert 100 < some < 350 and every == 2001 and documents == 3500
+
+
 def test_descent_finds_the_minimum():
     scale = np.linspace(1, 50, 30)
     found = Q.minimised(lambda x: (float((scale * (x - 3) ** 2).sum()), 2 * scale * (x - 3)), np.zeros(30), 60, 1e-14)
