@@ -351,6 +351,19 @@ def case_fields(spark, sf_dir):
     return agenda_fields(spark).drop("agenda_item_id", "raw_text")
 
 
+@registered("""
+SELECT 'h' || doc_id AS hearing_id, '1' AS item_number, 'REGULAR CALENDAR' AS section, '2024-' || lpad(doc_id::VARCHAR, 6, '0') || 'CUA' AS case_number, 'CUA' AS case_suffix,
+  (doc_id % 11 + 1)::VARCHAR AS district, coalesce(source, 'none') AS ceqa_status, coalesce(lang, 'none') AS preliminary_recommendation, 0.5::DOUBLE AS parser_confidence FROM documents
+UNION ALL SELECT 'h' || doc_id, '2', 'REGULAR CALENDAR', NULL, NULL, NULL, NULL, NULL, 0.1 FROM documents""")
+def agenda_of_documents(spark, sf_dir):
+    """The agenda parser over all documents: an agenda of two items, with fields from the columns, of each."""
+    case = F.concat(F.lit("2024-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("CUA"))
+    first = F.concat(F.lit("1. "), case, F.lit("\nDistrict "), (F.col("doc_id") % 11 + 1).cast("string"), F.lit("\nCEQA Status: "), F.coalesce("source", F.lit("none")), F.lit("\nPreliminary Recommendation: "), F.coalesce("lang", F.lit("none")))
+    text = F.concat(F.lit("REGULAR CALENDAR\n"), first, F.lit("\n\f2. Election "), F.col("doc_id").cast("string"))
+    made = agenda.with_fields(agenda.items_of(table(spark, sf_dir, "documents").select(F.concat(F.lit("h"), "doc_id").alias("hearing_id"), text.alias("text"))))
+    return made.select("hearing_id", "item_number", "section", "case_number", "case_suffix", "district", "ceqa_status", "preliminary_recommendation", "parser_confidence")
+
+
 @registered("""
 SELECT doc_id, nullif(regexp_extract(text, '\\(?[0-9]{3}\\)?[-.\\s][0-9]{3}[-.\\s][0-9]{4}'), '') AS phone FROM documents WHERE regexp_matches(text, '\\(?[0-9]{3}\\)?[-.\\s][0-9]{3}[-.\\s][0-9]{4}')""")
 def phone_fields(spark, sf_dir):
@@ -485,6 +498,21 @@ def html_table(spark, sf_dir):
     return html.archive_hearings(pages).drop("source_url", "position")
 
 
+@registered("""
+SELECT 'https://c.org/o/' || o_orderkey || '/' AS source_url, 'cpc-' || strftime(o_orderdate, '%Y-%m-%d') AS hearing_id, o_orderdate::DATE AS hearing_date, 'Planning Commission' AS title,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, 'https://c.org/a/' || o_orderkey || '.pdf' AS agenda_url, NULL::VARCHAR AS minutes_url,
+  'https://c.org/o/' || o_orderkey || '/s' || o_custkey AS supporting_url FROM orders WHERE o_orderdate IS NOT NULL""")
+def archive_of_orders(spark, sf_dir):
+    """The archive parser over all orders: a page with a table of one hearing, from the columns, of each."""
+    day = F.concat(F.date_format("o_orderdate", "MMMM d, yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " (CANCELLED)").otherwise(""))
+    html_of = F.format_string(
+        '<table><tr><th>Hearing Date</th><th>Agenda</th><th>Minutes</th><th>Supporting</th></tr><tr><td>%s</td><td><a href="/a/%s.pdf">Agenda</a></td><td>N/A</td><td><a href="s%s">Supporting</a></td></tr></table>',
+        day, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+    )
+    pages = table(spark, sf_dir, "orders").where("o_orderdate is not null").select(F.concat(F.lit("https://c.org/o/"), "o_orderkey", F.lit("/")).alias("source_url"), html_of.alias("html"))
+    return html.archive_hearings(pages).drop("position")
+
+
 @registered("""
 SELECT 'doc-' || substr(sha256('h' || page_id || '|' || u), 1, 20) AS document_id, 'h' || page_id AS hearing_id, t AS source_type, upper(t[1]) || t[2:] AS title, u AS url
 FROM (SELECT page_id, 'agenda' AS t, url AS u FROM pages UNION ALL SELECT page_id, 'minutes', url || '/m' FROM pages WHERE page_id % 2 = 0)""")
