@@ -162,18 +162,18 @@ def _joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) ->
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: counts of the base kinds, digest of the base spans, all spans as text."""
-    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    """Per row: counts of the base kinds, digest of the base spans, all spans as text, and how many these are."""
+    names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
             spans = [find_spans(t) for t in texts_of(batch.column(1))]
             digests = [hashlib.sha256(_joined(x, BASE).encode()).hexdigest() for x in spans]
             counts = [pa.array([len(x[k]) for x in spans], pa.int64()) for k in BASE]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([_joined(x, KINDS) for x in spans], pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digests, pa.string()), pa.array([_joined(x, KINDS) for x in spans], pa.string()), pa.array([sum(map(len, x.values())) for x in spans], pa.int64())], names=names)
 
     kept = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    schema = f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
     return in_arrow(kept, found, schema)
 
 
