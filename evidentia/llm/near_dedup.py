@@ -337,11 +337,18 @@ def _rest(members: DataFrame, classes: DataFrame, vectors: DataFrame, threshold:
     return in_arrow(dealt_out, _tiles(threshold), "a bigint, b bigint")
 
 
+def _beside(links: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v) with the m of its u. Adaptive execution splits a hub only in a join whose sides both come
+    straight from an exchange; dealt by u, ``least`` would come from the aggregate that made it. So the
+    join is by the complement of u, for which both sides are dealt anew."""
+    return links.join(least.select(F.bitwise_not("u").alias("key"), "m"), F.bitwise_not("u") == F.col("key")).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component), stored: the smallest id that links (a, b) lead to, for every id that has a link.
 
     Alternating large and small stars; it ends when a round leaves as many links as it found, with the
-    same fingerprint. A hub's links meet in joins alone, which adaptive execution splits.
+    same fingerprint. A hub's links meet in joins alone, which adaptive execution splits (``_beside``).
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
@@ -349,9 +356,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = stored(_beside(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _beside(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         discard(now, large)
         now, found = after, after.agg(*mark).first()
