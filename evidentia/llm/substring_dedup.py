@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.batches import in_arrow
 from evidentia.llm.packed import pack, steps, unpack, unsteps
-from evidentia.llm.tables import discard, stored
+from evidentia.llm.tables import discard, stored, stored_apart
 
 #: Difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -340,14 +340,15 @@ def remove_repeats(
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("raw"))
     total = own.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n_buckets = 16 + total // min(max(bucket_bytes, total // 4096), 16 * bucket_bytes)
-    blocks = stored(in_arrow(own, _anchor_rows(width, n_buckets, block_bytes), BLOCKS))
-    documents = blocks.where("bucket = -1").select("block", "ids", "rows", "sizes", "texts", "length")
+    anchors, blocks = stored_apart(in_arrow(own, _anchor_rows(width, n_buckets, block_bytes), BLOCKS), F.col("bucket") == -1)
+    documents = blocks.select("block", "ids", "rows", "sizes", "texts", "length")
 
     def answers(entries: DataFrame, decide) -> DataFrame:
         dealt = entries.where("bucket >= 0").select("block", "bucket", "keys", "places", "extra").repartition("bucket").sortWithinPartitions("bucket")
         return in_arrow(dealt, _answers(decide), "block bigint, places binary").groupBy("block").agg(F.collect_list("places").alias("answers"))
 
-    found = stored(in_arrow(documents.join(answers(blocks, _Shared), "block", "left"), _window_rows(width, n_buckets), FOUND))
+    found = stored(in_arrow(documents.join(answers(anchors, _Shared), "block", "left"), _window_rows(width, n_buckets), FOUND))
+    discard(anchors)
     removed = found.where("bucket = -1").select("block", F.col("places").alias("removed"), "extra")
     last = stored(answers(found, _Larger).join(removed, "block", "right"))
     discard(found)

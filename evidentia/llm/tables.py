@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_apart(df: DataFrame, apart: Column) -> tuple[DataFrame, DataFrame]:
+    """As ``stored``, in one pass over ``df``: the rows where ``apart`` is not true, and those where it is, as two
+    tables that can be discarded by themselves."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/evidentia-{uuid.uuid4().hex}"
+    df.withColumn("__apart", F.coalesce(apart, F.lit(False)).cast("int")).write.partitionBy("__apart").parquet(path)
+
+    def table(side: int) -> DataFrame:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/__apart={side}")
+        if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+            return spark.createDataFrame([], df.schema)
+        return spark.read.schema(df.schema).parquet(f"{path}/__apart={side}")
+
+    return table(0), table(1)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote, once nothing reads them any more."""
     for df in tables:
