@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import decontaminate as D, langid as L, near_dedup as N, quality as Q, substring_dedup as S, url_rules as U
+from evidentia.llm import decontaminate as D, langid as L, near_dedup as N, quality as Q, substring_dedup as S, tables as T, url_rules as U
 from evidentia.llm.pieces import Pieces, forward, greedy
 from evidentia.llm.substring_dedup import WordHashes
 
@@ -123,6 +124,16 @@ def test_repeats_match_brute_force(spark, width, block):
     assert sorted_rows(found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256))) == repeats(rows, width)
 
 
+def test_two_tables_of_one_pass(spark):
+    rest, apart = T.stored_apart(spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (CAST(NULL AS INT), 'c') AS t(n, s)"), F.col("n") > 1)
+    assert sorted(r.s for r in rest.collect()) == ["a", "c"] and [tuple(r) for r in apart.collect()] == [(2, "b")]
+    T.discard(rest)
+    assert [tuple(r) for r in apart.collect()] == [(2, "b")]
+    rest, apart = T.stored_apart(spark.range(3), F.col("id") < 0)
+    assert rest.count() == 3 and apart.count() == 0
+    T.discard(rest, apart)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert S.remove_repeats(documents(spark).limit(0)).collect() == []
 
@@ -278,6 +289,37 @@ def test_components(spark):
     assert {r.id: r.component for r in N.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
 
 
+def test_components_with_a_hub_match_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [(7, i) for i in range(100, 400)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(200)]
+    least = {i: i for p in pairs for i in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    found = N.components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    own = {r.id: r.component for r in found.collect()}
+    assert own == {i: c for i, c in least.items() if i in own} and all(any(a != b and i in (a, b) for a, b in pairs) == (i in own) for i in least)
+
+
+def test_links_of_a_hub_are_split(spark):
+    how = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "32", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(f"spark.sql.{k}", None) for k in how}
+    try:
+        for k, v in how.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        links = T.stored(spark.range(40_000).select(F.when(F.col("id") < 20_000, -1).otherwise(F.col("id")).alias("u"), (F.col("id") + 1).alias("v")))
+        made = N._beside(links, links.groupBy("u").agg(F.min("v").alias("m")))
+        assert len(made.collect()) == 40_000
+        assert "skew=true" in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
 URLS = ["https://A.Example.com/en/71?x", "http://example.com/en/8", "http://de.example.net/de/81", "http://net/de/", "ftp://x.org/es/#a", "http://xcom/en/", "no url", None, "", "http://com", "http://a.b.com/EN/", "http://example.com/en/7", "http://example.com/en/7"]
 
 
