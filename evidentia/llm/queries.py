@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import byte_bpe, decontaminate, langid, media, near_dedup, pii, quality, substring_dedup, token_counts, url_rules
+from evidentia.llm import alignment, byte_bpe, decontaminate, langid, media, near_dedup, pii, quality, substring_dedup, token_counts, url_rules, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_read(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -68,6 +76,8 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 OP8_SQL = """
