@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import alignment, byte_bpe, decontaminate, langid, media, near_dedup, pii, quality, substring_dedup, token_counts, url_rules, whitening
+from evidentia.llm import alignment, byte_bpe, decontaminate, langid, media, near_dedup, pii, quality, substring_dedup, suffix_tree, token_counts, url_rules, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(_read(spark, sf_dir, "documents"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(_read(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(_read(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_suffix_tree": op11_suffix_tree,
     "op12_whitening": op12_whitening,
     "op13_alignment": op13_alignment,
 }
