@@ -187,7 +187,7 @@ def gram_counts(blocks: DataFrame, candidates: np.ndarray, length: int) -> DataF
     return rows.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
-def fit(blocks: DataFrame, depth: int = 2, p_min: float = 5e-5, least: int = 16) -> SuffixTree:
+def fit(blocks: DataFrame, depth: int = 2, p_min: float = 1e-4, least: int = 16) -> SuffixTree:
     """The tree of the blocks' training documents."""
     spark = blocks.sparkSession
     words = stored(word_counts(blocks))
@@ -272,7 +272,7 @@ def score(blocks: DataFrame, tree: SuffixTree, id_col: str = "doc_id", kind: str
     """Per document of the blocks: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     levels, total, tokens = tree.levels, tree.total, tree.tokens
-    answers = asked(blocks, tree).join(tree.values, "key").select("block", "key", "value")
+    answers = asked(blocks, tree).join(tree.values.hint("shuffle_hash"), "key").select("block", "key", "value")
 
     def scored(block: pa.Table, answer: pa.Table) -> pa.Table:
         col = {n: block.column(n).combine_chunks() for n in block.column_names}
@@ -304,7 +304,7 @@ def score(blocks: DataFrame, tree: SuffixTree, id_col: str = "doc_id", kind: str
     return blocks.select("block", "ids", "held", "sizes", "codes", "hashes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = 2, p_min: float = 5e-5, least: int = 16, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = 2, p_min: float = 1e-4, least: int = 16, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of all documents by the tree of those whose crc32(id) is not a multiple of ``folds``."""
     blocks = blocks_of(df, held_out_of(id_col, folds), id_col, text_col, block_bytes)
     return score(blocks, fit(blocks, depth, p_min, least), id_col, df.schema[id_col].dataType.simpleString())
