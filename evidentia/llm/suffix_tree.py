@@ -41,12 +41,20 @@ from evidentia.llm.packed import pack, unpack
 from evidentia.llm.substring_dedup import WordHashes, mixed
 from evidentia.llm.tables import discard, stored
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 ADDED = 0.1
 END = b""
 ROWS = 200_000
 
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is one of the rising keys, at which place)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
 @dataclass(frozen=True)
 class Contexts:
     """Retained contexts of one length: hashes in rising order, and the share that each leaves to its suffix."""
@@ -55,11 +63,9 @@ class Contexts:
     left: np.ndarray
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether each is retained, what it leaves)."""
-        if not len(self.keys):
-            return np.zeros(len(wanted), bool), np.ones(len(wanted))
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return self.keys[at] == wanted, self.left[at]
+        """(whether each is retained, what those leave)."""
+        there, at = _among(self.keys, wanted)
+        return there, self.left[at[there]]
 
 
 @dataclass(frozen=True)
@@ -91,19 +97,22 @@ class Tokens:
     def __init__(self, sizes: bytes, codes: bytes, hashes: bytes):
         self.sizes = _numbers(sizes, np.int64)
         self.distinct = _numbers(hashes, np.uint64)
-        self.codes = _numbers(codes, np.uint32).astype(np.int64)
-        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.codes = _numbers(codes, np.uint32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def grams(self, depth: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each length of context from one: the positions that have one, and the hashes that end there,
-        of the word alone, of the grams up to that length and one word more; the last but one of the position before is the context."""
+        """For each length of context from one: the hashes of the contexts before all words, and those of what ends in
+        each word, from that context and the word down to the word alone. Contexts that would begin in another document are 0."""
         words = self.distinct[self.codes]
-        hashes = [words]
+        hashes, inside = [words], np.ones(len(words), bool)
         for length in range(1, depth + 1):
-            before = np.concatenate([np.zeros(1, np.uint64), hashes[-1][:-1]]) if len(words) else words
-            hashes.append(mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(length)))
-            at = np.flatnonzero(self.place >= length)
-            yield at, [before[at], *[h[at] for h in hashes[::-1]]]
+            before = np.zeros(len(words), np.uint64)
+            before[1:] = hashes[0][:-1]
+            at = self.starts[self.sizes >= length] + length - 1
+            inside[at] = False
+            before[~inside] = 0
+            hashes.insert(0, mixed(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(length)))
+            yield before, hashes
 
 
 def held_out_of(id_col: str, folds: int) -> Column:
@@ -173,15 +182,12 @@ def gram_counts(blocks: DataFrame, candidates: np.ndarray, length: int) -> DataF
             for sizes, codes, hashes, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Tokens(sizes, codes, hashes)
                 learned = np.repeat(~np.array(held, bool), own.sizes)
-                for at, keys in own.grams(length):
-                    pass
-                if len(at):
-                    found = np.minimum(np.searchsorted(candidates, keys[0]), len(candidates) - 1)
-                    kept = np.flatnonzero((candidates[found] == keys[0]) & learned[at])
-                    codes, distinct = pd.factorize(keys[1][kept])
-                    first = np.zeros(len(distinct), np.int64)
-                    first[codes[::-1]] = kept[::-1]
-                    yield from _rows([*[k[first] for k in keys], np.bincount(codes, minlength=len(distinct))], names)
+                *_, (before, keys) = own.grams(length)
+                kept = np.flatnonzero(_among(candidates, before)[0] & learned)
+                codes, distinct = pd.factorize(keys[0][kept])
+                first = np.zeros(len(distinct), np.int64)
+                first[codes[::-1]] = kept[::-1]
+                yield from _rows([before[first], *[k[first] for k in keys], np.bincount(codes, minlength=len(distinct))], names)
 
     rows = in_arrow(blocks.select("sizes", "codes", "hashes", "held"), counted, ", ".join(f"{n} bigint" for n in names))
     return rows.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
@@ -260,8 +266,8 @@ def asked(blocks: DataFrame, tree: SuffixTree) -> DataFrame:
             for block, sizes, codes, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Tokens(sizes, codes, hashes)
                 found = [own.distinct]
-                for level, (_, grams) in zip(levels, own.grams(len(levels)), strict=True):
-                    found.append(pd.unique(grams[1][level.find(grams[0])[0]]))
+                for level, (before, grams) in zip(levels, own.grams(len(levels)), strict=True):
+                    found.append(pd.unique(grams[0][level.find(before)[0]]))
                 for part in found:
                     yield from _rows([part, np.full(len(part), block)], ["key", "block"])
 
@@ -283,19 +289,19 @@ def score(blocks: DataFrame, tree: SuffixTree, id_col: str = "doc_id", kind: str
 
         def values_of(wanted: np.ndarray) -> np.ndarray:
             """NaN where there is none."""
-            if not len(key):
-                return np.full(len(wanted), np.nan)
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            return np.where(key[at] == wanted, value[at], np.nan)
+            there, at = _among(key, wanted)
+            out = np.full(len(wanted), np.nan)
+            out[there] = value[at[there]]
+            return out
 
         counts = np.nan_to_num(values_of(own.distinct))[own.codes]
         owner = np.repeat(np.arange(len(own.sizes)), own.sizes)
         base = (counts + ADDED) / total
         p = base.copy()
-        for level, (at, grams) in zip(levels, own.grams(len(levels)), strict=True):
-            there, left = level.find(grams[0])
-            at, seen = at[there], values_of(grams[1][there])
-            p[at] = np.where(np.isnan(seen), left[there] * p[at], seen)
+        for level, (before, grams) in zip(levels, own.grams(len(levels)), strict=True):
+            there, left = level.find(before)
+            seen = values_of(grams[0][there])
+            p[there] = np.where(np.isnan(seen), left * p[there], seen)
         sums = lambda x: np.bincount(owner, x, len(own.sizes))
         columns = [col["ids"].flatten(), col["held"].flatten(), own.sizes, sums(counts > 0).astype(np.int64), np.full(len(own.sizes), tokens), sums(np.log10(base)), sums(np.log10(p))]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
