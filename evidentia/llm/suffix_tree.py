@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.batches import by_bytes, in_arrow
 from evidentia.llm.packed import pack, unpack
 from evidentia.llm.substring_dedup import WordHashes, mixed
-from evidentia.llm.tables import discard, stored
+from evidentia.llm.tables import discard, stored, tidy
 
 BLOCK_BYTES = 8 << 20
 ADDED = 0.1
@@ -57,26 +57,27 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Contexts:
-    """Retained contexts of one length: hashes in rising order, and the share that each leaves to its suffix."""
+    """Retained contexts of one length: hashes in rising order, how often each stands, and the share that it leaves to its suffix."""
 
     keys: np.ndarray
+    counts: np.ndarray
     left: np.ndarray
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether each is retained, what those leave)."""
+        """(whether each is retained, the places of those)."""
         there, at = _among(self.keys, wanted)
-        return there, self.left[at[there]]
+        return there, at[there]
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """levels[k] has the retained contexts of k + 1 words; ``values`` (key, value) has the words' counts and the
-    probabilities of the grams that retained contexts have seen twice."""
+    """levels[k] has the retained contexts of k + 1 words; ``counts`` (key, n) has the words, and the grams that
+    retained contexts have seen twice."""
 
     tokens: int
     distinct: int
     levels: tuple[Contexts, ...]
-    values: DataFrame
+    counts: DataFrame
 
     @property
     def total(self) -> float:
@@ -119,6 +120,13 @@ def held_out_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def _named(task: int, number: int) -> int:
+    """A number below 2^31, so that it and a place in the block fit a long."""
+    if number >= 2048 or task >= 1 << 20:
+        raise ValueError("at most 2,048 blocks in a task and 1,048,576 tasks: read the table in more or fewer partitions")
+    return task << 11 | number
+
+
 def blocks_of(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The table of blocks: ids, which are held out, and packed: sizes, word numbers, words' hashes and training counts."""
     names = ["block", "ids", "held", "sizes", "codes", "hashes", "counts"]
@@ -139,7 +147,7 @@ def blocks_of(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
             lengths = pa.compute.binary_length(batch.column(2)).fill_null(0).to_pylist()
             for a, b in by_bytes(lengths, 1 << 20):
                 if texts and size + sum(lengths[a:b]) > block_bytes:
-                    yield row(task << 32 | number, ids, flags, texts)
+                    yield row(_named(task, number), ids, flags, texts)
                     number, ids, flags, texts, size = number + 1, [], [], [], 0
                 own = batch.slice(a, b - a)
                 ids.append(own.column(0))
@@ -147,7 +155,7 @@ def blocks_of(df: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
                 texts += [np.concatenate([known.of(t.lower().split() if t else []), end]) for t in own.column(2).to_pylist()]
                 size += sum(lengths[a:b])
         if texts:
-            yield row(task << 32 | number, ids, flags, texts)
+            yield row(_named(task, number), ids, flags, texts)
 
     kept = df.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("__held"), F.col(text_col).cast("string").cast("binary").alias("__text"))
     kind = kept.schema[id_col].dataType.simpleString()
@@ -161,7 +169,7 @@ def _rows(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatc
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(key, value): how often each word stands in the training documents."""
+    """(key, n): how often each word stands in the training documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,11 +181,12 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 
 def gram_counts(blocks: DataFrame, candidates: np.ndarray, length: int) -> DataFrame:
-    """(context, k<length>, ..., k0, n): what follows the candidate contexts of ``length`` words in training documents.
-    k<j> is the gram of the last j words of the context and the next symbol, so k0 is the symbol."""
+    """(context, k<length>, ..., k0, n, times): what follows the candidate contexts of ``length`` words in training documents.
+    k<j> is the gram of the last j words of the context and the next symbol, so k0 is the symbol. What a context has seen
+    once is one row without keys, of ``times`` symbols."""
     names = ["context", *[f"k{j}" for j in range(length, -1, -1)], "n"]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sizes, codes, hashes, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Tokens(sizes, codes, hashes)
@@ -189,43 +198,45 @@ def gram_counts(blocks: DataFrame, candidates: np.ndarray, length: int) -> DataF
                 first[codes[::-1]] = kept[::-1]
                 yield from _rows([before[first], *[k[first] for k in keys], np.bincount(codes, minlength=len(distinct))], names)
 
-    rows = in_arrow(blocks.select("sizes", "codes", "hashes", "held"), counted, ", ".join(f"{n} bigint" for n in names))
-    return rows.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    rows = in_arrow(blocks.select("sizes", "codes", "hashes", "held"), found, ", ".join(f"{n} bigint" for n in names))
+    counted = rows.groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    keys = [F.when(F.col("n") > 1, F.col(k)).alias(k) for k in names[1:-1]]
+    return counted.groupBy("context", *keys, "n").agg(F.count("*").alias("times"))
 
 
 def fit(blocks: DataFrame, depth: int = 2, p_min: float = 1e-4, least: int = 16) -> SuffixTree:
     """The tree of the blocks' training documents."""
+    with tidy(blocks.sparkSession):
+        return _fit(blocks, depth, p_min, least)
+
+
+def _fit(blocks: DataFrame, depth: int, p_min: float, least: int) -> SuffixTree:
     spark = blocks.sparkSession
     words = stored(word_counts(blocks))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, need, price = tokens + ADDED * (distinct + 1), max(least, math.ceil(p_min * tokens)), math.log(max(tokens, 2)) / 2
-    values, levels = [words.select("key", F.col("n").cast("double").alias("value"))], []
-    frequent = {r.key: (r.n, None) for r in words.where(F.col("n") >= need).collect()}
+    frequent = {r.key: None for r in words.where(F.col("n") >= need).collect()}
+    levels, models = [], [words]
     shares: list[dict[int, float]] = []  # of each length: what a retained context leaves to its suffix
     suffixes: list[dict[int, int]] = []  # of each length: the context without its first word
-    used = [words]
     for length in range(1, depth + 1):
         candidates = np.sort(np.array(list(frequent), np.int64).view(np.uint64))
-        suffixes.append({k: s for k, (_, s) in frequent.items()})
+        suffixes.append(frequent)
         if not len(candidates):
             break
         grams = stored(gram_counts(blocks, candidates, length))
-        used.append(grams)
-        facts = grams.groupBy("context").agg(F.sum("n").alias("__n"), F.count("*").alias("__d"))
-        sizes = {r.context: (r["__n"], r["__d"]) for r in facts.collect()}
-        known = [(c, n, d / n, *_left(c, length, shares, suffixes)) for c, (n, d) in sizes.items()]
+        sizes = {r.context: (r.n, r.d) for r in grams.groupBy("context").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum("times").alias("d")).collect()}
+        facts = [(c, n, d / n, *_left(c, length, shares, suffixes)) for c, (n, d) in sizes.items()]
         lefts = [f"__left{j}" for j in range(length - 1, 0, -1)]
-        known = spark.createDataFrame(known, "context bigint, __n bigint, __own double" + "".join(f", {c} double" for c in lefts))
+        facts = spark.createDataFrame(facts, "context bigint, __n bigint, __own double" + "".join(f", {c} double" for c in lefts))
         p = F.col("__p0")
         seen = grams.where("n > 1").join(words.select(F.col("key").alias("k0"), ((F.col("n") + ADDED) / total).alias("__p0")), "k0")
-        seen = seen.join(F.broadcast(known), "context")  # 1 / p_min rows at most
+        seen = seen.join(F.broadcast(facts), "context")  # 1 / p_min rows at most
         for j in range(1, length):
-            seen = seen.join(values[j].select(F.col("key").alias(f"k{j}"), F.col("value").alias(f"__p{j}")), f"k{j}", "left")
+            seen = seen.join(models[j].select(F.col("key").alias(f"k{j}"), F.col("p").alias(f"__p{j}")), f"k{j}", "left")
             p = F.when(F.col(f"__left{j}").isNull(), p).otherwise(F.coalesce(F.col(f"__p{j}"), F.col(f"__left{j}") * p))
-        seen = seen.select("context", F.col(f"k{length}").alias("key"), p.alias("__before"), ((F.col("n") - 1) / F.col("__n") + F.col("__own") * p).alias("value"))
-        seen = stored(seen)
-        used.append(seen)
-        gains = seen.groupBy("context").agg(F.sum(F.col("value") * F.log(F.col("value") / F.col("__before"))).alias("gain"), F.sum("__before").alias("covered"), F.count("*").alias("entries"))
+        seen = stored(seen.select("context", F.col(f"k{length}").alias("key"), "n", p.alias("before"), ((F.col("n") - 1) / F.col("__n") + F.col("__own") * p).alias("p")))
+        gains = seen.groupBy("context").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("before"))).alias("gain"), F.sum("before").alias("covered"), F.count("*").alias("entries"))
         kept = {}
         for r in gains.collect():
             n, d = sizes[r.context]
@@ -233,19 +244,17 @@ def fit(blocks: DataFrame, depth: int = 2, p_min: float = 1e-4, least: int = 16)
             if n * (r.gain + left * math.log(left) * max(0.0, 1 - r.covered)) >= price * r.entries:
                 kept[r.context] = left
         shares.append(kept)
-        keys = np.array(sorted(kept), np.int64).view(np.uint64)
+        keys = np.array(list(kept), np.int64).view(np.uint64)
         order = np.argsort(keys)
-        levels.append(Contexts(keys[order], np.array([kept[k] for k in sorted(kept)])[order] if kept else np.zeros(0)))
+        levels.append(Contexts(keys[order], np.array([sizes[c][0] for c in kept], np.float64)[order], np.array(list(kept.values()), np.float64)[order]))
         retained = spark.createDataFrame([(k,) for k in kept], "context bigint")
-        values.append(stored(seen.join(F.broadcast(retained), "context", "left_semi").select("key", "value")))
-        if length < depth:
-            frequent = {r.key: (r.n, r.suffix) for r in grams.where(F.col("n") >= need).select(F.col(f"k{length}").alias("key"), F.col(f"k{length - 1}").alias("suffix"), "n").collect()}
-    union = values[0]
-    for own in values[1:]:
-        union = union.unionByName(own)
-    union = stored(union)
-    discard(*used, *values[1:])
-    return SuffixTree(tokens, distinct, tuple(levels), union)
+        models.append(stored(seen.join(F.broadcast(retained), "context", "left_semi").select("key", "n", "p")))
+        frequent = {r.key: r.suffix for r in grams.where(F.col("n") >= need).select(F.col(f"k{length}").alias("key"), F.col(f"k{length - 1}").alias("suffix")).collect()} if length < depth else {}
+        discard(grams, seen)
+    counts = words
+    for own in models[1:]:
+        counts = counts.unionByName(own.select("key", "n"))
+    return SuffixTree(tokens, distinct, tuple(levels), counts)
 
 
 def _left(context: int, length: int, shares: list[dict[int, float]], suffixes: list[dict[int, int]]) -> list[float | None]:
@@ -257,57 +266,61 @@ def _left(context: int, length: int, shares: list[dict[int, float]], suffixes: l
     return out
 
 
-def asked(blocks: DataFrame, tree: SuffixTree) -> DataFrame:
-    """(key, block): the distinct words of each block, and its grams of retained contexts."""
-    levels = tree.levels
+def _wanted(own: Tokens, levels: tuple[Contexts, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of context: which words have a retained one, its place, the grams' numbers, and the distinct grams."""
+    for level, (before, grams) in zip(levels, own.grams(len(levels)), strict=True):
+        there, at = level.find(before)
+        yield there, at, *pd.factorize(grams[0][there])
+
+
+def asked(blocks: DataFrame, levels: tuple[Contexts, ...]) -> DataFrame:
+    """(key, at): the distinct words of each block, and its grams of retained contexts; ``at`` is the block's number, and
+    the place in this order in the low 32 bits."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, sizes, codes, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Tokens(sizes, codes, hashes)
-                found = [own.distinct]
-                for level, (before, grams) in zip(levels, own.grams(len(levels)), strict=True):
-                    found.append(pd.unique(grams[0][level.find(before)[0]]))
-                for part in found:
-                    yield from _rows([part, np.full(len(part), block)], ["key", "block"])
+                at = block << 32
+                for part in (own.distinct, *(found for *_, found in _wanted(own, levels))):
+                    yield from _rows([part, np.arange(at, at + len(part))], ["key", "at"])
+                    at += len(part)
 
-    return in_arrow(blocks.select("block", "sizes", "codes", "hashes"), keys, "key bigint, block bigint")
+    return in_arrow(blocks.select("block", "sizes", "codes", "hashes"), keys, "key bigint, at bigint")
 
 
 def score(blocks: DataFrame, tree: SuffixTree, id_col: str = "doc_id", kind: str = "bigint") -> DataFrame:
     """Per document of the blocks: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     levels, total, tokens = tree.levels, tree.total, tree.tokens
-    answers = asked(blocks, tree).join(tree.values.hint("shuffle_hash"), "key").select("block", "key", "value")
+    with tidy(blocks.sparkSession):
+        answers = stored(asked(blocks, levels).join(tree.counts.hint("shuffle_hash"), "key").select("at", "n"))
 
     def scored(block: pa.Table, answer: pa.Table) -> pa.Table:
         col = {n: block.column(n).combine_chunks() for n in block.column_names}
         own = Tokens(*(col[n][0].as_py() for n in ("sizes", "codes", "hashes")))
-        key, value = answer.column("key").to_numpy().view(np.uint64), answer.column("value").to_numpy()
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-
-        def values_of(wanted: np.ndarray) -> np.ndarray:
-            """NaN where there is none."""
-            there, at = _among(key, wanted)
-            out = np.full(len(wanted), np.nan)
-            out[there] = value[at[there]]
+        places, found = answer.column("at").to_numpy() & 0xFFFFFFFF, answer.column("n").to_numpy()
+
+        def counts(start: int, size: int) -> np.ndarray:
+            out, inside = np.zeros(size, np.int64), (places >= start) & (places < start + size)
+            out[places[inside] - start] = found[inside]
             return out
 
-        counts = np.nan_to_num(values_of(own.distinct))[own.codes]
-        owner = np.repeat(np.arange(len(own.sizes)), own.sizes)
-        base = (counts + ADDED) / total
+        known = counts(0, len(own.distinct))[own.codes]
+        owner, start = np.repeat(np.arange(len(own.sizes)), own.sizes), len(own.distinct)
+        base = (known + ADDED) / total
         p = base.copy()
-        for level, (before, grams) in zip(levels, own.grams(len(levels)), strict=True):
-            there, left = level.find(before)
-            seen = values_of(grams[0][there])
-            p[there] = np.where(np.isnan(seen), left * p[there], seen)
+        for level, (there, at, code, grams) in zip(levels, _wanted(own, levels), strict=True):
+            own_count = np.maximum(counts(start, len(grams)) - 1, 0)[code]
+            p[there] = own_count / level.counts[at] + level.left[at] * p[there]
+            start += len(grams)
         sums = lambda x: np.bincount(owner, x, len(own.sizes))
-        columns = [col["ids"].flatten(), col["held"].flatten(), own.sizes, sums(counts > 0).astype(np.int64), np.full(len(own.sizes), tokens), sums(np.log10(base)), sums(np.log10(p))]
+        columns = [col["ids"].flatten(), col["held"].flatten(), own.sizes, sums(known > 0).astype(np.int64), np.full(len(own.sizes), tokens), sums(np.log10(base)), sums(np.log10(p))]
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.select("block", "ids", "held", "sizes", "codes", "hashes").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+    answers = answers.withColumn("block", F.shiftright("at", 32)).groupBy("block")
+    return blocks.select("block", "ids", "held", "sizes", "codes", "hashes").groupBy("block").cogroup(answers).applyInArrow(scored, schema)
 
 
 def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, depth: int = 2, p_min: float = 1e-4, least: int = 16, block_bytes: int = BLOCK_BYTES) -> DataFrame:
