@@ -177,10 +177,10 @@ def provider_for(name: str, model: str = "local-hash-v1", dimensions: int = 384,
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame, provider: str, model: str, limit: int | None = None) -> DataFrame:
-    """Chunks without an embedding by this model, in order of document and chunk."""
+    """Chunks without an embedding by this model; with a limit, the first in order of document and chunk."""
     done = embeddings.where((F.col("embedding_provider") == provider) & (F.col("embedding_model") == model)).select("chunk_id")
-    left = chunks.join(done, "chunk_id", "left_anti").orderBy("document_id", "chunk_index")
-    return left if limit is None else left.limit(limit)
+    left = chunks.join(done, "chunk_id", "left_anti")
+    return left if limit is None else left.orderBy("document_id", "chunk_index").limit(limit)
 
 
 def embedded_rows(chunks: DataFrame, provider: EmbeddingProvider, now) -> DataFrame:

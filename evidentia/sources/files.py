@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import keys
@@ -44,7 +44,7 @@ def looks_like_pdf(mime: str, content: bytes, url: str) -> bool:
 
 
 def fetch(url: str, get: Callable = http_get, retries: int = 3, sleep: Callable = time.sleep) -> tuple[bytes, str]:
-    """Tries again after any error, waiting 1, 2, ... seconds; the last error is raised."""
+    """Tries again after any error, waiting 1, 2, 4, ... seconds; the last error is raised."""
     for attempt in range(1, retries + 1):
         try:
             content, mime = get(url)
@@ -54,7 +54,7 @@ def fetch(url: str, get: Callable = http_get, retries: int = 3, sleep: Callable
         except Exception:
             if attempt == retries:
                 raise
-            sleep(attempt)
+            sleep(2 ** (attempt - 1))
     raise ValueError("retries must be at least 1")
 
 
@@ -81,9 +81,9 @@ def pdf_path(folder: str, document_id: Column) -> Column:
 
 
 def latest(contents: DataFrame) -> DataFrame:
-    """The last fetched content of each document."""
-    one = F.max_by(F.struct("content", "mime_type", "sha256", "file_size_bytes"), "fetched_at")
-    return contents.groupBy("document_id").agg(one.alias("x")).select("document_id", "x.*")
+    """The last fetched content of each document. Which row that is, is settled without the contents."""
+    last = contents.groupBy("document_id").agg(F.max_by("fetch_id", F.struct("fetched_at", "fetch_id")).alias("fetch_id"))
+    return contents.join(last, ["document_id", "fetch_id"], "left_semi").select("document_id", "content", "mime_type", "sha256", "file_size_bytes")
 
 
 def download(documents: DataFrame, known: DataFrame | None = None, force: bool = False, get: Callable = http_get, retries: int = 3, sleep: Callable = time.sleep) -> DataFrame:

@@ -77,23 +77,25 @@ def column_link(cell: Column, label: str) -> Column:
 
 
 def archive_hearings(pages: DataFrame, since: datetime.date | None = None, until: datetime.date | None = None, limit: int | None = None) -> DataFrame:
-    """Hearings of archive pages (html, source_url), in document order. Bounds are inclusive; no limit, or 0, is none."""
-    rows = pages.select("source_url", F.posexplode(table_rows(F.col("html"))).alias("position", "row")).where(F.size("row.cells") >= 2)
+    """Hearings of archive pages (html, source_url, and page_order, else all pages count as one in order of their urls), in
+    document order. Bounds are inclusive; no limit, or 0, is none."""
+    place = F.col("page_order").cast("bigint") if "page_order" in pages.columns else F.lit(0).cast("bigint")
+    rows = pages.select("source_url", place.alias("page_order"), F.posexplode(table_rows(F.col("html"))).alias("position", "row")).where(F.size("row.cells") >= 2)
     first = T.clean_text(F.col("row.cells")[0]["text"])
-    found = rows.select("source_url", "position", "row", first.alias("first"), archive_date(first).alias("hearing_date"), qualifiers(first).alias("suffix")).where(~F.lower("first").startswith("hearing date") & F.col("hearing_date").isNotNull())
+    found = rows.select("source_url", "page_order", "position", "row", first.alias("first"), archive_date(first).alias("hearing_date"), qualifiers(first).alias("suffix")).where(~F.lower("first").startswith("hearing date") & F.col("hearing_date").isNotNull())
     if since:
         found = found.where(F.col("hearing_date") >= F.lit(since))
     if until:
         found = found.where(F.col("hearing_date") <= F.lit(until))
     if limit:
-        found = found.orderBy("source_url", "position").limit(limit)
+        found = found.orderBy("page_order", "source_url", "position").limit(limit)
     cell = lambda i, label: joined_url(F.col("source_url"), column_link(F.get(F.col("row.cells"), F.lit(i)), label))
     return found.select(
         keys.hearing_id(F.col("hearing_date"), F.col("suffix")).alias("hearing_id"), "hearing_date",
         F.concat_ws(" - ", F.lit(BODY), T.blank_to_null(F.col("suffix"))).alias("title"),
         F.when(F.col("row.text").rlike(CANCELLED), "cancelled").otherwise("scheduled").alias("status"),
         cell(1, "agenda").alias("agenda_url"), cell(2, "minutes").alias("minutes_url"), cell(3, "supporting").alias("supporting_url"),
-        "source_url", "position",
+        "source_url", "page_order", "position",
     )
 
 

@@ -237,3 +237,107 @@ def test_embedding_services_by_fake_replies(monkeypatch):
     assert calls[1]["dimensions"] == 2
     monkeypatch.setattr(embedding, "_posted", lambda url, body, headers: calls.append(body) or {"embedding": {"values": [3.0, 4.0, 12.0]}})
     assert embedding.GoogleService("k", "m", 2).vectors(["a"], "query") == [[0.6, 0.8]] and calls[-1]["taskType"] == "RETRIEVAL_QUERY"
+
+
+def test_a_change_writes_the_buckets_of_its_owners_alone(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=64)
+    rows = spark.range(2000).selectExpr("concat('d', id) as document_id", "'h' as hearing_id", "'agenda' as source_type", "'t' as title", "'u' as url").withColumns({c: F.lit(None) for c in ("local_path", "sha256", "mime_type", "file_size_bytes", "downloaded_at")})
+    store.write("source_documents", rows)
+    table = store.tables["source_documents"]
+    before = table.manifest(1)
+    assert before["buckets"] == 64 and len(before["folders"]) == 64
+    reader = store.read("source_documents")
+    one = rows.where("document_id = 'd7'").withColumn("title", F.lit("new"))
+    store.upsert("source_documents", one)
+    after = table.manifest(2)
+    assert sum(before["folders"][b] != f for b, f in after["folders"].items()) == 1
+    assert len(list((tmp_path / "source_documents").glob(f"{next(f for b, f in after['folders'].items() if before['folders'][b] != f)}/__bucket=*"))) == 1
+    assert store.read("source_documents").where("title = 'new'").count() == 1 and store.read("source_documents").count() == 2000
+    assert reader.where("title = 'new'").count() == 0 and reader.count() == 2000  # a reader of the version before sees it whole
+    assert len(store.lookup("source_documents", ["d7", "none"]).inputFiles()) <= 2
+    assert [r.title for r in store.lookup("source_documents", ["d7", "none"]).collect()] == ["new"]
+    seen = []
+    with pytest.raises(ValueError, match="repeated key"):
+        store.change("source_documents", one, lambda old: seen.append(old.count()) or old.union(one))
+    assert seen[0] < 100 and store.versions("source_documents") == [1, 2]
+    with pytest.raises(ValueError, match="not about"):
+        store.change("source_documents", one, lambda old: old.union(rows.where("document_id = 'd8'")))
+    store.vacuum("source_documents", 1)
+    assert store.read("source_documents").count() == 2000 and store.versions("source_documents") == [2]
+    store.write("source_documents", store.read("source_documents"), buckets=4)
+    assert len(table.manifest(3)["folders"]) == 4 and store.read("source_documents").count() == 2000
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    link = spark.createDataFrame([("l", "i", "d", "r", 1.0)], S.schema("document_links"))
+
+    def late(old):
+        Store(spark, str(tmp_path)).upsert("document_links", link.withColumn("confidence", F.lit(0.5)))
+        return old.union(link)
+
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.change("document_links", link, late)
+    assert [r.confidence for r in store.read("document_links").collect()] == [0.5]
+
+
+def test_a_key_that_moves_to_another_owner(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    page = spark.createDataFrame([("p", "a", 1, "x", 1, "m", "poor")], S.schema("pages"))
+    store.upsert("pages", page)
+    store.upsert("pages", page.withColumn("document_id", F.lit("b")))
+    assert [r.document_id for r in store.read("pages").collect()] == ["b"]
+
+
+def test_the_latest_file_wins_whatever_its_size(spark, tmp_path):
+    import os
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.create()
+    names = []
+    for n, (value, more) in enumerate(((0.9, 3000), (0.5, 300), (0.1, 0))):  # of falling size, the last is the latest
+        rows = spark.range(more).selectExpr("concat('x', id) as link_id", "'i' as agenda_item_id", "'d' as document_id", "uuid() as relationship", "1.0D as confidence")
+        rows = rows.union(spark.createDataFrame([("l", "i", "d", "r", value - 0.05), ("l", "i", "d", "r", value)], S.schema("document_links"))).coalesce(1)
+        rows.write.parquet(str(tmp_path / f"made{n}"))
+        file = next((tmp_path / f"made{n}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        names.append(tmp_path / "in" / f"{9 - n}.parquet")
+        file.rename(names[-1])
+        os.utime(names[-1], (1_700_000_000 + n, 1_700_000_000 + n))
+    stream = spark.readStream.schema(S.schema("document_links")).parquet(str(tmp_path / "in"))
+    stream_upserts(store, "document_links", stream, str(tmp_path / "state")).awaitTermination()
+    found = store.read("document_links")
+    assert found.where("link_id = 'l'").first().confidence == 0.1 and found.count() == 3001
+
+
+def test_the_last_archive_page_wins(spark, tmp_path):
+    row = "<table><tr><td>{}</td><td><a href='/{}.pdf'>Agenda</a></td><td></td></tr></table>"
+    store = Store(spark, str(tmp_path))
+    store.create()
+    first, last = "<table><tr><td>x</td><td>y</td></tr></table>" * 5 + row.format("January 11, 2024", "old"), row.format("January 11, 2024", "new")
+    pages = spark.createDataFrame([(first, "https://a.org/z", 1), (last, "https://a.org/a", 2)], "html string, source_url string, page_order int")
+    pipeline.crawl_archive(store, pages, date(2024, 2, 1), NOW)
+    assert store.read("hearings").first().agenda_url == "https://a.org/new.pdf"
+    pipeline.crawl_archive(store, pages.drop("page_order"), date(2024, 2, 1), NOW)
+    assert store.read("hearings").first().agenda_url == "https://a.org/old.pdf"  # in order of the urls
+
+
+def test_counts_take_no_jobs_of_their_own(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create()
+    rows = [(f"c{i}", "d", 1, 1, i, "some text", 2, None, None) for i in range(5)]
+    store.upsert("chunks", spark.createDataFrame(rows, S.schema("chunks")))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        counts = pipeline.embed_chunks(store, NOW, Settings(dimensions=8), limit=3)
+        whole = jobs()
+        store.read("chunks").count()
+        assert jobs() > whole
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts == {"chunk_count": 5, "embedded_count": 3, "skipped_count": 2}
+    assert pipeline.embed_chunks(store, NOW, Settings(dimensions=8)) == {"chunk_count": 5, "embedded_count": 2, "skipped_count": 3}
+    assert pipeline.embed_chunks(store, NOW, Settings(dimensions=8), force=True) == {"chunk_count": 5, "embedded_count": 5, "skipped_count": 0}
