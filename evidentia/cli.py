@@ -54,6 +54,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=positive)
     p.add_argument("--force", action="store_true")
     p.add_argument("--batch-size", type=positive, default=32)
+    p = commands.add_parser("index")
+    p.add_argument("--in-block", type=positive, default=256)
     p = commands.add_parser("search")
     p.add_argument("query")
     p.add_argument("--limit", type=positive, default=10)
@@ -86,10 +88,14 @@ def main(arguments: list[str] | None = None) -> None:
         pipeline.chunk_documents(store, settings, a.limit, a.document_id)
     elif a.command == "embed":
         print(pipeline.embed_chunks(store, now, settings, a.limit, a.force, a.batch_size))
+    elif a.command == "index":
+        pipeline.build_index(store, a.in_block)
     elif a.command == "search":
         provider = None if a.lexical_only else embedding.provider_for(settings.provider, settings.model, settings.dimensions)
         types = [t.strip() for t in (a.types or "").split(",") if t.strip()] or None
-        found = ranking.search(store.read("chunks"), store.read("source_documents"), store.read("hearings"), a.query, store.read("chunk_embeddings"), provider, a.limit, a.date_start, a.date_end, types)
+        how = (store.read("chunks"), store.read("source_documents"), store.read("hearings"), a.query, store.read("chunk_embeddings"), provider, a.limit, a.date_start, a.date_end, types)
+        index = pipeline.search_index(store)
+        found = index.search(*how).rows if index.exists() else ranking.search(*how)
         found.select("score", "citation_label", "url", snippet(F.col("text")).alias("text")).show(a.limit, truncate=False)
 
 

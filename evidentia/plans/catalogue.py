@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import dates, keys, text as T, urls, vectors
 from evidentia.operators import agenda, chunking, embedding, ranking, rollups
+from evidentia.operators.search_index import SearchIndex
+from evidentia.session import shared_folder
 from evidentia.sources import html, store as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,26 +95,67 @@ class _Given:
         return QUERY_VECTOR
 
 
-DATED_SQL = (
-    scored_sql("WHERE d.lang IN ('en', 'fr', 'de')", WITH_VECTOR, "day DESC NULLS LAST, doc_id", 40)
-    .replace("FROM documents d LEFT JOIN", "FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id LEFT JOIN")
-    .replace("d.n_chars,", "d.n_chars, o.o_orderdate::DATE AS day,").replace("b.n_chars,", "b.n_chars, b.day,")
-    .replace("SELECT doc_id, round(0.55", "SELECT doc_id, day, round(0.55")
-)
+def dated_sql(where: str, vector: str) -> str:
+    return (
+        scored_sql(where, vector, "day DESC NULLS LAST, doc_id", 40)
+        .replace("FROM documents d LEFT JOIN", "FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id LEFT JOIN")
+        .replace("d.n_chars,", "d.n_chars, o.o_orderdate::DATE AS day,").replace("b.n_chars,", "b.n_chars, b.day,")
+        .replace("SELECT doc_id, round(0.55", "SELECT doc_id, day, round(0.55")
+    )
 
 
-@registered(DATED_SQL)
-def search_dated(spark, sf_dir):
-    """The whole search: documents as chunks, orders as hearings, ties by date, document and chunk."""
+DATED_SQL = dated_sql("WHERE d.lang IN ('en', 'fr', 'de')", WITH_VECTOR)
+
+
+def _as_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents as chunks and as documents, orders as hearings, and the vectors."""
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("section_hint"), F.lit(None).cast("string").alias("citation_label"))
     own = docs.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("hearing_id"), F.col("source").alias("title"), F.col("lang").alias("source_type"), F.lit("").alias("url"))
     hearings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hearing_id"), F.col("o_orderdate").cast("date").alias("hearing_date"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("given").alias("embedding_provider"), F.lit("given-v1").alias("embedding_model"), "embedding")
-    found = ranking.search(chunks, own, hearings, QUERY, vecs, _Given, 40, types=["en", "fr", "de"])
+    return chunks, own, hearings, vecs
+
+
+def _dated(found: DataFrame) -> DataFrame:
     return found.select(F.col("chunk_id").alias("doc_id"), F.col("hearing_date").alias("day"), "score", "vector_score", "lexical_score", "metadata_boost")
 
 
+@registered(DATED_SQL)
+def search_dated(spark, sf_dir):
+    """The whole search: documents as chunks, orders as hearings, ties by date, document and chunk."""
+    *tables, vecs = _as_chunks(spark, sf_dir)
+    return _dated(ranking.search(*tables, QUERY, vecs, _Given, 40, types=["en", "fr", "de"]))
+
+
+def _index(spark: SparkSession, tables: list[DataFrame]) -> SearchIndex:
+    index = SearchIndex(spark, shared_folder(spark), "bigint", "bigint", buckets=16)
+    index.build(*tables)
+    return index
+
+
+@registered(dated_sql("", NO_VECTOR))
+def indexed_search(spark, sf_dir):
+    """The same by words alone, from a stored index of all documents."""
+    *tables, _ = _as_chunks(spark, sf_dir)
+    return _dated(_index(spark, tables).search(*tables, QUERY, limit=40).rows)
+
+
+@registered(DATED_SQL)
+def indexed_hybrid(spark, sf_dir):
+    *tables, vecs = _as_chunks(spark, sf_dir)
+    return _dated(_index(spark, tables).search(*tables, QUERY, vecs, _Given, 40, types=["en", "fr", "de"]).rows)
+
+
+@registered(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents WHERE doc_id % 5 <> 0) GROUP BY term")
+def indexed_frequencies(spark, sf_dir):
+    """Document frequencies from the index, after a fifth of the documents has lost its chunks."""
+    chunks, own, hearings, _ = _as_chunks(spark, sf_dir)
+    index = _index(spark, [chunks, own, hearings])
+    index.replace(chunks.where("document_id % 5 = 0"), chunks.limit(0), own, hearings)
+    return index.table.read().where("field = 'body'").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 @registered("""
 WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 4 <> 0 THEN source END AS hearing FROM documents), h AS (SELECT 'src' || n_nationkey AS hearing, n_name FROM nation WHERE n_nationkey < 15)
 SELECT c.doc_id, d.source, h.n_name, len(e.embedding)::INTEGER AS n_dims

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(found or tempfile.mkdtemp(prefix="evidentia-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path where all machines can read and write: under spark.checkpoint.dir."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/evidentia-{uuid.uuid4().hex}"
+
+
 def setting(name: str, default: str, legacy: str | None = None) -> str:
     """An environment variable by its name, else its older name; empty counts as unset."""
     return os.environ.get(name) or (os.environ.get(legacy) if legacy else None) or default

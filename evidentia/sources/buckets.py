@@ -43,7 +43,7 @@ class BucketedTable:
         return sorted(int(n[1:]) for n, s in found if n[0] == "v" and n[1:].isdigit() and s.isFile() and s.getLen())
 
     def manifest(self, version: int) -> dict:
-        """{"buckets": number, "folders": {bucket: folder}}; a bucket without rows has no folder."""
+        """{"buckets": number, "folders": {bucket: folder}, "facts": {...}}; a bucket without rows has no folder."""
         fs, where = self._fs(f"{self.path}/v{version}")
         stream = fs.open(where)
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -52,7 +52,7 @@ class BucketedTable:
 
     def _latest(self) -> tuple[int, dict]:
         found = self.versions()
-        return (found[-1], self.manifest(found[-1])) if found else (0, {"buckets": self.first, "folders": {}})
+        return (found[-1], self.manifest(found[-1])) if found else (0, {"buckets": self.first, "folders": {}, "facts": {}})
 
     def bucket_of(self, owner: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(owner.cast(self.schema[self.owner].dataType)), F.lit(buckets)).cast("int")
@@ -68,6 +68,9 @@ class BucketedTable:
     def read(self) -> DataFrame:
         return self._of(self._latest()[1])
 
+    def facts(self) -> dict:
+        return self._latest()[1]["facts"]
+
     def lookup(self, owners: list) -> DataFrame:
         """The rows of a few owners, from their buckets alone."""
         _, manifest = self._latest()
@@ -103,12 +106,13 @@ class BucketedTable:
         stream.close()
         return version
 
-    def write(self, df: DataFrame, check: Callable[[DataFrame], str] | None = None, buckets: int | None = None) -> int:
-        """The next version, of these rows alone. ``check`` returns what is wrong with new rows, else an empty text."""
+    def write(self, df: DataFrame, check: Callable[[DataFrame], str] | None = None, buckets: int | None = None, facts: dict | None = None) -> int:
+        """The next version, of these rows alone. ``check`` returns what is wrong with new rows, else an empty text.
+        ``facts`` are kept beside the folders, and stay through changes."""
         version, before = self._latest()
         buckets = buckets or before["buckets"]
         made = self._written(df, buckets)
-        return self._commit(version + 1, {"buckets": buckets, "folders": made}, made, check)
+        return self._commit(version + 1, {"buckets": buckets, "folders": made, "facts": before["facts"] if facts is None else facts}, made, check)
 
     def change(self, owners: DataFrame, next_state: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], str] | None = None) -> int:
         """The next version, in which the buckets of ``owners`` hold what ``next_state`` makes of their rows; it gets all rows
@@ -124,7 +128,7 @@ class BucketedTable:
             return f"rows of buckets {sorted(strange)}, which the change is not about" if strange else check(rows) if check else ""
 
         kept = {b: f for b, f in before["folders"].items() if int(b) not in touched}
-        return self._commit(version + 1, {"buckets": before["buckets"], "folders": kept | made}, made, checked)
+        return self._commit(version + 1, before | {"folders": kept | made}, made, checked)
 
     def vacuum(self, keep: int = 2) -> None:
         """Forgets all versions but the last ``keep``, and deletes the buckets that none of these names."""
