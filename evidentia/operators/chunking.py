@@ -1,56 +1,61 @@
 """Pages to paragraphs, blocks and structure-aware, citable chunks.
 
-Paragraph splitting and the greedy packing are folds over arrays inside a row; what is folded is
-the sizes and sections of a document's blocks, and the result is index ranges, so no text is copied
-while packing. Rows are shuffled once, by document.
+Texts are split, cleaned and joined by built-in functions. What is greedy, the packing of words into
+pieces and of blocks into chunks, is one walk over numbers: lengths, token estimates and sections go to an
+Arrow function, and index ranges come back, so no text leaves the JVM. (A fold by Spark's ``aggregate``
+copies what it has gathered at each step, which makes it quadratic.) Rows are shuffled once, by document.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import keys, text as T
 
-TEXTS = "array<string>"
+RANGES = "array<struct<from:int,to:int>>"
 
 
 def paragraphs_of(text: Column) -> Column:
     """Paragraphs between blank lines; headings and item lines stand alone, other lines flow together."""
     raw = F.split(F.regexp_replace(text, "\\r\\n?", "\n"), r"(?U)\n\s*\n")
     solo = lambda line: T.is_heading(line) | T.is_item_line(line)
-    start = F.struct(F.array().cast(TEXTS).alias("out"), F.lit("").alias("open"))
-    closed = lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
-
-    def add(acc, line):
-        alone = F.struct(F.concat(closed(acc), F.array(line)).alias("out"), F.lit("").alias("open"))
-        flowing = F.struct(acc["out"].alias("out"), F.trim(F.concat_ws(" ", acc["open"], line)).alias("open"))
-        return F.when(solo(line), alone).otherwise(flowing)
 
     def split(part):
         lines = F.filter(F.transform(T.lines_of(part), T.clean_text), lambda x: (x != "") & ~T.is_low_value(x))
-        return F.aggregate(lines, start, add, closed)
+        marked = F.transform(lines, lambda x: F.when(solo(x), F.concat(F.lit("\n"), x, F.lit("\n"))).otherwise(x))
+        return F.transform(F.split(F.array_join(marked, " "), "\n"), lambda p: F.trim(p))  # cleaned lines hold no line ends
 
     found = F.flatten(F.transform(raw, split))
     return F.filter(found, lambda p: (p != "") & ((T.token_estimate(p) >= 8) | solo(p)))
 
 
+def word_runs(lengths, most: int) -> list[tuple[int, int]]:
+    """Index ranges of runs of words of up to ``most`` characters, a space for each word included; a longer word is a run."""
+    out, first, n = [], 0, 0
+    for at, length in enumerate(lengths):
+        if first < at and n + length + 1 > most:
+            out.append((first, at - 1))
+            first, n = at, 0
+        n += length + 1
+    return out + [(first, len(lengths) - 1)] if len(lengths) else []
+
+
 def pieces_of(text: Column, max_tokens: int) -> Column:
     """A text of more than ``max_tokens`` as runs of words of up to four times as many characters."""
-    start = F.struct(F.array().cast(TEXTS).alias("out"), F.array().cast(TEXTS).alias("open"), F.lit(0).alias("n"))
+    long = T.token_estimate(text) > max_tokens
+    words = F.filter(F.split(text, T.SPACES), lambda w: w != "")
 
-    def add(acc, word):
-        n = F.length(word) + 1
-        full = (F.size(acc["open"]) > 0) & (acc["n"] + n > 4 * max_tokens)
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.array(word)).otherwise(F.concat(acc["open"], F.array(word))).alias("open"),
-            F.when(full, n).otherwise(acc["n"] + n).alias("n"),
-        )
+    @F.pandas_udf(RANGES)
+    def runs(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: None if x is None else word_runs(x.tolist(), 4 * max_tokens))
 
-    words = F.filter(F.split(text, T.SPACES), lambda w: w != "")
-    packed = F.aggregate(words, start, add, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["out"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["out"]))
-    return F.when(T.token_estimate(text) <= max_tokens, F.array(text)).otherwise(packed)
+    ranges = runs(F.when(long, F.transform(words, F.length)))
+    joined = lambda own: F.transform(own["ranges"], lambda r: F.array_join(F.slice(own["words"], r["from"] + 1, r["to"] - r["from"] + 1), " "))
+    both = F.struct(ranges.alias("ranges"), words.alias("words"))
+    found = F.aggregate(F.array(F.lit(0)), both, lambda held, _: held, joined)  # so the words are split off once, not for each range
+    return F.when(long, found).otherwise(F.array(text))
 
 
 def skipped(text: Column, quality: Column) -> Column:
@@ -68,6 +73,27 @@ def blocks_of(pages: DataFrame, max_tokens: int = 1200) -> DataFrame:
     return split.withColumn("section", section).select("document_id", "page_number", "at", "section", F.posexplode(pieces_of(F.col("paragraph"), max_tokens)).alias("piece", "text"))
 
 
+def pack(sizes: list[int], chars: list[int], sections: list[str | None], target: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Index ranges of the chunks. Each block is passed once, and once more by the overlap of the chunk that it ends."""
+    out, first, n = [], 0, 0
+    for i, size in enumerate(sizes):
+        own, here = sections[i - 1], sections[i]
+        changed = first < i and own is not None and here is not None and own != here
+        if first < i and (n + size > most or (changed and n >= max(16, target // 4))):
+            out.append((first, i - 1))
+            low, first, n, held = first, i, 0, 0
+            if overlap > 0 and not (own and here and own != here):
+                while first > low and held < 4 * overlap and sections[first - 1] == own:
+                    first -= 1
+                    held += chars[first]
+                    n += sizes[first]
+        n += size
+        if n >= target:
+            out.append((first, i))
+            first, n = i + 1, 0
+    return out + [(first, len(sizes) - 1)] if first < len(sizes) else out
+
+
 def packed(sizes: Column, chars: Column, sections: Column, target: int, most: int, overlap: int) -> Column:
     """Index ranges struct<from,to> of the chunks, from the blocks' token estimates, lengths and sections.
 
@@ -75,45 +101,12 @@ def packed(sizes: Column, chars: Column, sections: Column, target: int, most: in
     held, closes the chunk before it, and the next begins with whole blocks of overlap of the same
     section. A chunk that reaches the target is closed without overlap.
     """
-    total = lambda a, b: F.aggregate(F.slice(sizes, a + 1, F.greatest(b - a, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    known = lambda c: F.coalesce(c != "", F.lit(False))
-
-    def overlap_from(first, i):
-        own = F.get(sections, i - 1)
-        start = F.struct(i.alias("at"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-
-        def back(acc, j):
-            take = acc["open"] & (acc["n"] < 4 * overlap) & F.get(sections, j).eqNullSafe(own)
-            return F.struct(F.when(take, j).otherwise(acc["at"]).alias("at"), F.when(take, acc["n"] + F.get(chars, j)).otherwise(acc["n"]).alias("n"), take.alias("open"))
-
-        other = known(F.get(sections, i)) & known(own) & (F.get(sections, i) != own)
-        walked = F.aggregate(F.sequence(i - 1, first, F.lit(-1)), start, back, lambda acc: acc["at"])
-        return F.when(F.lit(overlap <= 0) | other, i).otherwise(walked)
-
-    start = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("out"), F.lit(0).alias("first"), F.lit(0).alias("n"))
-
-    def bound(value, made):
-        """``made`` of a lambda variable that holds ``value``: it is computed once however often it is used."""
-        return F.transform(F.array(value), made)[0]
-
-    def add(acc, i):
-        held = acc["first"] < i
-        before, here = F.get(sections, i - 1), F.get(sections, i)
-        changed = held & F.coalesce(before != here, F.lit(False))
-        flush = held & ((acc["n"] + F.get(sizes, i) > most) | (changed & (acc["n"] >= max(16, target // 4))))
-        plain = F.struct(acc["out"].alias("out"), acc["first"].alias("first"), (acc["n"] + F.get(sizes, i)).alias("n"))
-        closed = F.concat(acc["out"], F.array(F.struct(acc["first"].alias("from"), (i - 1).alias("to"))))
-        anew = bound(overlap_from(acc["first"], i), lambda first: F.struct(closed.alias("out"), first.alias("first"), (total(first, i) + F.get(sizes, i)).alias("n")))
-
-        def full(now):
-            done = F.concat(now["out"], F.array(F.struct(now["first"].alias("from"), i.alias("to"))))
-            return F.when(now["n"] >= target, F.struct(done.alias("out"), (i + 1).alias("first"), F.lit(0).alias("n"))).otherwise(now)
 
-        return bound(F.when(flush, anew).otherwise(plain), full)
+    @F.pandas_udf(RANGES)
+    def ranges(sizes: pd.Series, chars: pd.Series, sections: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else pack(s.tolist(), c.tolist(), x.tolist(), target, most, overlap) for s, c, x in zip(sizes, chars, sections, strict=True)])
 
-    size = F.size(sizes)
-    rest = lambda acc: F.when(acc["first"] < size, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("from"), (size - 1).alias("to"))))).otherwise(acc["out"])
-    return F.when(size > 0, F.aggregate(F.sequence(F.lit(0), size - 1), start, add, rest)).otherwise(F.array().cast("array<struct<from:int,to:int>>"))
+    return ranges(sizes, chars, sections)
 
 
 def chunks_of(pages: DataFrame, target: int = 1000, most: int = 1200, overlap: int = 120) -> DataFrame:

@@ -456,6 +456,35 @@ def pack_chunks(spark, sf_dir):
     return own.select("doc_id", F.posexplode(ranges).alias("chunk_index", "r")).select("doc_id", "chunk_index", F.col("r.from").alias("first_line"), F.col("r.to").alias("last_line"))
 
 
+PACK_OVERLAP_SQL = """
+WITH RECURSIVE lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, list_transform(l, lambda x: greatest(1, length(x) // 4)) AS sizes, list_transform(l, lambda x: length(x)) AS chars,
+  list_transform(range(1, len(l) + 1), lambda k: CASE (k // 4) % 3 WHEN 0 THEN NULL WHEN 1 THEN 'A' ELSE 'B' END) AS secs FROM lines),
+s AS (
+  SELECT doc_id, 1 AS i, 1 AS first, 0::BIGINT AS n, []::STRUCT(f BIGINT, t BIGINT)[] AS made FROM d
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN base + sizes[i] >= 40 THEN i + 1 ELSE low END, CASE WHEN base + sizes[i] >= 40 THEN 0 ELSE base + sizes[i] END,
+    (CASE WHEN flush THEN [{'f': first, 't': i - 1}] ELSE [] END) || (CASE WHEN base + sizes[i] >= 40 THEN [{'f': low, 't': i}] ELSE [] END)
+  FROM (SELECT *, CASE WHEN flush THEN coalesce(list_sum(sizes[low:i - 1]), 0)::BIGINT ELSE n END AS base FROM (
+    SELECT *, CASE WHEN NOT flush THEN first WHEN secs[i - 1] <> secs[i] THEN i ELSE
+      coalesce(list_min(list_filter(range(first, i), lambda j: coalesce(list_sum(chars[j + 1:i - 1]), 0) < 20
+        AND len(list_filter(secs[j:i - 1], lambda x: x IS DISTINCT FROM secs[i - 1])) = 0)), i) END AS low FROM (
+    SELECT *, first < i AND (n + sizes[i] > 60 OR (coalesce(secs[i - 1] <> secs[i], false) AND n >= 16)) AS flush
+    FROM s JOIN d USING (doc_id) WHERE i <= len(sizes)))))
+, ranges AS (SELECT doc_id, unnest(made) AS r FROM s
+  UNION ALL SELECT doc_id, {'f': first, 't': i - 1} FROM s JOIN d USING (doc_id) WHERE i = len(sizes) + 1 AND first < i)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY r.t, r.f) - 1)::INTEGER AS chunk_index, (r.f - 1)::INTEGER AS first_line, (r.t - 1)::INTEGER AS last_line FROM ranges"""
+
+
+@registered(PACK_OVERLAP_SQL)
+def pack_overlap(spark, sf_dir):
+    """The packer with sections, some of them unknown, and overlap."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    section = lambda _, k: F.get(F.array(F.lit(None).cast("string"), F.lit("A"), F.lit("B")), F.floor((k + 1) / 4).cast("int") % 3)
+    ranges = chunking.packed(F.transform("lines", T.token_estimate), F.transform("lines", F.length), F.transform("lines", section), 40, 60, 5)
+    return lines.select("doc_id", F.posexplode(ranges).alias("chunk_index", "r")).select("doc_id", "chunk_index", F.col("r.from").alias("first_line"), F.col("r.to").alias("last_line"))
+
+
 def _conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.select(

@@ -76,3 +76,21 @@ def test_every_block_is_in_some_chunk(spark):
 def test_poor_and_blank_pages_give_nothing(spark):
     assert C.chunks_of(pages(spark, "few words", " \n ", quality="poor")).collect() == []
     assert C.chunks_of(pages(spark, PAGE).limit(0)).collect() == []
+
+
+def test_packing_takes_linear_time(spark):
+    import time
+
+    def seconds(make):
+        began = time.perf_counter()
+        make().collect()
+        return time.perf_counter() - began
+
+    blocks = spark.range(1).select(*[F.expr(f"transform(sequence(1, 100000), i -> {x})").alias(c) for c, x in (("s", "int(20 + i % 37)"), ("c", "int(80 + i % 7)"), ("x", "string(floor(i / 11) % 3)"))])
+    row = blocks.first()
+    assert [tuple(r) for r in blocks.select(C.packed(F.col("s"), F.col("c"), F.col("x"), 100, 120, 12).alias("r")).first().r] == reference_ranges(row.s, row.c, row.x, 100, 120, 12)
+    assert seconds(lambda: blocks.select(C.packed(F.col("s"), F.col("c"), F.col("x"), 100, 120, 12))) < 30
+    words = spark.range(1).select(F.expr("array_join(transform(sequence(1, 1000000), i -> string(i)), ' ')").alias("t"))
+    assert seconds(lambda: words.select(F.size(C.pieces_of(F.col("t"), 100)))) < 60
+    lines = spark.range(1).select(F.expr("array_join(transform(sequence(1, 20000), i -> if(i % 2 = 0, 'SOME HEADING:', 'a line of text that flows on')), '\n')").alias("t"))
+    assert seconds(lambda: lines.select(F.size(C.paragraphs_of(F.col("t"))))) < 30
