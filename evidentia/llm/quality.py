@@ -1,14 +1,16 @@
 """Quality classifier from weak labels.
 
-Two questions are asked of a document: is it of low quality, is it toxic. Several overlapping
-labellers vote on each (1 yes, -1 no, 0 no opinion): heuristics over the text and, where a table of
-annotations is given, the annotators as one more labeller. Expectation-maximisation over the counts
-of vote patterns (3^labellers at most) estimates how often each labeller, the annotators too, is
-right when it votes, and with it the posterior of every pattern. On the annotators' accuracy there is
-a prior of ``ANNOTATOR``, which weighs as much as the votes that they cast: it says which of two
-labellers that contradict each other is to be believed at first.
-
-The posteriors, as they are, are the labels of a logistic scorer over hashed features (distinct
+Two questions are asked of a document: is it of low quality, is it toxic. Several overlapping labellers
+vote on each (1 yes, -1 no, 0 no opinion): heuristics, each over a measure or a word list of its own, which say
+yes and no, and, where a table of annotations is given, the annotators as one more labeller.
+Expectation-maximisation over the counts of vote patterns estimates how common yes is, and for each
+labeller, the annotators too, how often it says yes where the answer is yes and no where it is no; and with
+these the posterior of every pattern. The annotators' two shares have a prior of ``ANNOTATOR``, which weighs
+as much as the votes that they cast: it says which of two labellers that contradict each other is to be
+believed at first. Without annotations the heuristics are compared with each other alone.
+
+The posteriors, with yes and no as likely beforehand, are the labels of a logistic scorer, each with the weight of what
+its votes say (``evidence``: that a word of a list is missing says little), over hashed features (distinct
 words, their first 4 and 5 letters) and a few exact ones (levels of the text's measures, signs of
 insult). It is fitted by L-BFGS, whose gradients Spark sums over a sample of about ``train_rows``
 documents chosen by the hash of the id and the text, in which equal documents are one row that counts
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +46,24 @@ SIZE = SLOTS + 5 * LEVELS + SIGNS
 STRONG = 4.0
 WORD = re.compile(r"\w+")
 CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
-#: Words that belittle someone's mind, words that deny someone's worth, and beginnings of words derived from either.
+#: Words that belittle someone's mind, that deny someone's worth, that say someone disgusts, and beginnings of words derived from any.
 MIND = frozenset("idiot moron stupid clown imbecile dumb jerk fool dumm trottel blödmann crétin abruti stupide estúpido imbécil tonto".split())
-WORTH = frozenset("loser scum trash pathetic worthless disgusting filth vermin abschaum ekelhaft widerlich versager minable ordure répugnant basura asqueroso escoria".split())
+WORTH = frozenset("loser trash worthless versager minable basura escoria abschaum".split())
+DISGUST = frozenset("scum pathetic disgusting filth vermin ekelhaft widerlich ordure répugnant asqueroso".split())
 STEMS = ("idiot", "moron", "stupid", "imbecil", "disgust", "patheti", "worthles")
 TASKS = ("low", "toxic")
-LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "ordinary", "annotator"), "toxic": ("mind", "worth", "derived", "several", "annotator")}
+LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "sentences", "letters", "variety", "lone", "annotator"), "toxic": ("mind", "worth", "disgust", "derived", "annotator")}
 #: Votes of the heuristics come in one array, those on quality first.
-HEURISTICS = {"low": (0, 5), "toxic": (5, 9)}
-#: Prior accuracies of an annotator and of a heuristic, and how many votes the latter's weighs.
-ANNOTATOR, HEURISTIC, TRUST = 0.98, 0.8, 5.0
+HEURISTICS = {"low": (0, 8), "toxic": (8, 12)}
+#: Priors: the share of yes; how often a heuristic, and an annotator, says yes rightly and no rightly; how many votes the former's weigh.
+COMMON, HEURISTIC, ANNOTATOR, TRUST = 0.1, (0.5, 0.95), (0.95, 0.98), 5.0
+#: Nats; a document on which the votes say less is an example of neither answer.
+LEAST = 0.1
 PLAIN = frozenset(".,;:!?'\"()-|/\n\r\t «»“”‘’…–—¿¡")
+SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
+SMALL = re.compile("[a-zß-öø-ÿ]+")
+#: Marks that stand alone between spaces.
+LONE = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
 
 
 def measures(text: str, words: list[str]) -> dict[str, float]:
@@ -71,18 +81,28 @@ def measures(text: str, words: list[str]) -> dict[str, float]:
 
 
 def insults(words: set[str]) -> tuple[int, int, int, int]:
-    """Whether there is a word of MIND, of WORTH, one derived from a stem, and more than one of them all."""
-    mind, worth = len(words & MIND), len(words & WORTH)
-    derived = sum(w.startswith(STEMS) for w in words) - sum(w.startswith(STEMS) for w in words & (MIND | WORTH))
-    return int(mind > 0), int(worth > 0), int(derived > 0), int(mind + worth + derived > 1)
+    """Whether there is a word of MIND, of WORTH, of DISGUST, and one derived from a stem that none of them holds."""
+    lists = MIND | WORTH | DISGUST
+    derived = any(w.startswith(STEMS) and w not in lists for w in words)
+    return int(not words.isdisjoint(MIND)), int(not words.isdisjoint(WORTH)), int(not words.isdisjoint(DISGUST)), int(derived)
 
 
-def votes(found: dict[str, float], signs: tuple[int, ...]) -> list[int]:
-    """Of the heuristic labellers, in the order of LABELLERS. A sign of one fault says nothing of the
-    others, so its absence is no opinion; ``ordinary`` votes no where there is no sign of any."""
-    faults = [found["symbols"] >= 0.08, found["repeats"] >= 0.3, found["bars"] >= 0.4, found["shouts"] >= 0.5]
-    ordinary = found["symbols"] <= 0.02 and max(found["repeats"], found["bars"], found["shouts"]) <= 0.15
-    return [*map(int, faults), -int(ordinary), *signs]
+def vote(value: float, yes: float, no: float) -> int:
+    """Yes from ``yes`` on, no up to ``no``; the other way round if ``yes`` is the smaller."""
+    value, yes, no = (value, yes, no) if yes > no else (-value, -yes, -no)
+    return 1 if value >= yes else -1 if value <= no else 0
+
+
+def votes(text: str, found: dict[str, float], signs: tuple[int, ...], n: int) -> list[int]:
+    """Of the heuristic labellers, in the order of LABELLERS, on a text of ``n`` words. A text too short for a measure gets no opinion by it."""
+    ends, small = len(SENTENCE_END.findall(text)) / max(1, n), sum(map(len, SMALL.findall(text))) / max(1, len(text) - sum(map(text.count, "0123456789")))
+    lone = len(LONE.findall(text)) / max(1, n)
+    low = [
+        vote(found["symbols"], 0.08, 0.02), vote(found["repeats"], 0.3, 0.15), vote(found["bars"], 0.4, 0.15), vote(found["shouts"], 0.5, 0.15) if n >= 3 else 0,
+        (vote(ends, 0.3, 0.2) if ends > 0.05 else vote(ends, 0.02, 0.05)) if n >= 20 else 0, vote(small, 0.72, 0.75) if n >= 10 else 0, vote(found["distinct"], 0.3, 0.5) if n >= 30 else 0,
+        vote(lone, 0.25, 0.1) if n >= 10 else 0,
+    ]
+    return low + ([1 if sign else -1 for sign in signs] if n >= 3 else [int(sign) for sign in signs])
 
 
 class WordSlots(dict):
@@ -120,37 +140,64 @@ def _votes_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             words = WORD.findall((text or "").lower())
             found, own = measures(text or "", words), set(words)
             signs = insults(own)
-            cast.append(votes(found, signs) if words else [0] * HEURISTICS["toxic"][1])
+            cast.append(votes(text, found, signs, len(words)) if words else [0] * HEURISTICS["toxic"][1])
             slots.append(features(found, own, signs, known).tobytes() if chosen and words else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array(slots, pa.binary())], names=["id", "votes", "slots"])
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each pattern of votes (the annotator's last), and the accuracy of each labeller.
+@dataclass(frozen=True)
+class LabelModel:
+    """How common yes is, and by labeller how often it says yes rightly and no rightly, and the shares of documents on
+    which it votes, on which another one votes too, and on which another one says the contrary."""
+
+    common: float
+    yes: np.ndarray
+    no: np.ndarray
+    coverage: np.ndarray
+    overlap: np.ndarray
+    conflict: np.ndarray
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of each pattern of votes (the annotator's last), and what was estimated of the labellers.
 
-    A labeller that votes is right with its accuracy, whatever the answer; no opinion says nothing, and
-    without votes both answers are as likely. All accuracies are estimated. Each begins with ``TRUST``
-    votes right in a share of ``HEURISTIC``; the annotator's with as many more as it cast, right in a
-    share of ``ANNOTATOR``.
+    Given the answer, labellers vote apart from each other, and no opinion says nothing. Each labeller's two
+    shares begin with ``TRUST`` votes as ``HEURISTIC`` says, the annotator's with as many more as it cast, as
+    ``ANNOTATOR`` says; the share of yes with ``TRUST`` documents of which ``COMMON`` are.
     """
-    spoken = counts @ (patterns != 0)
+    said_yes, said_no = (patterns > 0).astype(float), (patterns < 0).astype(float)
+    spoken = said_yes + said_no
     given = np.full(patterns.shape[1], TRUST)
-    given[-1] += spoken[-1]
-    right = np.full(patterns.shape[1], HEURISTIC)
-    right[-1] = ANNOTATOR
-    accuracy = right.copy()
+    given[-1] += counts @ spoken[:, -1]
+    before = np.array([HEURISTIC] * (patterns.shape[1] - 1) + [ANNOTATOR])
+    (yes, no), common = before.T.copy(), COMMON
     for _ in range(rounds):
-        posterior = 1 / (1 + np.exp(-patterns @ np.log(accuracy / (1 - accuracy))))
-        agreed = counts @ np.where(patterns > 0, posterior[:, None], np.where(patterns < 0, 1 - posterior[:, None], 0.0))
-        accuracy = np.clip((agreed + given * right) / (spoken + given), 0.01, 0.999)
-    return posterior, accuracy
+        odds = np.log(common / (1 - common)) + said_yes @ np.log(yes / (1 - no)) + said_no @ np.log((1 - yes) / no)
+        posterior = 1 / (1 + np.exp(-odds))
+        is_yes, is_no = counts * posterior, counts * (1 - posterior)
+        yes = np.clip((is_yes @ said_yes + given * before[:, 0]) / (is_yes @ spoken + given), 0.001, 0.999)
+        no = np.clip((is_no @ said_no + given * before[:, 1]) / (is_no @ spoken + given), 0.001, 0.999)
+        yes = np.maximum(yes, 1 - no)  # no labeller is worse than one that says nothing of the answer
+        common = (is_yes.sum() + TRUST * COMMON) / (counts.sum() + TRUST)
+    others = spoken.sum(axis=1, keepdims=True) - spoken
+    against = np.where(patterns > 0, said_no.sum(axis=1, keepdims=True), np.where(patterns < 0, said_yes.sum(axis=1, keepdims=True), 0))
+    share = lambda x: counts @ x / max(1.0, counts.sum())
+    return posterior, LabelModel(float(common), yes, no, share(spoken), share(spoken * (others > 0)), share((against > 0).astype(float)))
+
+
+def evidence(posterior: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior if yes and no were as likely beforehand, what the votes say in nats: its divergence from one half). A rare
+    answer is so not drowned by its rareness, which bears on the labellers' shares alone."""
+    odds = posterior / np.maximum(1 - posterior, 1e-300) * (1 - common) / common
+    p = np.clip(odds / (1 + odds), 1e-12, 1 - 1e-12)
+    return p, p * np.log(2 * p) + (1 - p) * np.log(2 * (1 - p))
 
 
 class Model:
-    """Weights by slot and the intercept, for each task; accuracies of the labellers for the record."""
+    """Weights by slot and the intercept, for each task; what was estimated of the labellers for the record."""
 
-    def __init__(self, weights: np.ndarray, intercepts: np.ndarray, accuracies: dict[str, np.ndarray]):
-        self.weights, self.intercepts, self.accuracies = weights, intercepts, accuracies
+    def __init__(self, weights: np.ndarray, intercepts: np.ndarray, labellers: dict[str, LabelModel]):
+        self.weights, self.intercepts, self.labellers = weights, intercepts, labellers
 
 
 VALUES = np.concatenate([np.ones(SLOTS), np.full(SIZE - SLOTS, STRONG)])
@@ -158,8 +205,9 @@ BIAS, LOSS, WEIGHT = SIZE, SIZE + 1, SIZE + 2
 
 
 def _gradient(weights: np.ndarray):
-    """From (slots as 32-bit numbers, p_low, p_toxic, number of documents), a null p standing for no opinion, to (slot, low,
-    toxic): parts of the gradient by slot, with rows for the intercepts, the losses and the numbers of documents."""
+    """From (slots as 32-bit numbers, p_low, p_toxic, number of documents, and optionally a document's weights w_low, w_toxic),
+    a null p standing for no opinion, to (slot, low, toxic): parts of the gradient by slot, with rows for the intercepts, the
+    losses and the weights of documents."""
     scaled = weights[:SIZE] * VALUES[:, None]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +217,10 @@ def _gradient(weights: np.ndarray):
             slots = np.frombuffer(b"".join(packed), np.int32)
             sizes = np.array([len(x) // 4 for x in packed])
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            times = batch.column(len(TASKS) + 1).to_numpy().astype(float)
+            each = batch.column(len(TASKS) + 1).to_numpy().astype(float)
             for k in range(len(TASKS)):
+                given = batch.column(len(TASKS) + 2 + k).to_numpy(zero_copy_only=False).astype(float) if batch.num_columns > len(TASKS) + 2 else 1.0
+                times = each * np.nan_to_num(given)
                 wanted = batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)
                 there = ~np.isnan(wanted)
                 wanted = np.where(there, wanted, 0.0)
@@ -194,7 +244,7 @@ def objective(sample: DataFrame, regularisation: float):
         found = in_arrow(sample, _gradient(weights), "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
         total = np.zeros((SIZE + 3, len(TASKS)))
         total[found.column("slot").to_numpy()] = np.stack([found.column(t).to_numpy() for t in TASKS], axis=1)
-        n = np.maximum(total[WEIGHT], 1)
+        n = np.where(total[WEIGHT] > 0, total[WEIGHT], 1)
         gradient = total[: SIZE + 1] / n
         gradient[:SIZE] += regularisation * weights[:SIZE]
         return float((total[LOSS] / n).sum() + regularisation / 2 * (weights[:SIZE] ** 2).sum()), gradient.ravel()
@@ -265,25 +315,28 @@ def train(
     own = stored(in_arrow(texts, _votes_and_sample, f"id {docs.schema[id_col].dataType.simpleString()}, votes array<int>, slots binary"))
     joined = _annotated(own, labels, id_col, low_if, toxic_if)
     held = stored(joined.select("slots", *[F.array(*[F.col("votes")[i] for i in range(*HEURISTICS[t])], f"a_{t}").alias(t) for t in TASKS]))
-    sample, accuracies = held.where("slots is not null"), {}
+    sample, labellers = held.where("slots is not null"), {}
     for task in TASKS:
         rows = held.where(F.exists(F.col(task), lambda v: v != 0)).groupBy(task).count().collect()
         if not rows:
-            sample = sample.withColumn(f"p_{task}", F.lit(None).cast("double"))
+            sample = sample.withColumns({f"{c}_{task}": F.lit(None).cast("double") for c in "pw"})
             continue
-        posterior, accuracies[task] = expectation_maximisation(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
-        answers = docs.sparkSession.createDataFrame([(r[0], float(p)) for r, p in zip(rows, posterior, strict=True)], f"{task} array<int>, p_{task} double")
-        # at most one row for each pattern of six votes
+        posterior, labellers[task] = expectation_maximisation(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
+        posterior, said = evidence(posterior, labellers[task].common)
+        said = np.where(said >= LEAST, said, 0.0)
+        answers = docs.sparkSession.createDataFrame([(r[0], float(p), float(w)) for r, p, w in zip(rows, posterior, said, strict=True)], f"{task} array<int>, p_{task} double, w_{task} double")
+        # at most one row for each pattern of nine votes
         sample = sample.join(F.broadcast(answers), task, "left")
-    counted = sample.groupBy("slots", *[f"p_{t}" for t in TASKS]).agg(F.count("*").alias("n"))
+    weights = [f"w_{t}" for t in TASKS]
+    counted = sample.groupBy("slots", *[f"p_{t}" for t in TASKS], *weights).agg(F.count("*").alias("n")).select("slots", *[f"p_{t}" for t in TASKS], "n", *weights)
     # the sample has about train_rows rows at most, so a fixed number of partitions holds it
     sample = stored(counted.repartition(6))
     discard(own, held)
     flat = minimised(objective(sample, regularisation), np.zeros((SIZE + 1) * len(TASKS)), rounds)
     discard(sample)
     weights = flat.reshape(SIZE + 1, len(TASKS))
-    intercepts = np.array([weights[BIAS, k] if t in accuracies else -50.0 for k, t in enumerate(TASKS)])
-    return Model(weights[:SIZE] * VALUES[:, None], intercepts, accuracies)
+    intercepts = np.array([weights[BIAS, k] if t in labellers else -50.0 for k, t in enumerate(TASKS)])
+    return Model(weights[:SIZE] * VALUES[:, None], intercepts, labellers)
 
 
 def _judged(text: str | None, model: Model, known: WordSlots) -> np.ndarray | None:

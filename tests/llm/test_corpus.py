@@ -371,43 +371,60 @@ def test_quality_from_weak_labels(spark):
 
 def test_quality_without_labels_or_rows(spark):
     rows, _ = labelled(200)
-    docs = documents(spark, rows)
-    found = {r.doc_id: r for r in Q.score(docs, Q.train(docs)).collect()}
+    rows = [(i, t + (" A worthless, disgusting idiot." if i % 10 == 3 else ""), x) for i, t, x in rows]
+    found = {r.doc_id: r for r in Q.score(documents(spark, rows), Q.train(documents(spark, rows))).collect()}
     assert found[5].p_low > 0.5 > found[2].p_low
+    assert all(found[i].p_toxic > 0.5 for i in found if i % 10 == 3)
+    assert all(found[i].p_toxic < 0.5 for i in found if i % 5 in (2, 4)) and all(found[i].keep for i in found if i % 5 in (2, 4))
+    docs = documents(spark, rows)
     assert Q.score(docs.limit(0), Q.train(docs.limit(0))).collect() == []
 
 
-def plain_expectation_maximisation(rows, rounds=100):
-    """Row by row, by loops: accuracies by labeller, and P(yes) of each row."""
+def test_labellers_say_yes_and_no_and_overlap(spark):
+    plain = " ".join(re.sub(r"\d", "", w) for w in prose(1, 40).split()[:14]).capitalize() + ". " + "The old garden lies under the house by the river, and a light stands in its large window above."
+    texts = [plain, " ".join(w + "###" for w in plain.split()), "word " * 50, " | ".join(plain.split()), plain.upper().replace(" ", "!! "), plain + " You idiot, worthless scum, moronic."]
+    cast = []
+    for t in texts:
+        words = Q.WORD.findall(t.lower())
+        cast.append(Q.votes(t, Q.measures(t, words), Q.insults(set(words)), len(words)))
+    assert all(len(v) == Q.HEURISTICS["toxic"][1] for v in cast)
+    assert sum(v > 0 for v in cast[0]) == 0 and all(sum(v > 0 for v in c[:8]) >= 2 for c in cast[1:5]) and cast[5][8:] == [1, 1, 1, 1]
+    assert all({c[k] for c in cast} >= {1, -1} for k in range(Q.HEURISTICS["toxic"][1]))
+
+
+def plain_expectation_maximisation(rows, rounds=200):
+    """Row by row, by loops: (share of yes, right yes and right no by labeller), and P(yes) of each row."""
     n = len(rows[0])
     cast = [sum(r[k] != 0 for r in rows) for k in range(n)]
-    before = [(5.0, 0.8)] * (n - 1) + [(5.0 + cast[-1], 0.98)]
-    accuracy = [right for _, right in before]
+    before = [(5.0, 0.5, 0.95)] * (n - 1) + [(5.0 + cast[-1], 0.95, 0.98)]
+    yes, no, common = [b[1] for b in before], [b[2] for b in before], 0.1
     for _ in range(rounds):
-        yes = []
+        p = []
         for r in rows:
-            odds = 1.0
-            for vote, a in zip(r, accuracy, strict=True):
-                odds *= {1: a / (1 - a), -1: (1 - a) / a, 0: 1.0}[vote]
-            yes.append(odds / (1 + odds))
-        accuracy = []
-        for k, (weight, right) in enumerate(before):
-            agreed = sum(p if r[k] > 0 else 1 - p for r, p in zip(rows, yes, strict=True) if r[k])
-            accuracy.append(min(0.999, max(0.01, (agreed + weight * right) / (cast[k] + weight))))
-    return accuracy, yes
+            odds = common / (1 - common)
+            for v, a, b in zip(r, yes, no, strict=True):
+                odds *= {1: a / (1 - b), -1: (1 - a) / b, 0: 1.0}[v]
+            p.append(odds / (1 + odds))
+        for k, (weight, right_yes, right_no) in enumerate(before):
+            said = [(r[k], q) for r, q in zip(rows, p, strict=True) if r[k]]
+            yes[k] = (sum(q for v, q in said if v > 0) + weight * right_yes) / (sum(q for _, q in said) + weight)
+            no[k] = (sum(1 - q for v, q in said if v < 0) + weight * right_no) / (sum(1 - q for _, q in said) + weight)
+        common = (sum(p) + 0.5) / (len(rows) + 5)
+    return common, yes, no, p
 
 
 def test_expectation_maximisation_matches_brute_force():
     pick = np.random.default_rng(1)
-    truth = pick.random(600) < 0.4
-    right = (0.9, 0.85, 0.55, 0.97)
-    votes = np.stack([np.where(pick.random(600) < a, truth, ~truth) * 2 - 1 for a in right], axis=1)
-    votes[pick.random((600, 4)) < 0.3] = 0
+    truth = pick.random(800) < 0.3
+    right = (0.9, 0.85, 0.6, 0.97)
+    votes = np.stack([np.where(pick.random(800) < a, truth, ~truth) * 2 - 1 for a in right], axis=1)
+    votes[pick.random((800, 4)) < 0.3] = 0
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    posterior, accuracy = Q.expectation_maximisation(patterns, counts.astype(float))
-    want, yes = plain_expectation_maximisation([tuple(v) for v in votes.tolist()])
-    assert np.allclose(accuracy, want) and np.allclose(posterior[where.ravel()], yes)
-    assert accuracy[0] > accuracy[2] + 0.1 and accuracy[1] > accuracy[2] + 0.1 and accuracy[3] > 0.9
+    posterior, model = Q.expectation_maximisation(patterns, counts.astype(float))
+    common, yes, no, p = plain_expectation_maximisation([tuple(v) for v in votes.tolist()])
+    assert np.allclose(model.yes, yes) and np.allclose(model.no, no) and np.allclose(posterior[where.ravel()], p) and abs(model.common - common) < 1e-9
+    assert abs(model.common - 0.3) < 0.08 and model.yes[0] > model.yes[2] and model.no[0] > model.no[2]
+    assert model.coverage[0] == np.mean(votes[:, 0] != 0) and model.conflict[0] == np.mean(((votes[:, :1] * votes) < 0).any(axis=1))
 
 
 def test_gradient_of_the_scorer_matches_brute_force(spark):
