@@ -51,6 +51,7 @@ MIND = frozenset("idiot moron stupid clown imbecile dumb jerk fool dumm trottel
 WORTH = frozenset("loser trash worthless versager minable basura escoria abschaum".split())
 DISGUST = frozenset("scum pathetic disgusting filth vermin ekelhaft widerlich ordure répugnant asqueroso".split())
 STEMS = ("idiot", "moron", "stupid", "imbecil", "disgust", "patheti", "worthles")
+HEADS = frozenset(s[:4] for s in STEMS)
 TASKS = ("low", "toxic")
 LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "sentences", "letters", "variety", "lone", "annotator"), "toxic": ("mind", "worth", "disgust", "derived", "annotator")}
 #: Votes of the heuristics come in one array, those on quality first.
@@ -83,7 +84,7 @@ def measures(text: str, words: list[str]) -> dict[str, float]:
 def insults(words: set[str]) -> tuple[int, int, int, int]:
     """Whether there is a word of MIND, of WORTH, of DISGUST, and one derived from a stem that none of them holds."""
     lists = MIND | WORTH | DISGUST
-    derived = any(w.startswith(STEMS) and w not in lists for w in words)
+    derived = any(w[:4] in HEADS and w.startswith(STEMS) and w not in lists for w in words)
     return int(not words.isdisjoint(MIND)), int(not words.isdisjoint(WORTH)), int(not words.isdisjoint(DISGUST)), int(derived)
 
 
