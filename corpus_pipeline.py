@@ -9,7 +9,7 @@ from evidentia.llm import byte_bpe, decontaminate, near_dedup, pii, quality
 from evidentia.llm.tables import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: No stage is SQL from end to end; tests/llm/test_pipeline.py has the brute-force versions.
+#: No stage is SQL from end to end; tests/llm/test_pipeline.py has cases planted for each.
 ORACLE_SQL = None
 
 
