@@ -567,7 +567,7 @@ SELECT * FROM (VALUES
 AS t(hearing_id, hearing_date, title, status, agenda_url, minutes_url, supporting_url)""")
 def html_table(spark, sf_dir):
     pages = spark.createDataFrame([("https://c.org/archive/", ARCHIVE)], "source_url string, html string")
-    return html.archive_hearings(pages).drop("source_url", "position")
+    return html.archive_hearings(pages).drop("source_url", "page_order", "position")
 
 
 @registered("""
@@ -582,7 +582,7 @@ def archive_of_orders(spark, sf_dir):
         day, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
     )
     pages = table(spark, sf_dir, "orders").where("o_orderdate is not null").select(F.concat(F.lit("https://c.org/o/"), "o_orderkey", F.lit("/")).alias("source_url"), html_of.alias("html"))
-    return html.archive_hearings(pages).drop("position")
+    return html.archive_hearings(pages).drop("page_order", "position")
 
 
 @registered("""
