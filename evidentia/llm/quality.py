@@ -57,7 +57,7 @@ LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "sentences", "lette
 #: Votes of the heuristics come in one array, those on quality first.
 HEURISTICS = {"low": (0, 8), "toxic": (8, 12)}
 #: Priors: the share of yes; how often a heuristic, and an annotator, says yes rightly and no rightly; how many votes the former's weigh.
-COMMON, HEURISTIC, ANNOTATOR, TRUST = 0.1, (0.5, 0.95), (0.95, 0.98), 5.0
+COMMON, HEURISTIC, ANNOTATOR, TRUST = 0.1, (0.5, 0.95), (0.98, 0.99), 5.0
 #: Nats; a document on which the votes say less is an example of neither answer.
 LEAST = 0.1
 PLAIN = frozenset(".,;:!?'\"()-|/\n\r\t «»“”‘’…–—¿¡")
@@ -325,6 +325,9 @@ def train(
         posterior, labellers[task] = expectation_maximisation(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
         posterior, said = evidence(posterior, labellers[task].common)
         said = np.where(said >= LEAST, said, 0.0)
+        spoken = np.array([r[1] for r in rows]) * said
+        # the rarer answer weighs more, by the root of the ratio, as the scorer's intercept would else follow its rareness
+        said = said * (1 + posterior * (np.sqrt(max(1.0, (spoken @ (1 - posterior)) / max(1e-9, spoken @ posterior))) - 1))
         answers = docs.sparkSession.createDataFrame([(r[0], float(p), float(w)) for r, p, w in zip(rows, posterior, said, strict=True)], f"{task} array<int>, p_{task} double, w_{task} double")
         # at most one row for each pattern of nine votes
         sample = sample.join(F.broadcast(answers), task, "left")

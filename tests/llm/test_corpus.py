@@ -396,7 +396,7 @@ def plain_expectation_maximisation(rows, rounds=200):
     """Row by row, by loops: (share of yes, right yes and right no by labeller), and P(yes) of each row."""
     n = len(rows[0])
     cast = [sum(r[k] != 0 for r in rows) for k in range(n)]
-    before = [(5.0, 0.5, 0.95)] * (n - 1) + [(5.0 + cast[-1], 0.95, 0.98)]
+    before = [(5.0, 0.5, 0.95)] * (n - 1) + [(5.0 + cast[-1], 0.98, 0.99)]
     yes, no, common = [b[1] for b in before], [b[2] for b in before], 0.1
     for _ in range(rounds):
         p = []
