@@ -11,8 +11,9 @@ believed at first. Without annotations the heuristics are compared with each oth
 
 The posteriors, with yes and no as likely beforehand, are the labels of a logistic scorer, each with the weight of what
 its votes say (``evidence``: that a word of a list is missing says little), over hashed features (distinct
-words, their first 4 and 5 letters) and a few exact ones (levels of the text's measures, signs of
-insult). It is fitted by L-BFGS, whose gradients Spark sums over a sample of about ``train_rows``
+words, their first 4 and 5 letters, and families: first 5 letters that several words of the text share) and a few exact ones
+(levels of the text's measures, signs of insult). Hashed features of fewer than ``min_docs`` documents of the sample have no
+weight, as they would learn those documents by heart. It is fitted by L-BFGS, whose gradients Spark sums over a sample of about ``train_rows``
 documents chosen by the hash of the id and the text, in which equal documents are one row that counts
 as many times: an id, or a text, that fills much of the table does not swell it. A gradient comes to
 the driver as one number for each feature and question. The scorer then judges every document, over its whole text.
@@ -38,12 +39,16 @@ from evidentia.llm.batches import in_arrow, slices
 from evidentia.llm.tables import discard, stored
 
 SLOTS = 1 << 16
+#: Slots of families, after SLOTS; at least ``FAMILY`` of a text's distinct words, and one in a hundred, make one.
+FAMILIES, FAMILY = 1 << 14, 3
+HASHED = SLOTS + FAMILIES
 LEVELS = 20
-#: Signs of insult that are features of their own, after SLOTS and the levels of five measures.
+#: Signs of insult that are features of their own, after HASHED and the levels of five measures.
 SIGNS = 4
-SIZE = SLOTS + 5 * LEVELS + SIGNS
-#: Value of the few features from SLOTS on, those of words having 1: the penalty bears on them less.
-STRONG = 4.0
+SIZE = HASHED + 5 * LEVELS + SIGNS
+#: Values of the hashed words and letters, and of all features from SLOTS on: the penalty bears least on these, of which a text has few,
+#: so that what many documents share is learnt before the words of each.
+WEAK, STRONG = 0.5, 4.0
 WORD = re.compile(r"\w+")
 CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 #: Words that belittle someone's mind, that deny someone's worth, that say someone disgusts, and beginnings of words derived from any.
@@ -52,6 +57,12 @@ WORTH = frozenset("loser trash worthless versager minable basura escoria abschau
 DISGUST = frozenset("scum pathetic disgusting filth vermin ekelhaft widerlich ordure répugnant asqueroso".split())
 STEMS = ("idiot", "moron", "stupid", "imbecil", "disgust", "patheti", "worthles")
 HEADS = frozenset(s[:4] for s in STEMS)
+#: Function words of English, of which most words of the lists are; a text that holds ``ENOUGH`` of them is taken to be in it.
+FUNCTION_WORDS = frozenset("the of and to in is that was for with on as are it be by this you not have from".split())
+ENOUGH = 3
+#: In place of a vote: a list has nothing to say of a text in another language. Nats by which that bears towards no, for all lists
+#: together, before annotators have judged any such text.
+SILENT, ABROAD = -2, 1.5
 TASKS = ("low", "toxic")
 LABELLERS = {"low": ("symbols", "repeats", "bars", "shouts", "sentences", "letters", "variety", "lone", "annotator"), "toxic": ("mind", "worth", "disgust", "derived", "annotator")}
 #: Votes of the heuristics come in one array, those on quality first.
@@ -88,14 +99,20 @@ def insults(words: set[str]) -> tuple[int, int, int, int]:
     return int(not words.isdisjoint(MIND)), int(not words.isdisjoint(WORTH)), int(not words.isdisjoint(DISGUST)), int(derived)
 
 
+def spoken_here(words: set[str]) -> bool:
+    """Whether the text is in the language of the word lists, by its function words."""
+    return len(words & FUNCTION_WORDS) >= ENOUGH
+
+
 def vote(value: float, yes: float, no: float) -> int:
     """Yes from ``yes`` on, no up to ``no``; the other way round if ``yes`` is the smaller."""
     value, yes, no = (value, yes, no) if yes > no else (-value, -yes, -no)
     return 1 if value >= yes else -1 if value <= no else 0
 
 
-def votes(text: str, found: dict[str, float], signs: tuple[int, ...], n: int) -> list[int]:
-    """Of the heuristic labellers, in the order of LABELLERS, on a text of ``n`` words. A text too short for a measure gets no opinion by it."""
+def votes(text: str, found: dict[str, float], signs: tuple[int, ...], n: int, here: bool) -> list[int]:
+    """Of the heuristic labellers, in the order of LABELLERS, on a text of ``n`` words, ``here`` saying whether it is in the language
+    of the word lists. A text too short for a measure gets no opinion by it."""
     ends, small = len(SENTENCE_END.findall(text)) / max(1, n), sum(map(len, SMALL.findall(text))) / max(1, len(text) - sum(map(text.count, "0123456789")))
     lone = len(LONE.findall(text)) / max(1, n)
     low = [
@@ -103,7 +120,7 @@ def votes(text: str, found: dict[str, float], signs: tuple[int, ...], n: int) ->
         (vote(ends, 0.3, 0.2) if ends > 0.05 else vote(ends, 0.02, 0.05)) if n >= 20 else 0, vote(small, 0.72, 0.75) if n >= 10 else 0, vote(found["distinct"], 0.3, 0.5) if n >= 30 else 0,
         vote(lone, 0.25, 0.1) if n >= 10 else 0,
     ]
-    return low + ([1 if sign else -1 for sign in signs] if n >= 3 else [int(sign) for sign in signs])
+    return low + [1 if sign else -1 if here else 0 if any(signs) else SILENT for sign in signs]
 
 
 class WordSlots(dict):
@@ -125,10 +142,12 @@ class WordSlots(dict):
 
 def features(found: dict[str, float], words: set[str], signs: tuple[int, ...], known: WordSlots) -> np.ndarray:
     """Distinct slots of the document's features: hashed words and their first 4 and 5 letters, then from
-    SLOTS on the levels that each measure reaches, and the signs of insult."""
+    SLOTS on the families, and from HASHED on the levels that each measure reaches, and the signs of insult."""
     packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    hashed = np.unique(np.concatenate([packed & 0xFFFFF, packed >> 20 & 0xFFFFF, packed >> 40]))
-    reached = [SLOTS + LEVELS * k + i for k, v in enumerate(found.values()) for i in range(min(LEVELS, int(v * LEVELS) + 1))]
+    heads, least = np.sort(packed >> 40), max(FAMILY, len(words) // 100) - 1
+    families = SLOTS + (heads[least:][heads[least:] == heads[: max(0, len(heads) - least)]] & FAMILIES - 1)
+    hashed = np.unique(np.concatenate([packed & 0xFFFFF, packed >> 20 & 0xFFFFF, heads, families]))
+    reached = [HASHED + LEVELS * k + i for k, v in enumerate(found.values()) for i in range(min(LEVELS, int(v * LEVELS) + 1))]
     marked = [SIZE - SIGNS + k for k, sign in enumerate(signs) if sign]
     return np.concatenate([hashed.astype(np.int32), np.array(reached + marked, np.int32)])
 
@@ -141,7 +160,7 @@ def _votes_and_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             words = WORD.findall((text or "").lower())
             found, own = measures(text or "", words), set(words)
             signs = insults(own)
-            cast.append(votes(text, found, signs, len(words)) if words else [0] * HEURISTICS["toxic"][1])
+            cast.append(votes(text, found, signs, len(words), spoken_here(own)) if words else [0] * HEURISTICS["toxic"][1])
             slots.append(features(found, own, signs, known).tobytes() if chosen and words else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cast, pa.list_(pa.int32())), pa.array(slots, pa.binary())], names=["id", "votes", "slots"])
 
@@ -162,11 +181,11 @@ class LabelModel:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, LabelModel]:
     """Posterior of each pattern of votes (the annotator's last), and what was estimated of the labellers.
 
-    Given the answer, labellers vote apart from each other, and no opinion says nothing. Each labeller's two
+    Given the answer, labellers vote apart from each other, and no opinion says nothing, nor does ``SILENT``. Each labeller's two
     shares begin with ``TRUST`` votes as ``HEURISTIC`` says, the annotator's with as many more as it cast, as
     ``ANNOTATOR`` says; the share of yes with ``TRUST`` documents of which ``COMMON`` are.
     """
-    said_yes, said_no = (patterns > 0).astype(float), (patterns < 0).astype(float)
+    said_yes, said_no = (patterns > 0).astype(float), (patterns == -1).astype(float)
     spoken = said_yes + said_no
     given = np.full(patterns.shape[1], TRUST)
     given[-1] += counts @ spoken[:, -1]
@@ -181,15 +200,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         yes = np.maximum(yes, 1 - no)  # no labeller is worse than one that says nothing of the answer
         common = (is_yes.sum() + TRUST * COMMON) / (counts.sum() + TRUST)
     others = spoken.sum(axis=1, keepdims=True) - spoken
-    against = np.where(patterns > 0, said_no.sum(axis=1, keepdims=True), np.where(patterns < 0, said_yes.sum(axis=1, keepdims=True), 0))
+    against = np.where(patterns > 0, said_no.sum(axis=1, keepdims=True), np.where(patterns == -1, said_yes.sum(axis=1, keepdims=True), 0))
     share = lambda x: counts @ x / max(1.0, counts.sum())
     return posterior, LabelModel(float(common), yes, no, share(spoken), share(spoken * (others > 0)), share((against > 0).astype(float)))
 
 
-def evidence(posterior: np.ndarray, common: float) -> tuple[np.ndarray, np.ndarray]:
+def evidence(posterior: np.ndarray, common: float, silent: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(posterior if yes and no were as likely beforehand, what the votes say in nats: its divergence from one half). A rare
-    answer is so not drowned by its rareness, which bears on the labellers' shares alone."""
-    odds = posterior / np.maximum(1 - posterior, 1e-300) * (1 - common) / common
+    answer is so not drowned by its rareness, which bears on the labellers' shares alone. ``silent`` is the weight of silence in nats."""
+    odds = posterior / np.maximum(1 - posterior, 1e-300) * (1 - common) / common * np.exp(-silent)
     p = np.clip(odds / (1 + odds), 1e-12, 1 - 1e-12)
     return p, p * np.log(2 * p) + (1 - p) * np.log(2 * (1 - p))
 
@@ -201,15 +220,33 @@ class Model:
         self.weights, self.intercepts, self.labellers = weights, intercepts, labellers
 
 
-VALUES = np.concatenate([np.ones(SLOTS), np.full(SIZE - SLOTS, STRONG)])
+VALUES = np.concatenate([np.full(SLOTS, WEAK), np.full(SIZE - SLOTS, STRONG)])
 BIAS, LOSS, WEIGHT = SIZE, SIZE + 1, SIZE + 2
 
 
-def _gradient(weights: np.ndarray):
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (slots, number of documents) to (slot, n): the documents that hold each slot."""
+    held = np.zeros(SIZE, np.int64)
+    for batch in batches:
+        for slots, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held[np.frombuffer(slots, np.int32)] += n
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], names=["slot", "n"])
+
+
+def values_of(sample: DataFrame, min_docs: int) -> np.ndarray:
+    """Value of each feature: 0 for hashed ones that fewer than ``min_docs`` documents of (slots, n) hold."""
+    found = in_arrow(sample.select("slots", "n"), _holders, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(f"n >= {min_docs} or slot >= {HASHED}").toArrow()
+    kept = np.zeros(SIZE)
+    kept[found.column("slot").to_numpy()] = 1.0
+    return VALUES * kept
+
+
+def _gradient(weights: np.ndarray, values: np.ndarray = VALUES):
     """From (slots as 32-bit numbers, p_low, p_toxic, number of documents, and optionally a document's weights w_low, w_toxic),
     a null p standing for no opinion, to (slot, low, toxic): parts of the gradient by slot, with rows for the intercepts, the
     losses and the weights of documents."""
-    scaled = weights[:SIZE] * VALUES[:, None]
+    scaled = weights[:SIZE] * values[:, None]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((SIZE + 3, len(TASKS)))
@@ -227,7 +264,7 @@ def _gradient(weights: np.ndarray):
                 wanted = np.where(there, wanted, 0.0)
                 logs = np.bincount(owner, scaled[slots, k], len(sizes)) + weights[BIAS, k]
                 error = np.where(there, 1 / (1 + np.exp(-np.clip(logs, -500, 500))) - wanted, 0.0) * times
-                total[:SIZE, k] += np.bincount(slots, error[owner], SIZE) * VALUES
+                total[:SIZE, k] += np.bincount(slots, error[owner], SIZE) * values
                 total[BIAS:, k] += error.sum(), (np.where(there, np.logaddexp(0, logs) - wanted * logs, 0) * times).sum(), times[there].sum()
         at = np.flatnonzero(total.any(axis=1))
         for a in range(0, len(at), 20_000):
@@ -237,12 +274,12 @@ def _gradient(weights: np.ndarray):
     return rows
 
 
-def objective(sample: DataFrame, regularisation: float):
+def objective(sample: DataFrame, regularisation: float, values: np.ndarray = VALUES):
     """weights -> (loss, gradient), both as sums of the tasks' means; one Spark job each time."""
 
     def at(flat: np.ndarray) -> tuple[float, np.ndarray]:
         weights = flat.reshape(SIZE + 1, len(TASKS))
-        found = in_arrow(sample, _gradient(weights), "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
+        found = in_arrow(sample, _gradient(weights, values), "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
         total = np.zeros((SIZE + 3, len(TASKS)))
         total[found.column("slot").to_numpy()] = np.stack([found.column(t).to_numpy() for t in TASKS], axis=1)
         n = np.where(total[WEIGHT] > 0, total[WEIGHT], 1)
@@ -304,8 +341,9 @@ def train(
     low_if: Column | None = None,
     toxic_if: Column | None = None,
     train_rows: int = 30_000,
-    regularisation: float = 1e-4,
+    regularisation: float = 1e-3,
     rounds: int = 30,
+    min_docs: int = 3,
 ) -> Model:
     """Label models over all documents; scorers over the sample. Small tables alone come to the driver."""
     low_if = F.col("quality") == 0 if low_if is None else low_if
@@ -322,8 +360,11 @@ def train(
         if not rows:
             sample = sample.withColumns({f"{c}_{task}": F.lit(None).cast("double") for c in "pw"})
             continue
-        posterior, labellers[task] = expectation_maximisation(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float))
-        posterior, said = evidence(posterior, labellers[task].common)
+        patterns = np.array([r[0] for r in rows])
+        posterior, labellers[task] = expectation_maximisation(patterns, np.array([r[1] for r in rows], float))
+        silent = (patterns == SILENT).any(axis=1)
+        judged = sum(r[1] for r, mute in zip(rows, silent, strict=True) if mute and r[0][-1])
+        posterior, said = evidence(posterior, labellers[task].common, silent * ABROAD * TRUST / (TRUST + judged))
         said = np.where(said >= LEAST, said, 0.0)
         spoken = np.array([r[1] for r in rows]) * said
         # the rarer answer weighs more, by the root of the ratio, as the scorer's intercept would else follow its rareness
@@ -336,11 +377,12 @@ def train(
     # the sample has about train_rows rows at most, so a fixed number of partitions holds it
     sample = stored(counted.repartition(6))
     discard(own, held)
-    flat = minimised(objective(sample, regularisation), np.zeros((SIZE + 1) * len(TASKS)), rounds)
+    values = values_of(sample, min_docs)
+    flat = minimised(objective(sample, regularisation, values), np.zeros((SIZE + 1) * len(TASKS)), rounds)
     discard(sample)
     weights = flat.reshape(SIZE + 1, len(TASKS))
     intercepts = np.array([weights[BIAS, k] if t in labellers else -50.0 for k, t in enumerate(TASKS)])
-    return Model(weights[:SIZE] * VALUES[:, None], intercepts, labellers)
+    return Model(weights[:SIZE] * values[:, None], intercepts, labellers)
 
 
 def _judged(text: str | None, model: Model, known: WordSlots) -> np.ndarray | None:

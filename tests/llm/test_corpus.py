@@ -386,16 +386,18 @@ def test_labellers_say_yes_and_no_and_overlap(spark):
     cast = []
     for t in texts:
         words = Q.WORD.findall(t.lower())
-        cast.append(Q.votes(t, Q.measures(t, words), Q.insults(set(words)), len(words)))
+        cast.append(Q.votes(t, Q.measures(t, words), Q.insults(set(words)), len(words), Q.spoken_here(set(words))))
     assert all(len(v) == Q.HEURISTICS["toxic"][1] for v in cast)
     assert sum(v > 0 for v in cast[0]) == 0 and all(sum(v > 0 for v in c[:8]) >= 2 for c in cast[1:5]) and cast[5][8:] == [1, 1, 1, 1]
+    abroad = "réeux " * 3 + "de la maison"
+    assert Q.votes(abroad, Q.measures(abroad, abroad.split()), (0, 0, 0, 0), 6, Q.spoken_here(set(abroad.split())))[8:] == [Q.SILENT] * 4
     assert all({c[k] for c in cast} >= {1, -1} for k in range(Q.HEURISTICS["toxic"][1]))
 
 
 def plain_expectation_maximisation(rows, rounds=200):
     """Row by row, by loops: (share of yes, right yes and right no by labeller), and P(yes) of each row."""
     n = len(rows[0])
-    cast = [sum(r[k] != 0 for r in rows) for k in range(n)]
+    cast = [sum(abs(r[k]) == 1 for r in rows) for k in range(n)]
     before = [(5.0, 0.5, 0.95)] * (n - 1) + [(5.0 + cast[-1], 0.98, 0.99)]
     yes, no, common = [b[1] for b in before], [b[2] for b in before], 0.1
     for _ in range(rounds):
@@ -403,12 +405,12 @@ def plain_expectation_maximisation(rows, rounds=200):
         for r in rows:
             odds = common / (1 - common)
             for v, a, b in zip(r, yes, no, strict=True):
-                odds *= {1: a / (1 - b), -1: (1 - a) / b, 0: 1.0}[v]
+                odds *= {1: a / (1 - b), -1: (1 - a) / b}.get(v, 1.0)
             p.append(odds / (1 + odds))
         for k, (weight, right_yes, right_no) in enumerate(before):
-            said = [(r[k], q) for r, q in zip(rows, p, strict=True) if r[k]]
+            said = [(r[k], q) for r, q in zip(rows, p, strict=True) if abs(r[k]) == 1]
             yes[k] = (sum(q for v, q in said if v > 0) + weight * right_yes) / (sum(q for _, q in said) + weight)
-            no[k] = (sum(1 - q for v, q in said if v < 0) + weight * right_no) / (sum(1 - q for _, q in said) + weight)
+            no[k] = (sum(1 - q for v, q in said if v == -1) + weight * right_no) / (sum(1 - q for _, q in said) + weight)
         common = (sum(p) + 0.5) / (len(rows) + 5)
     return common, yes, no, p
 
@@ -419,12 +421,13 @@ def test_expectation_maximisation_matches_brute_force():
     right = (0.9, 0.85, 0.6, 0.97)
     votes = np.stack([np.where(pick.random(800) < a, truth, ~truth) * 2 - 1 for a in right], axis=1)
     votes[pick.random((800, 4)) < 0.3] = 0
+    votes[:, 1][pick.random(800) < 0.1] = Q.SILENT
     patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     posterior, model = Q.expectation_maximisation(patterns, counts.astype(float))
     common, yes, no, p = plain_expectation_maximisation([tuple(v) for v in votes.tolist()])
     assert np.allclose(model.yes, yes) and np.allclose(model.no, no) and np.allclose(posterior[where.ravel()], p) and abs(model.common - common) < 1e-9
     assert abs(model.common - 0.3) < 0.08 and model.yes[0] > model.yes[2] and model.no[0] > model.no[2]
-    assert model.coverage[0] == np.mean(votes[:, 0] != 0) and model.conflict[0] == np.mean(((votes[:, :1] * votes) < 0).any(axis=1))
+    assert model.coverage[0] == np.mean(votes[:, 0] != 0) and model.conflict[0] == np.mean(((votes[:, :1] * votes) == -1).any(axis=1))
 
 
 def test_gradient_of_the_scorer_matches_brute_force(spark):
@@ -440,7 +443,7 @@ def test_gradient_of_the_scorer_matches_brute_force(spark):
     for k in range(2):
         held = [(s, r[k]) for s, *r in rows if r[k] is not None]
         for s, p in held:
-            x = np.where(s < Q.SLOTS, 1.0, Q.STRONG)
+            x = np.where(s < Q.SLOTS, Q.WEAK, Q.STRONG)
             z = float(weights[s, k] @ x + weights[-1, k])
             want += (math.log1p(math.exp(z)) - p * z) / len(held)
             slopes[s, k] += (1 / (1 + math.exp(-z)) - p) * x / len(held)
@@ -453,7 +456,7 @@ def test_gradient_of_the_scorer_matches_brute_force(spark):
 def test_one_id_or_text_does_not_swell_the_sample(spark, monkeypatch):
     sizes = []
     objective = Q.objective
-    monkeypatch.setattr(Q, "objective", lambda sample, r: sizes.append((sample.count(), sample.agg({"n": "sum"}).first()[0])) or objective(sample, r))
+    monkeypatch.setattr(Q, "objective", lambda sample, *rest: sizes.append((sample.count(), sample.agg({"n": "sum"}).first()[0])) or objective(sample, *rest))
     rows = [(None, f"some plain words about number {i} of a list") for i in range(2000)] + [(7, "you stupid idiot, worthless loser")] * 1500
     Q.train(spark.createDataFrame(rows, "doc_id bigint, text string"), train_rows=350)
     Q.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
