@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.batches import in_arrow, slices
-from evidentia.llm.tables import discard, stored
+from evidentia.llm.tables import discard, stored, tidy
 
 SLOTS = 1 << 16
 #: Slots of families, after SLOTS; at least ``FAMILY`` of a text's distinct words, and one in a hundred, make one.
@@ -375,10 +375,11 @@ def train(
     weights = [f"w_{t}" for t in TASKS]
     counted = sample.groupBy("slots", *[f"p_{t}" for t in TASKS], *weights).agg(F.count("*").alias("n")).select("slots", *[f"p_{t}" for t in TASKS], "n", *weights)
     # the sample has about train_rows rows at most, so a fixed number of partitions holds it
-    sample = stored(counted.repartition(6))
+    sample = stored(counted.repartition(3))
     discard(own, held)
     values = values_of(sample, min_docs)
-    flat = minimised(objective(sample, regularisation, values), np.zeros((SIZE + 1) * len(TASKS)), rounds)
+    with tidy(docs.sparkSession):  # the shuffle files of a round go when it ends
+        flat = minimised(objective(sample, regularisation, values), np.zeros((SIZE + 1) * len(TASKS)), rounds)
     discard(sample)
     weights = flat.reshape(SIZE + 1, len(TASKS))
     intercepts = np.array([weights[BIAS, k] if t in labellers else -50.0 for k, t in enumerate(TASKS)])
