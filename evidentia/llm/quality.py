@@ -275,11 +275,20 @@ def _gradient(weights: np.ndarray, values: np.ndarray = VALUES):
 
 
 def objective(sample: DataFrame, regularisation: float, values: np.ndarray = VALUES):
-    """weights -> (loss, gradient), both as sums of the tasks' means; one Spark job each time."""
+    """weights -> (loss, gradient), both as sums of the tasks' means; one Spark job each time. The weights are broadcast, and
+    go from the disks of all machines when the job ends; inside the function they would stay until the session does."""
 
     def at(flat: np.ndarray) -> tuple[float, np.ndarray]:
         weights = flat.reshape(SIZE + 1, len(TASKS))
-        found = in_arrow(sample, _gradient(weights, values), "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
+        sent = sample.sparkSession.sparkContext.broadcast((weights, values))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _gradient(*sent.value)(batches)
+
+        try:
+            found = in_arrow(sample, rows, "slot int, low double, toxic double").groupBy("slot").agg(*[F.sum(t).alias(t) for t in TASKS]).toArrow()
+        finally:
+            sent.destroy(blocking=True)
         total = np.zeros((SIZE + 3, len(TASKS)))
         total[found.column("slot").to_numpy()] = np.stack([found.column(t).to_numpy() for t in TASKS], axis=1)
         n = np.where(total[WEIGHT] > 0, total[WEIGHT], 1)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -453,6 +454,16 @@ def test_gradient_of_the_scorer_matches_brute_force(spark):
     assert abs(value - want) < 1e-9 and np.allclose(gradient.reshape(slopes.shape), slopes)
 
 
+
+def test_gradients_leave_no_weights_on_the_disk(spark):
+    sample = spark.createDataFrame([(bytearray(np.arange(5, dtype=np.int32).tobytes()), 0.9, None, 2)], "slots binary, p_low double, p_toxic double, n bigint")
+    at, folder = Q.objective(sample, 0.01), Path(spark.sparkContext._temp_dir)
+    before = {p for p in folder.rglob("*") if p.is_file()}
+    for n in range(3):
+        at(np.full(2 * (Q.SIZE + 1), 0.1 * n))
+    assert sum(p.stat().st_size for p in folder.rglob("*") if p.is_file() and p not in before) < 1e5
+
+
 def test_one_id_or_text_does_not_swell_the_sample(spark, monkeypatch):
     sizes = []
     objective = Q.objective
