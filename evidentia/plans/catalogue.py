@@ -575,13 +575,16 @@ SELECT 'https://c.org/o/' || o_orderkey || '/' AS source_url, 'cpc-' || strftime
   CASE WHEN o_orderkey % 2 = 0 THEN 'cancelled' ELSE 'scheduled' END AS status, 'https://c.org/a/' || o_orderkey || '.pdf' AS agenda_url, NULL::VARCHAR AS minutes_url,
   'https://c.org/o/' || o_orderkey || '/s' || o_custkey AS supporting_url FROM orders WHERE o_orderdate IS NOT NULL""")
 def archive_of_orders(spark, sf_dir):
-    """The archive parser over all orders: a page with a table of one hearing, from the columns, of each."""
+    """The archive parser over all orders: a page with a table of one hearing, from the columns, of each. The few bytes of an
+    order become a whole page, so orders are dealt by number; by the file's bytes millions would be one task's."""
     day = F.concat(F.date_format("o_orderdate", "MMMM d, yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " (CANCELLED)").otherwise(""))
     html_of = F.format_string(
         '<table><tr><th>Hearing Date</th><th>Agenda</th><th>Minutes</th><th>Supporting</th></tr><tr><td>%s</td><td><a href="/a/%s.pdf">Agenda</a></td><td>N/A</td><td><a href="s%s">Supporting</a></td></tr></table>',
         day, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
     )
-    pages = table(spark, sf_dir, "orders").where("o_orderdate is not null").select(F.concat(F.lit("https://c.org/o/"), "o_orderkey", F.lit("/")).alias("source_url"), html_of.alias("html"))
+    orders = table(spark, sf_dir, "orders").where("o_orderdate is not null").select("o_orderkey", "o_custkey", "o_orderdate")
+    dealt = orders.repartition(max(spark.sparkContext.defaultParallelism, orders.count() // 20_000))
+    pages = dealt.select(F.concat(F.lit("https://c.org/o/"), "o_orderkey", F.lit("/")).alias("source_url"), html_of.alias("html"))
     return html.archive_hearings(pages).drop("page_order", "position")
 
 

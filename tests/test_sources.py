@@ -341,3 +341,10 @@ def test_counts_take_no_jobs_of_their_own(spark, tmp_path):
     assert counts == {"chunk_count": 5, "embedded_count": 3, "skipped_count": 2}
     assert pipeline.embed_chunks(store, NOW, Settings(dimensions=8)) == {"chunk_count": 5, "embedded_count": 2, "skipped_count": 3}
     assert pipeline.embed_chunks(store, NOW, Settings(dimensions=8), force=True) == {"chunk_count": 5, "embedded_count": 5, "skipped_count": 0}
+
+
+def test_orders_are_dealt_before_they_become_pages(spark):
+    from evidentia.plans import catalogue
+
+    made = catalogue.archive_of_orders(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
