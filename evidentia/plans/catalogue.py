@@ -58,7 +58,7 @@ WITH_VECTOR = f"CASE WHEN b.embedding IS NULL THEN 0.0 ELSE greatest(0.0, least(
 
 
 def _searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = ranking.counted_for(table(spark, sf_dir, "documents"), QUERY).drop("text")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return docs.join(vecs, "doc_id", "left")
 
