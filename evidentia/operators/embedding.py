@@ -9,14 +9,16 @@ from __future__ import annotations
 import hashlib
 import math
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import expanded, query_terms, terms_of
+from evidentia.session import small_batches
 
 
 class EmbeddingProvider(Protocol):
@@ -35,7 +37,7 @@ def place(term: str, dimensions: int) -> tuple[int, float]:
     return int.from_bytes(digest[:4], "big") % dimensions, -1.0 if digest[4] & 1 else 1.0
 
 
-def summed(terms: list[str], dimensions: int, known: dict | None = None) -> list[float]:
+def summed(terms: Iterable[str], dimensions: int, known: dict | None = None) -> list[float]:
     known = {} if known is None else known
     vector = [0.0] * dimensions
     for term in terms:
@@ -60,10 +62,14 @@ class LocalHash:
         def hashed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known: dict = {}
             for terms in parts:
-                if len(known) > 500_000:
-                    known.clear()
-                yield pd.Series([summed(list(t), size, known) for t in terms], dtype="object")
+                made = []
+                for t in terms:
+                    if len(known) > 200_000:
+                        known.clear()
+                    made.append(np.array(summed(t, size, known), np.float32))
+                yield pd.Series(made, dtype="object")
 
+        small_batches(df.sparkSession)
         return df.withColumn(out_col, hashed(expanded(terms_of(F.coalesce(F.col(text_col), F.lit(""))))))
 
     def embed_query(self, query: str) -> list[float]:
@@ -88,6 +94,7 @@ class _Remote:
                 made = [v for a in range(0, len(plain), size) for v in own.vectors(plain[a : a + size], "document")]
                 yield pd.Series(made, dtype="object")
 
+        small_batches(df.sparkSession)
         return df.withColumn(out_col, called(F.col(text_col)))
 
     def embed_query(self, query: str) -> list[float]:

@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/evidentia-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of up to 4 MB instead of 10,000 rows, however long these are. The setting stays in the session, as a
+    plan reads it when it runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def setting(name: str, default: str, legacy: str | None = None) -> str:
     """An environment variable by its name, else its older name; empty counts as unset."""
     return os.environ.get(name) or (os.environ.get(legacy) if legacy else None) or default

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, StructType
 from evidentia.functions import keys, text as T
 from evidentia.functions.dates import archive_date
 from evidentia.functions.urls import SOURCE_TYPES, document_title, is_document_link, joined_url, source_type_of
+from evidentia.session import small_batches
 from evidentia.sources.dom import Element, parsed
 
 #: Elements that open a section, and blocks whose text stands around a link.
@@ -51,13 +52,15 @@ def headings_and_links(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for page in pages:
         out = []
         for html in page:
-            own = []
+            own, texts = [], {}  # the text of a block is made once for all its links
             for e in parsed(html).walk():
                 if e.name in HEADINGS:
                     own.append({"kind": "heading", "text": e.text(), "href": None, "context": None})
                 if e.name == "a" and "href" in e.attributes:
                     around = e.above(CONTEXTS)
-                    own.append({"kind": "link", "text": e.text(), "href": e.attributes["href"] or "", "context": around.text() if around else ""})
+                    if around not in texts:
+                        texts[around] = around.text() if around else ""
+                    own.append({"kind": "link", "text": e.text(), "href": e.attributes["href"] or "", "context": texts[around]})
             out.append(own)
         yield pd.Series(out, dtype="object")
 
@@ -79,6 +82,7 @@ def column_link(cell: Column, label: str) -> Column:
 def archive_hearings(pages: DataFrame, since: datetime.date | None = None, until: datetime.date | None = None, limit: int | None = None) -> DataFrame:
     """Hearings of archive pages (html, source_url, and page_order, else all pages count as one in order of their urls), in
     document order. Bounds are inclusive; no limit, or 0, is none."""
+    small_batches(pages.sparkSession)
     place = F.col("page_order").cast("bigint") if "page_order" in pages.columns else F.lit(0).cast("bigint")
     rows = pages.select("source_url", place.alias("page_order"), F.posexplode(table_rows(F.col("html"))).alias("position", "row")).where(F.size("row.cells") >= 2)
     first = T.clean_text(F.col("row.cells")[0]["text"])
@@ -130,6 +134,7 @@ def first_of(df: DataFrame, keys_: list[str], order: Column) -> DataFrame:
 def supporting_documents(pages: DataFrame) -> DataFrame:
     """Documents that pages (hearing_id, source_url, html) link to: typed by what surrounds the link,
     else by the section it stands in; the first of each url."""
+    small_batches(pages.sparkSession)
     found = pages.select("hearing_id", "source_url", F.posexplode(headings_and_links(F.col("html"))).alias("position", "e")).select("hearing_id", "source_url", "position", "e.*")
     links = carried_type(found, ["hearing_id", "source_url"]).where("kind = 'link'").withColumn("url", joined_url(F.col("source_url"), F.col("href")))
     kept = first_of(links.where(is_document_link(F.col("url"), F.col("text"))), ["hearing_id", "source_url", "url"], F.col("position"))

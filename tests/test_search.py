@@ -106,3 +106,29 @@ def test_provider_factory():
         with pytest.raises(RuntimeError):
             provider_for(name, keys={"x": "y"})
     assert provider_for("google", "m", 0, {"google": "k"}).dimensions == 768
+
+
+def test_texts_are_not_ranked_with_the_joined_rows(spark, monkeypatch):
+    chunks, documents, hearings = corpus_of_search(spark)
+    seen, rank = [], R.rank
+    monkeypatch.setattr(R, "rank", lambda df, *rest: seen.append(df.columns) or rank(df, *rest))
+    assert [r.text for r in R.search(chunks, documents, hearings, "parking").collect()] == ["parking here"]
+    assert "text" not in seen[0]
+
+
+def corpus_of_search(spark):
+    chunks = spark.createDataFrame([("c1", "d1", 0, "parking here", None, None), ("c2", "d1", 1, "none", None, None)], "chunk_id string, document_id string, chunk_index int, text string, section_hint string, citation_label string")
+    documents = spark.createDataFrame([("d1", "h1", "x", "x", "x")], "document_id string, hearing_id string, title string, source_type string, url string")
+    return chunks, documents, spark.createDataFrame([("h1", None)], "hearing_id string, hearing_date date")
+
+
+@pytest.mark.parametrize("made", ["embed", "archive", "supporting"])
+def test_arrow_batches_are_cut_by_bytes(spark, made):
+    from evidentia.operators.embedding import LocalHash
+    from evidentia.sources import html
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.createDataFrame([("h", "https://a.org/", "x")], "hearing_id string, source_url string, html string")
+    {"embed": lambda: LocalHash().embed(pages, "html"), "archive": lambda: html.archive_hearings(pages), "supporting": lambda: html.supporting_documents(pages)}[made]()
+    rows = F.pandas_udf(lambda texts: texts.map(lambda _: len(texts)), "int")
+    assert spark.range(0, 3000, 1, 1).select(rows(F.concat(F.repeat(F.lit("x"), 8000), F.col("id").cast("string"))).alias("n")).agg(F.max("n")).first()[0] < 1000
