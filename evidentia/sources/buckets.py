@@ -6,7 +6,7 @@ and then makes the next version's file, in which all other buckets keep their fo
 one version's file and see all of a change or nothing of it; a second writer of the same version is
 refused. Folders that no kept version names go with ``vacuum``.
 
-Rows of a bucket are in one file, or several of ``rows_in_file``, sorted by ``sort`` with Bloom filters
+Rows of a bucket are in one file, or several of ``rows_in_file`` or one of each part, sorted by ``sort`` with Bloom filters
 on ``bloom``, so that a lookup by owner reads one bucket and of it the row groups that may hold the key.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BUCKET = "__bucket"
+#: Rows that have this column are dealt by it already, and rows of one part are of one bucket.
+PART = "__part"
 
 
 class BucketedTable:
@@ -57,6 +59,11 @@ class BucketedTable:
     def bucket_of(self, owner: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(owner.cast(self.schema[self.owner].dataType)), F.lit(buckets)).cast("int")
 
+    def dealt(self, df: DataFrame, parts: int) -> DataFrame:
+        """Adds PART: each bucket in ``parts`` parts, so that what follows, and the write, take a part at a time and shuffle no more."""
+        n = self._latest()[1]["buckets"] * parts
+        return df.withColumn(PART, self.bucket_of(F.col(self.owner), n)).repartition(n, PART)
+
     def _paths(self, manifest: dict, buckets: Iterable[int] | None = None) -> list[str]:
         wanted = None if buckets is None else {str(b) for b in buckets}
         return [f"{self.path}/{folder}/{BUCKET}={b}" for b, folder in manifest["folders"].items() if wanted is None or b in wanted]
@@ -71,6 +78,9 @@ class BucketedTable:
     def facts(self) -> dict:
         return self._latest()[1]["facts"]
 
+    def buckets(self) -> int:
+        return self._latest()[1]["buckets"]
+
     def lookup(self, owners: list) -> DataFrame:
         """The rows of a few owners, from their buckets alone."""
         _, manifest = self._latest()
@@ -85,7 +95,7 @@ class BucketedTable:
         """Writes rows into a new folder; the folder by bucket."""
         folder = f"data-{uuid.uuid4().hex}"
         own = df.select([F.col(f.name).cast(f.dataType) for f in self.schema]).withColumn(BUCKET, self.bucket_of(F.col(self.owner), buckets))
-        out = own.repartition(BUCKET).sortWithinPartitions(BUCKET, *self.sort).write.partitionBy(BUCKET)
+        out = (own if PART in df.columns else own.repartition(BUCKET)).sortWithinPartitions(BUCKET, *self.sort).write.partitionBy(BUCKET)
         for c in self.bloom:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         (out.option("maxRecordsPerFile", self.rows_in_file) if self.rows_in_file else out).parquet(f"{self.path}/{folder}")
