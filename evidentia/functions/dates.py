@@ -11,8 +11,8 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 def written_date(text: Column, separators: str = r",?\s+") -> Column:
     """The first ``Month D, YYYY``; ``separators`` stands between day and year."""
     pattern = rf"(?i)\b({MONTHS})\s+(\d{{1,2}}){separators}(\d{{4}})\b"
-    parts = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)]
-    return F.to_date(F.try_to_timestamp(F.when(parts[0] != "", F.concat_ws(" ", *parts)), F.lit("MMMM d yyyy")))
+    plain = F.regexp_replace(F.regexp_extract(text, pattern, 0), r"[,.\s]+", " ")
+    return F.to_date(F.try_to_timestamp(F.nullif(plain, F.lit("")), F.lit("MMMM d yyyy")))
 
 
 def archive_date(text: Column) -> Column:

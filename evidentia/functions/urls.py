@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,13 +18,24 @@ SOURCE_TYPES = ("agenda", "minutes", "staff_report", "presentation", "correspond
 AT_HEARING = ("at hearing", "at the hearing", "during hearing", "during the hearing")
 
 
-@F.pandas_udf(StringType())
-def joined_url(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A reference resolved against its base by RFC 3986; null if either is null."""
-    from urllib.parse import urljoin
+#: Parts without dots at their start, queries or other marks, which joining leaves as they are.
+_PART = "[A-Za-z0-9_~-][A-Za-z0-9._~-]*"
+PLAIN_BASE = re.compile(rf"((https?://[A-Za-z0-9.-]+)(?:/{_PART})*/)(?:{_PART})?")
+PLAIN_LINK = re.compile(rf"/?{_PART}(?:/{_PART})*/?")
 
-    for base, link in parts:
-        yield pd.Series([None if b is None or r is None else urljoin(b, r).strip() for b, r in zip(base, link, strict=True)], dtype="object")
+
+def joined(base: str, link: str) -> str:
+    """urljoin; plain ones are put together by hand, in a tenth of the time."""
+    if (at := PLAIN_BASE.fullmatch(base)) and PLAIN_LINK.fullmatch(link):
+        return at[2 if link[0] == "/" else 1] + link
+    return urljoin(base, link).strip()
+
+
+@F.arrow_udf(StringType())
+def joined_url(bases: pa.Array, links: pa.Array) -> pa.Array:
+    """A reference resolved against its base by RFC 3986; null if either is null. No iterator, so that Spark evaluates
+    several calls of a row in one worker."""
+    return pa.array([None if b is None or r is None else joined(b, r) for b, r in zip(bases.to_pylist(), links.to_pylist(), strict=True)], pa.string())
 
 
 def source_type_of(text: Column) -> Column:

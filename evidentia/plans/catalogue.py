@@ -579,9 +579,10 @@ def archive_of_orders(spark, sf_dir):
     """The archive parser over all orders: a page with a table of one hearing, from the columns, of each. The few bytes of an
     order become a whole page, so orders are dealt by number; by the file's bytes millions would be one task's."""
     day = F.concat(F.date_format("o_orderdate", "MMMM d, yyyy"), F.when(F.col("o_orderkey") % 2 == 0, " (CANCELLED)").otherwise(""))
-    html_of = F.format_string(
-        '<table><tr><th>Hearing Date</th><th>Agenda</th><th>Minutes</th><th>Supporting</th></tr><tr><td>%s</td><td><a href="/a/%s.pdf">Agenda</a></td><td>N/A</td><td><a href="s%s">Supporting</a></td></tr></table>',
-        day, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+    html_of = F.concat(
+        F.lit("<table><tr><th>Hearing Date</th><th>Agenda</th><th>Minutes</th><th>Supporting</th></tr><tr><td>"), day,
+        F.lit('</td><td><a href="/a/'), F.coalesce(F.col("o_orderkey").cast("string"), F.lit("")), F.lit('.pdf">Agenda</a></td><td>N/A</td><td>'),
+        F.coalesce(F.concat(F.lit('<a href="s'), "o_custkey", F.lit('">Supporting</a>')), F.lit("N/A")), F.lit("</td></tr></table>"),
     )
     orders = table(spark, sf_dir, "orders").where("o_orderdate is not null").select("o_orderkey", "o_custkey", "o_orderdate")
     dealt = orders.repartition(max(spark.sparkContext.defaultParallelism, orders.count() // 20_000))

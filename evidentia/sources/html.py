@@ -10,15 +10,17 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructType
 
 from evidentia.functions import keys, text as T
 from evidentia.functions.dates import archive_date
 from evidentia.functions.urls import SOURCE_TYPES, document_title, is_document_link, joined_url, source_type_of
 from evidentia.session import small_batches
-from evidentia.sources.dom import Element, parsed
+from evidentia.sources.dom import parsed, rows_of
 
 #: Elements that open a section, and blocks whose text stands around a link.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "th"))
@@ -32,18 +34,12 @@ ROWS = ArrayType(StructType().add("text", "string").add("cells", ArrayType(_CELL
 ELEMENTS = ArrayType(StructType().add("kind", "string").add("text", "string").add("href", "string").add("context", "string"))
 
 
-def _links(element: Element) -> list[dict]:
-    return [{"text": a.text(), "href": a.attributes["href"] or ""} for a in element.walk() if a.name == "a" and "href" in a.attributes]
-
-
-@F.pandas_udf(ROWS)
-def table_rows(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ROWS)
+def table_rows(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Rows of all tables of a page, with their own cells."""
+    kind = to_arrow_type(ROWS)
     for page in pages:
-        yield pd.Series(
-            [[{"text": r.text(), "cells": [{"text": c.text(), "links": _links(c)} for c in r.children if isinstance(c, Element) and c.name in ("td", "th")]} for r in parsed(html).walk() if r.name == "tr"] for html in page],
-            dtype="object",
-        )
+        yield pa.array([rows_of(html) for html in page.to_pylist()], kind)
 
 
 @F.pandas_udf(ELEMENTS)
@@ -85,8 +81,10 @@ def archive_hearings(pages: DataFrame, since: datetime.date | None = None, until
     small_batches(pages.sparkSession)
     place = F.col("page_order").cast("bigint") if "page_order" in pages.columns else F.lit(0).cast("bigint")
     rows = pages.select("source_url", place.alias("page_order"), F.posexplode(table_rows(F.col("html"))).alias("position", "row")).where(F.size("row.cells") >= 2)
-    first = T.clean_text(F.col("row.cells")[0]["text"])
-    found = rows.select("source_url", "page_order", "position", "row", first.alias("first"), archive_date(first).alias("hearing_date"), qualifiers(first).alias("suffix")).where(~F.lower("first").startswith("hearing date") & F.col("hearing_date").isNotNull())
+    cleaned = rows.withColumn("first", T.clean_text(F.col("row.cells")[0]["text"])).where(~F.lower("first").startswith("hearing date"))
+    # A filter moves below a column that is an expression, which is then evaluated twice; it does not move below an array's elements.
+    dated = cleaned.select("source_url", "page_order", "position", "row", "first", F.explode(F.array(archive_date(F.col("first")))).alias("hearing_date"))
+    found = dated.where("hearing_date is not null").withColumn("suffix", qualifiers(F.col("first")))
     if since:
         found = found.where(F.col("hearing_date") >= F.lit(since))
     if until:

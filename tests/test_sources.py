@@ -1,13 +1,16 @@
 from datetime import date, datetime
+from urllib.parse import urljoin
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.functions import urls
 from evidentia.operators import rollups
-from evidentia.plans import pipeline
+from evidentia.plans import catalogue, pipeline
 from evidentia.plans.catalogue import AGENDA, ARCHIVE
 from evidentia.session import Settings, setting
-from evidentia.sources import files, html, store as S
+from evidentia.sources import dom, files, html, store as S
 from evidentia.sources.store import Store
 from evidentia.streaming.ingest import stream_upserts
 
@@ -348,3 +351,46 @@ def test_orders_are_dealt_before_they_become_pages(spark):
 
     made = catalogue.archive_of_orders(spark, "/root/testdata/sf0.001")
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+@pytest.mark.parametrize("page, plain", [
+    ('<TABLE><!-- c --><tr><th>a<td class="x">b &amp; c</td></tr></table>', True),
+    ('<tr><td>a<table><tr><td>b<a href="1">l</a></td></tr></table><a href="2" HREF="3">m</a></td><td>c</tr>d<td>e', True),
+    ("<!DOCTYPE html>x > y<tr/><tr><td/><br/><td ><a name=\"n\">o</a></p><a href=\"\"> </a>", True),
+    ("<tr><td><a href='q'>single</a></td></tr>", False),
+    ('<tr><td><a href="a?b&amp;c">d</a><a href="x>y<z">e</a></td></tr>', False),
+    ("<tr><td>a<script>'<td>'</script><template><tr><td>b</td></tr></template></td></tr>", False),
+    ("<tr><td>a<!-- b-c --></td x><td>d < e</td></tr><tr", False),
+])
+def test_rows_of_plain_pages_are_those_of_the_parser(page, plain):
+    found, out = dom.plain_rows(page), dom.TableRows()
+    parser = dom._Rows(out)
+    parser.feed(page)
+    parser.close()
+    out.leave(0)
+    assert (found is not None) == plain and dom.rows_of(page) == out.rows != []
+
+
+def test_rows_of_scripts_and_templates():
+    rows = dom.rows_of("<tr><td>a<script>'<td>'</script><template><tr><td>b <a href='u'>c</a></td></tr></template>d</td></tr>")
+    assert [(r["text"], [(c["text"], c["links"]) for c in r["cells"]]) for r in rows] == [("a d", [("a d", [{"text": "c", "href": "u"}])]), ("b c", [("b c", [{"text": "c", "href": "u"}])])]
+
+
+def test_plain_links_are_joined_as_others():
+    bases = ["https://c.org/o/1/", "https://c.org", "http://c.org/a/b", "https://c.org/a/../b/", "https://c.org/a?q#f", "https://c.org//x/", "x", "", "HTTPS://c.org/"]
+    links = ["/a/1.pdf", "s7", "a/b/", "../x", "./x", "/a/./b", ".x", "//h.org/p", "http://e.org/a", "?q=1", "#f", "", " x ", "a:b", "a;p", "x/..", "é"]
+    assert [urls.joined(b, r) for b in bases for r in links] == [urljoin(b, r).strip() for b in bases for r in links]
+
+
+def test_a_page_is_read_in_two_workers_and_its_dates_once(spark):
+    plan = html.archive_hearings(archive(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("gettimestamp") == 1
+
+
+def test_orders_without_keys_or_dates(spark, tmp_path):
+    day = datetime(1996, 1, 2)
+    orders = spark.createDataFrame([(1, 10, day), (2, None, day), (None, 30, day), (4, 40, None)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    result = duckdb.sql(catalogue.SQL["archive_of_orders"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'"))
+    found = catalogue.archive_of_orders(spark, str(tmp_path)).select(*result.columns).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, result.fetchall()))
