@@ -36,10 +36,10 @@ ELEMENTS = ArrayType(StructType().add("kind", "string").add("text", "string").ad
 
 @F.arrow_udf(ROWS)
 def table_rows(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Rows of all tables of a page, with their own cells."""
+    """Rows of all tables of a page, with their own cells; a few pages at a time are held as Python objects."""
     kind = to_arrow_type(ROWS)
     for page in pages:
-        yield pa.array([rows_of(html) for html in page.to_pylist()], kind)
+        yield pa.concat_arrays([pa.array([], kind), *(pa.array([rows_of(html) for html in page[i : i + 256].to_pylist()], kind) for i in range(0, len(page), 256))])
 
 
 @F.pandas_udf(ELEMENTS)
